@@ -26,13 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="weirflow-"))
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/weirflow-{uuid.uuid4().hex}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weirflow-{uuid.uuid4().hex}/{name}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

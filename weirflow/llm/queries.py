@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat
-from .common import table
+from .common import fresh_path, table
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .quality import quality_rules
+from .tokenfile import read_tokens, write_tokens
+from .tokens import count_tokens
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +46,20 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
+    return read_tokens(spark, path)
+
+
 #: The escaping of the template, as DuckDB writes it.
 _ESC = r"""regexp_replace(regexp_replace({}, '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|<SYS>>|</SYS>>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"""
 
@@ -44,6 +67,9 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
+    "op7_token_counts": op7_token_counts,
+    "op9_packing": op9_packing,
+    "op10_token_file": op10_token_file,
 }
 
 ORACLES = {
