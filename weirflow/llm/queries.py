@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat
 from .common import fresh_path, table
 from .exact_dedup import exact_dedup
+from .langid import fit, held_out, identify
 from .packing import pack
 from .quality import quality_rules
 from .tokenfile import read_tokens, write_tokens
@@ -50,6 +51,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -68,6 +75,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_token_file": op10_token_file,
 }
