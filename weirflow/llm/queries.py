@@ -9,6 +9,7 @@ from . import chat
 from .common import fresh_path, table
 from .exact_dedup import exact_dedup
 from .langid import fit, held_out, identify
+from .near_dedup import near_dedup
 from .packing import pack
 from .quality import quality_rules
 from .tokenfile import read_tokens, write_tokens
@@ -21,6 +22,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
@@ -71,6 +76,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ESC = r"""regexp_replace(regexp_replace({}, '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|<SYS>>|</SYS>>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"""
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
