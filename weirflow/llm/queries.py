@@ -12,6 +12,7 @@ from .langid import fit, held_out, identify
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality import quality_rules
+from .suffix_dedup import suffix_dedup
 from .tokenfile import read_tokens, write_tokens
 from .tokens import count_tokens
 
@@ -22,6 +23,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ESC = r"""regexp_replace(regexp_replace({}, '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|<SYS>>|</SYS>>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"""
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
