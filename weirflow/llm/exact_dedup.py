@@ -73,3 +73,21 @@ def exact_dedup(
         best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
     return out.unionByName(result(suspects.join(texts, ["h", "text"])))
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without exact copies, all columns kept.
+
+    Of rows with equal texts the one with the smallest id stays (of equal ids, that with
+    the smallest other columns); a null id comes after all others. A null text counts as
+    empty; if the row that stays has a null text it stays null. Rows are grouped by hash
+    and whole text, so the bytes decide, and are combined before the shuffle.
+    """
+    rest = [c for c in docs.columns if c != text_col]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    order = [F.col(id_col).isNull().alias("_0"), F.col(id_col).alias("_1"), F.col(text_col).isNull().alias("_2")]
+    row = F.struct(*order, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    first = docs.select(content_hash(text).alias("h"), text.alias("t"), row.alias("row")).groupBy("h", "t").agg(F.min("row").alias("row"))
+    own = {c: F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)}
+    own[text_col] = F.when(~F.col("row._2"), F.col("t")).alias(text_col)
+    return first.select(*[own[c] for c in docs.columns])

@@ -211,3 +211,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language: neither ``und`` nor under ``least_score``.
+
+    Rows stream through whole, without a shuffle. A model without languages keeps all
+    texts that have a letter.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            if model.langs:
+                keep = [lang != UNKNOWN and score >= least_score for lang, score in model.predict(texts)]
+            else:
+                keep = [any(map(str.isalpha, t or "")) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

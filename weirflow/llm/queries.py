@@ -9,6 +9,7 @@ from . import chat
 from .common import fresh_path, table
 from .exact_dedup import exact_dedup
 from .langid import fit, held_out, identify
+from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality import quality_rules
@@ -57,6 +58,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
