@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +110,15 @@ def unplanes(data: bytes, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
 
 
+def packed(data: bytes) -> bytes:
+    """Zstandard with the size in front; shuffle compression alone leaves text half as large again."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def same_in_batch(ids: list[int | None], texts: list[bytes]) -> tuple[list[int], list[int]]:
     """Rows to work on, and ids of those whose text a smaller id of this batch has."""
     least: dict[bytes, int] = {}
@@ -188,12 +198,13 @@ def _copies(dealt: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
+            for data in b.column(2).filter(pa.compute.equal(b.column(0), -1)).to_pylist():
                 doc = np.frombuffer(data, np.int64)
                 zero = np.zeros(len(doc), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(zero), pa.array(zero + WHOLE)], ["doc_id", "start", "stop"])
 
-    return dealt.filter("part = -1").select("docs").mapInArrow(run, "doc_id long, start long, stop long")
+    # a filter would move below the exchange and make it another one, for which all texts are read again
+    return dealt.mapInArrow(run, "doc_id long, start long, stop long")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
@@ -298,7 +309,7 @@ def _segments(joined: DataFrame, length: int, parts: int, splitters: np.ndarray)
             places = [len(v) for v in found.values()]
             flat = [x for v in found.values() for x in v]
             sizes = np.array([[len(s) - 1, n] for s, n in zip(found, places, strict=True)], np.int32)
-            row = (bucket, len(found), planes(sizes.reshape(-1)) + b"".join(found), np.array([d for d, _ in flat], np.int64).tobytes(), np.array([p for _, p in flat], np.int32).tobytes())
+            row = (bucket, len(found), packed(planes(sizes.reshape(-1)) + b"".join(found)), np.array([d for d, _ in flat], np.int64).tobytes(), np.array([p for _, p in flat], np.int32).tobytes())
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         return pa.RecordBatch.from_arrays(
@@ -342,6 +353,7 @@ def _spans(segments: DataFrame, length: int, partitions: int) -> DataFrame:
         texts: dict[bytes, int] = {}
         number, docs, starts = [], [], []
         for _, n, data, doc, start in rows:
+            data = unpacked(data)
             sizes = unplanes(data[: 8 * n], 2 * n, np.int32).reshape(n, 2)
             ends = (8 * n + np.cumsum(sizes[:, 0] + 1)).tolist()
             own = [texts.setdefault(data[a:z], len(texts)) for a, z in zip([8 * n, *ends[:-1]], ends, strict=True)]
