@@ -1,0 +1 @@
+"""Declarative dataflow analytics on PySpark."""
