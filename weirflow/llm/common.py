@@ -1,45 +1,13 @@
-"""What the corpus operators share: the shared folder and written tables."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset a folder of this machine serves, which only a local session,
-    whose executors live in the driver, can use; any other session must set it.
-    """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="weirflow-"))
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/weirflow-{uuid.uuid4().hex}/{name}"
-
+from weirflow.shared import fresh_path, shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a scan of it.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_path", "let", "shared_dir", "table", "written"]
 
 
 def let(value: Column, body) -> Column:
