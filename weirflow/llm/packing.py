@@ -75,13 +75,12 @@ class SumOfSquares:
         c, n = self.capacity, self.open
         g, least = c, 1 << 60
         if size < c:
-            # a sequence of gap g = size..c-1 that gets gap g - size changes the sum by 2 * change + 2;
-            # one that becomes full is no longer open
-            change = n[: c - size] - n[size:c]
-            change[0] = -n[size] - 1
-            change = np.where(n[size:c] > 0, change, 1 << 58)
+            # change of the sum when a sequence of gap g = size..c-1 gets gap g - size
+            change = 2 * (n[: c - size] - n[size:c]) + 2
+            change[0] = 1 - 2 * n[size]  # a full sequence is no longer open
+            change = np.where(n[size:c] > 0, change, 1 << 60)
             k = int(np.argmin(change))
-            g, least = size + k, 2 * int(change[k]) + 2
+            g, least = size + k, int(change[k])
         if size >= c or least > 2 * n[c - size] + 1:  # a new sequence adds this
             seq, gap = self.sequences, c
             self.sequences += 1

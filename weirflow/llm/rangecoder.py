@@ -174,7 +174,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for k, i in enumerate(order):
         code = out[k, : used[k] + 4].astype("<u2").tobytes()
         raw = blocks[i].astype("<u4").tobytes()
-        done[i] = HEADER.pack(MAGIC, VERSION, len(blocks[i]), zlib.crc32(raw), len(code), zlib.crc32(code)) + code
+        head = HEADER.pack(MAGIC, VERSION, len(blocks[i]), zlib.crc32(raw), len(code), 0)[:-4]
+        done[i] = head + struct.pack("<I", zlib.crc32(code, zlib.crc32(head))) + code
     return done
 
 
@@ -186,7 +187,7 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
             raise ValueError("a block is cut short")
         magic, version, size, crc, length, code_crc = HEADER.unpack_from(d)
         code = d[HEADER.size :]
-        if magic != MAGIC or version != VERSION or len(code) != length or zlib.crc32(code) != code_crc:
+        if magic != MAGIC or version != VERSION or len(code) != length or zlib.crc32(code, zlib.crc32(d[: HEADER.size - 4])) != code_crc:
             raise ValueError("a block is damaged")
         heads.append((size, crc, code))
     order = sorted(range(len(data)), key=lambda i: -heads[i][0])
