@@ -36,17 +36,19 @@ STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.
 SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 ONE, W16, W48 = np.uint64(1), np.uint64(16), np.uint64(48)
 LOW = np.uint64(0xFFFF)
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+ALL, TOP = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1 << 48)
+#: Bound of a mixing weight.
+LIMIT = 1 << 18
 
 
 class Lanes:
-    """Models and coder states of the blocks, longest first."""
+    """Models and coder states of the blocks, longest first. Tables are flat, a stretch for each lane."""
 
     def __init__(self, n: int):
-        self.t1 = np.zeros((n, 1 << BITS1), np.int32)
-        self.t2 = np.zeros((n, 1 << BITS2), np.int32)
-        self.by = [np.full((n, k), 1 << 14, np.int32) for k in (128, 8, 1)]
-        self.weights = np.full((n, 3), 26000, np.int32)
+        self.t1 = np.zeros(n << BITS1, np.int32)
+        self.t2 = np.zeros(n << BITS2, np.int32)
+        self.by = [np.full(n * k, 1 << 14, np.int32) for k in (128, 8, 1)]
+        self.weights = [np.full(n, 26000, np.int32) for _ in range(3)]
         self.hi = np.zeros((n, 256), np.uint16)
         self.lo = np.zeros((n, CLASSES * 256), np.uint16)
         even = np.arange(257, dtype=np.uint32) * 256
@@ -54,7 +56,9 @@ class Lanes:
         self.cum_lo = np.tile(np.tile(even, CLASSES), (n, 1))
         self.x1 = np.zeros(n, np.uint64)
         self.x2 = np.full(n, ALL, np.uint64)
-        self.lane = np.arange(n)
+        lane = np.arange(n)
+        self.base1, self.base2 = lane << BITS1, lane << BITS2
+        self.base = [lane * k for k in (128, 8, 1)]
 
     def rebuild(self, a: int) -> None:
         for counts, cum, rows in ((self.hi, self.cum_hi, 1), (self.lo, self.cum_lo, CLASSES)):
@@ -67,47 +71,53 @@ class Lanes:
                 out[:, :, 256] = 65536
 
     def predict(self, a: int, p1: np.ndarray, p2: np.ndarray):
-        lane = self.lane[:a]
-        k1 = (p1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS1)
-        k2 = (p1 * np.uint32(0x85EBCA6B) + p2 * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS2)
-        e1, e2 = self.t1[lane, k1], self.t2[lane, k2]
+        at1 = self.base1[:a] + ((p1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS1))
+        at2 = self.base2[:a] + ((p1 * np.uint32(0x85EBCA6B) + p2 * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS2))
+        e1, e2 = self.t1.take(at1), self.t2.take(at2)
         c1, c2 = e1 & 7, e2 & 7
-        use2 = c2 > 0
-        guess = np.where(use2, e2, e1) >> 3
-        guess[(c1 | c2) == 0] = -1
-        same = (e1 >> 3 == guess).astype(np.int32)
-        contexts = (c2 << 4 | c1 << 1 | same, c1, np.zeros(a, np.int32))
-        found = [t[lane, k] for t, k in zip(self.by, contexts, strict=True)]
-        st = np.stack([STRETCH[f >> 4] for f in found], axis=1)
-        w = self.weights[:a]
-        dot = np.clip((w * st).sum(axis=1) >> 16, -2047, 2047)
-        return guess, SQUASH[dot + 2047], (lane, k1, k2, e1, e2, contexts, found, st, w)
+        entry = np.where(c2 > 0, e2, e1)
+        guess = np.where(entry & 7, entry >> 3, -1)
+        same = e1 >> 3 == guess
+        places = (self.base[0][:a] + (c2 << 4 | c1 << 1 | same), self.base[1][:a] + c1, self.base[2][:a])
+        found = [t.take(k) for t, k in zip(self.by, places, strict=True)]
+        st = [STRETCH.take(f >> 4) for f in found]
+        dot = sum(w[:a] * x for w, x in zip(self.weights, st, strict=True)) >> 16
+        p = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
+        return guess, p, (at1, at2, e1, e2, places, found, st)
 
     def update(self, state, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
-        lane, k1, k2, e1, e2, contexts, found, st, w = state
-        y = hit.astype(np.int32)
-        w += (st * ((y << 12) - p)[:, None] + (1 << 9)) >> 10
-        np.clip(w, -(1 << 18), 1 << 18, out=w)
-        for t, k, f in zip(self.by, contexts, found, strict=True):
-            t[lane, k] = f + (((y << 16) - y - f) >> 5)
-        for t, k, e in ((self.t1, k1, e1), (self.t2, k2, e2)):
+        at1, at2, e1, e2, places, found, st = state
+        a = len(ids)
+        error = np.where(hit, 4096 - p, -p)
+        target = np.where(hit, 65535, 0)
+        for w, x, t, k, f in zip(self.weights, st, self.by, places, found, strict=True):
+            moved = w[:a] + ((x * error + 512) >> 10)
+            np.minimum(np.maximum(moved, -LIMIT, out=moved), LIMIT, out=w[:a])
+            t[k] = f + ((target - f) >> 5)
+        fresh = ids << 3 | 1
+        for t, k, e in ((self.t1, at1, e1), (self.t2, at2, e2)):
             conf = e & 7
-            right = (e >> 3 == ids) & (conf > 0)
-            less = conf >> 1
-            t[lane, k] = np.where(right, e + (conf < 7), np.where(less > 0, (e >> 3 << 3) | less, ids << 3 | 1))
+            # right: more sure, up to 7; wrong: half as sure, and replaced when that is nothing
+            wrong = np.where(conf > 1, e - conf + (conf >> 1), fresh)
+            t[k] = np.where((e ^ fresh) >> 3 == 0, np.maximum(fresh, e + (conf < 7)), wrong)
 
     def split(self, a: int, p: np.ndarray) -> np.ndarray:
         return self.x1[:a] + ((self.x2[:a] - self.x1[:a]) >> np.uint64(12)) * p.astype(np.uint64)
 
+    def choose(self, hit: np.ndarray, mid: np.ndarray) -> None:
+        a = len(hit)
+        np.copyto(self.x2[:a], mid, where=hit)
+        np.copyto(self.x1[:a], mid + ONE, where=~hit)
+
     def narrow(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        step = (self.x2[at] - self.x1[at]) >> W16
-        base = self.x1[at]
+        base, top = self.x1[at], self.x2[at]
+        step = (top - base) >> W16
         self.x1[at] = base + step * low.astype(np.uint64)
         # the last symbol takes what the division leaves over
-        self.x2[at] = np.where(high == 65536, self.x2[at], base + step * high.astype(np.uint64) - ONE)
+        self.x2[at] = np.where(high == 65536, top, base + step * high.astype(np.uint64) - ONE)
 
     def agreed(self, a: int) -> np.ndarray:
-        return np.flatnonzero((self.x1[:a] ^ self.x2[:a]) >> W48 == 0)
+        return np.flatnonzero((self.x1[:a] ^ self.x2[:a]) < TOP)
 
     def shift(self, at: np.ndarray) -> None:
         self.x1[at] <<= W16
@@ -153,8 +163,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         guess, p, state = m.predict(a, p1[:a], p2[:a])
         hit = guess == ids
         mid = m.split(a, p)
-        m.x2[:a] = np.where(hit, mid, m.x2[:a])
-        m.x1[:a] = np.where(hit, m.x1[:a], mid + ONE)
+        m.choose(hit, mid)
         emit(a)
         at = np.flatnonzero(~hit)
         if len(at):
@@ -227,8 +236,7 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
         guess, p, state = m.predict(a, p1[:a], p2[:a])
         mid = m.split(a, p)
         hit = code[:a] <= mid
-        m.x2[:a] = np.where(hit, mid, m.x2[:a])
-        m.x1[:a] = np.where(hit, m.x1[:a], mid + ONE)
+        m.choose(hit, mid)
         fetch(a)
         ids = ids_at[t, :a]
         ids[:] = guess
