@@ -26,8 +26,8 @@ import numpy as np
 MAGIC = b"WFID"
 VERSION = 1
 HEADER = struct.Struct("<4sBxxxIIII")
-CLASSES = 32
-BITS1, BITS2 = 12, 13
+CLASSES = 16
+BITS1, BITS2 = 10, 11
 #: Steps after which the order-0 frequencies are taken into use, and from then on every so many.
 REBUILD = {32, 64, 128, 256, 512, 1024}
 EVERY = 2048

@@ -26,7 +26,7 @@ from .encode import loaded
 from .rangecoder import decode_blocks, encode_blocks
 
 #: Ids of a block at most and at least, ids held before blocks are coded together, blocks aimed at.
-BLOCK_IDS, LEAST_IDS, HELD_IDS, LANES = 16384, 256, 6 << 20, 1024
+BLOCK_IDS, LEAST_IDS, HELD_IDS, LANES = 16384, 256, 6 << 20, 2048
 TABLE = struct.Struct("<III")
 BLOCKS = "part int, block int, n_ids long, data binary"
 
