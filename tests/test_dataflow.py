@@ -164,3 +164,25 @@ def test_rate_is_capped(spark):
     df = spark.range(400).select(F.lit("c").alias("k"), (F.col("id") * 5_000_000).alias("ts_ns"))
     r = T.rate_hz(df, "k").orderBy(F.desc("ts_ns")).first()
     assert (r.hz, r.shown_hz) == (201, 128)
+
+
+def test_fusion_of_four(spark):
+    rows = [ticks(spark, f"c{k}", 3 + k, v=F.col("seq") * k) for k in range(4)]
+    out = O.zip_many(rows, "j", lambda a, b, c, d: {"v": a("v") + b("v") + c("v") + d("v")}).orderBy("seq")
+    got = out.select("seq", "v", L.describe("lineage").alias("l")).collect()
+    assert [(r.seq, r.v) for r in got] == [(0, 0), (1, 6), (2, 12)]
+    assert got[1].l == " | ".join(f"c{k}#1 -> j#1" for k in range(4))
+    with pytest.raises(ValueError):
+        O.zip_many(rows[:1], "j", lambda a: {})
+
+
+def test_component_files_become_flows(spark):
+    from weirflow.plans import dagfile
+
+    registry.component("Camera", 0)(lambda s: s.range(4).select((F.col("id") * 1000).alias("ts_ns"), F.col("id").alias("frame")))
+    registry.component("Even", 1)(lambda df: df.filter("frame % 2 = 0"))
+    f = dagfile.to_flow(dagfile.parse("[component cam]\ntype=Camera\ninterval_ms=50\n[component even]\ntype=Even\ninputs=cam"), "d")
+    rows = f.build().lower(spark)["d/even"].orderBy("seq").select("seq", "frame", L.describe("lineage").alias("l")).collect()
+    assert [(r.seq, r.frame, r.l) for r in rows] == [(0, 0, "d/cam#0 -> d/even#0"), (1, 2, "d/cam#2 -> d/even#1")]
+    with pytest.raises(ValueError, match="no component"):
+        dagfile.to_flow(dagfile.parse("[component x]\ntype=Nothing"), "d")

@@ -76,3 +76,25 @@ def test_stats_of_empty_and_single(spark):
     s = R.channel_stats(log(spark, "a", 1, 10)).first()
     assert (s.n, s.rate_hz) == (1, 0.0)
     assert R.totals(log(spark, "a", 0, 1)).first().n == 0
+
+
+def test_rendering(spark):
+    fields = [trec.Field("d", 0, "double"), trec.Field("v", 8, "int32", 2)]
+    packed = trec.pack_pod(spark.createDataFrame([(3.5, [1, 2])], "d double, v array<int>"), fields)
+    assert trec.render_pod(packed, fields).first().text == "d=3.5 v=1,2"
+    assert trec.render_pod(packed, None).first().text == "0000000000000c400100000002000000"
+
+
+def test_command(spark, capsys):
+    from weirflow import cli
+
+    path = fresh_path(spark, "log")
+    src = log(spark, "s/in", 10, 1_000_000)
+    out = src.select(F.lit("s/out").alias("channel"), "seq", (F.col("ts_ns") + 1000).alias("ts_ns"), (F.col("arrival") + 1).alias("arrival"), "payload", L.add_hop("lineage", "s/out", "seq").alias("lineage"))
+    R.write(R.merge(src, out), path)
+    assert cli.main([path, "--messages", "1", "--calibrate"], spark) == 0
+    assert "s/out: N=10 p50=1 p99=1 p99.9=1 us, suggest 1.3 us" in capsys.readouterr().out
+    assert cli.main([path, "--declared", "s/out=1"], spark) == 0
+    assert cli.main([path, "--declared", "s/out=100"], spark) == 3
+    assert cli.main([path, "--declared", "gone=1"], spark) == 2
+    assert cli.main([path + "/nothing"], spark) == 1

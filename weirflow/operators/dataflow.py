@@ -93,6 +93,23 @@ def zip_join(a: DataFrame, b: DataFrame, channel: str, fn: Callable[[Callable, C
     )
 
 
+def zip_many(inputs: Sequence[DataFrame], channel: str, fn: Callable[..., dict[str, Column]]) -> DataFrame:
+    """The n-th messages of two to four channels; ``fn`` gets an accessor of payload columns for each."""
+    if not 2 <= len(inputs) <= 4:
+        raise ValueError("two to four channels are fused")
+    sides = [d.select("seq", *[F.col(c).alias(f"_{k}_{c}") for c in d.columns if c != "seq"]) for k, d in enumerate(inputs)]
+    both = reduce(lambda x, y: x.join(y, "seq"), sides)
+    columns = fn(*[lambda c, k=k: F.col(f"_{k}_{c}") for k in range(len(sides))])
+    lineage = reduce(L.merge, [F.col(f"_{k}_lineage") for k in range(len(sides))])
+    return both.select(
+        "seq",
+        F.greatest(*[f"_{k}_arrival" for k in range(len(sides))]).alias("arrival"),
+        F.greatest(*[f"_{k}_ts_ns" for k in range(len(sides))]).alias("ts_ns"),
+        *[v.alias(k) for k, v in columns.items()],
+        L.add_hop(lineage, channel, "seq").alias("lineage"),
+    )
+
+
 def overflows(a: DataFrame, b: DataFrame, depth: int = QUEUE) -> bool:
     """Whether one side ever runs more than ``depth`` ahead, so that its queue drops messages."""
     both = a.select("arrival", F.lit(1).alias("d")).unionByName(b.select("arrival", F.lit(-1).alias("d")))

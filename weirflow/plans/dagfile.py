@@ -47,3 +47,15 @@ def parse(text: str) -> list[Component]:
         if not c.type:
             raise ValueError(f"component '{c.name}' missing type")
     return found
+
+
+def to_flow(components: list[Component], name: str):
+    """A flow of registered components; each one's output is the channel of its name."""
+    from .flow import FlowBuilder
+
+    f = FlowBuilder(name)
+    for c in components:
+        made = f.from_(c.type, *[f.tap(i) for i in c.inputs], interval_us=c.interval_ms * 1000, output=c.name)
+        if not made:
+            raise ValueError(f"no component {c.type} with {len(c.inputs)} inputs")
+    return f

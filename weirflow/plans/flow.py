@@ -93,8 +93,7 @@ class FlowBuilder:
         channel = self._named(name)
 
         def plan(c: str, spark: SparkSession) -> DataFrame:
-            df = rows(spark)
-            df = O.source(df, c, order)
+            df = O.source(rows(spark), c, order)
             return df if "arrival" in df.columns else df.withColumn("arrival", F.col("seq"))
 
         return self._add("source", (), channel, plan, interval_us=interval_us)
@@ -115,14 +114,18 @@ class FlowBuilder:
         self._add("stateful", (chain.channel,), out, lambda c, d: O.stateful(d, c, state, folds, columns), state=state)
         return Chain(self, out), Chain(self, state)
 
-    def from_(self, name: str, *inputs: Chain, interval_us: int = 0) -> Chain:
+    def from_(self, name: str, *inputs: Chain, interval_us: int = 0, output: str = "") -> Chain:
         """A registered component over none, one or two channels; unknown names give an invalid chain."""
         fn = registry.get_component(name, len(inputs))
         if fn is None:
             return Chain(self, "", valid=False)
-        channel = self._anonymous()
+        channel = self._named(output) if output else self._anonymous()
         if not inputs:
-            plan = lambda c, spark: O.source(fn(spark), c, ["ts_ns"])
+
+            def plan(c: str, spark: SparkSession) -> DataFrame:
+                df = O.source(fn(spark), c, ["ts_ns"])
+                return df if "arrival" in df.columns else df.withColumn("arrival", F.col("seq"))
+
             return self._add("from", (), channel, plan, interval_us=interval_us, via=name)
         return self._add("from", tuple(i.channel for i in inputs), channel, lambda c, *d: _component(c, fn, d), via=name)
 

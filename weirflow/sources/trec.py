@@ -35,6 +35,8 @@ CODECS = {0: None, 1: "lz4_raw", 2: "zstd"}
 POD_TYPES = {"double": ("<f8", 0), "float": ("<f4", 1), "int32": ("<i4", 2), "int64": ("<i8", 3), "uint32": ("<u4", 4), "uint64": ("<u8", 5), "bool": ("?", 6)}
 SPARK_TYPES = {"double": "double", "float": "float", "int32": "int", "int64": "long", "uint32": "long", "uint64": "decimal(20,0)", "bool": "boolean"}
 MAX_FIELDS = 4096
+#: Elements of an array field that a rendering shows.
+SHOWN = 16
 
 ROW = f"channel string, seq long, ts_ns long, arrival long, payload binary, lineage {L.LINEAGE}"
 _hop = pa.struct([("channel", pa.string()), ("seq", pa.int64()), ("seq_end", pa.int64())])
@@ -350,6 +352,24 @@ def decode_pod(df: DataFrame, fields: Sequence[Field], payload: str = "payload")
     return df.mapInArrow(run, ", ".join(kinds))
 
 
+def render_pod(df: DataFrame, fields: Sequence[Field] | None, payload: str = "payload") -> DataFrame:
+    """Add ``text``: ``name=value`` of the fields with six significant digits, or hex where the layout is unknown."""
+    if not fields:
+        return df.withColumn("text", F.lower(F.hex(payload)))
+    from weirflow.functions.scalars import format_g
+
+    one = lambda c, f: format_g(c.cast("double")) if f.type in ("double", "float") else c.cast("string")
+    shown = []
+    for f in fields:
+        places = [F.col(f"_f.{f.name}")] if f.count == 1 else [F.get(F.col(f"_f.{f.name}"), F.lit(i)) for i in range(min(f.count, SHOWN))]
+        value = F.concat_ws(",", *[one(c, f) for c in places])
+        shown.append(F.when(F.col(f"_f.{f.name}").isNotNull(), F.concat(F.lit(f.name + "="), value)))
+    rest = df.columns
+    whole = decode_pod(df.withColumn("_p", F.col(payload)), fields, "_p")
+    nested = whole.select(*rest, F.struct(*[f.name for f in fields]).alias("_f"))
+    return nested.select(*rest, F.concat_ws(" ", *shown).alias("text"))
+
+
 def _arrow(f: Field) -> pa.DataType:
     kinds = {"double": pa.float64(), "float": pa.float32(), "int32": pa.int32(), "int64": pa.int64(), "uint32": pa.int64(), "uint64": pa.decimal128(20, 0), "bool": pa.bool_()}
     return pa.list_(kinds[f.type]) if f.count > 1 else kinds[f.type]

@@ -30,6 +30,11 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("pathGlobFilter", at.getName()).parquet(path.rpartition("/")[0])
 
 
+def ticks(spark: SparkSession, per_second: int) -> DataFrame:
+    """An unbounded periodic source: ``seq, at``."""
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("seq"), F.col("timestamp").alias("at"))
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there now, exactly once into Parquet, and return the rows written."""
     spark = stream.sparkSession
