@@ -4,9 +4,11 @@ Documents with the same shingle set form a class, and only one document of a cla
 on, so exact copies cost one aggregation. Classes that share a band key meet in a
 bucket. First each member is paired with the bucket's least one, which links a group of
 any size by a number of pairs in proportion to it. Buckets whose members are not all
-connected by then are searched in rounds: a bounded number of pivots a bucket meet all
-members of other components, and drop out, until no bucket holds two components and an
-unpaired member. Pairs pass the corrected estimate and are then confirmed on the full
+connected by then are searched in rounds: a bounded number of pivots from outside the
+bucket's largest component meet the members of other components as these stream by, and
+drop out, until no bucket holds two components and an unsearched member. A round first
+confirms only the likeliest partners of each pivot, which connects most of them, and
+then all that are left. Pairs pass the corrected estimate and are confirmed on the full
 sets.
 """
 
@@ -26,10 +28,14 @@ from .components import components
 from .hyperminhash import BANDS, BUCKETS, band_keys, similarity, sketch
 from .shingles import STEPS, mix, shingle_sets
 
-#: Pivots of a bucket in a round, about; smaller buckets are done in one.
-PIVOTS = 48
-#: How far an estimate may lie below the threshold: over five standard deviations of 256 registers.
-MARGIN = 0.2
+#: Pivots of a bucket in a round, about; with fewer members outside the largest component one does.
+PIVOTS = 128
+#: Members of a bucket that one task compares with its pivots, about.
+STRETCH = 20_000
+#: Partners of a pivot in a bucket that the first step of a round confirms.
+BEST = 2
+#: How far an estimate may lie below the threshold: nearly five standard deviations of 256 registers.
+MARGIN = 0.13
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,6 +91,83 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
+def search(live: DataFrame, threshold: float, best: int | None) -> DataFrame:
+    """Likely pairs of pivots and members of other components, each reported by the first band that both share.
+
+    ``live`` has ``key, size, rep, comp, pivot, n, registers``. A large bucket is dealt out in stretches,
+    each with all of its pivots, and members stream past them. With ``best`` a pivot reports only so many,
+    from every bucket, whose estimates are highest.
+    """
+    names = ["key", "salt", "role", "rep", "comp", "n", "registers"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pivots, found = None, [], []
+
+        def pairs_of(rows: list[tuple]) -> list[tuple[float, int, int]]:
+            regs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, BUCKETS)
+            rep, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+            bands: dict[int, np.ndarray] = {}
+            out = []
+            for p in pivots:
+                own = np.frombuffer(p[6], np.uint16)
+                # two pivots meet once
+                fit = (comp != p[4]) & (np.minimum(n, p[5]) >= threshold * np.maximum(n, p[5]) * (1 - 1e-9)) & ~(np.isin(rep, pivot_reps) & (rep > p[3]))
+                at = np.flatnonzero(fit)
+                est = similarity(regs[at], own[None], n[at], np.full(len(at), p[5]))
+                some = est >= threshold - MARGIN
+                at, est = at[some], est[some]
+                if best is None and len(at):
+                    keys = band_keys(own)
+                    for k in at.tolist():
+                        if k not in bands:
+                            bands[k] = band_keys(regs[k])
+                    first = [int(keys[np.argmax(bands[k] == keys)].view(np.int64)) == group[0] for k in at.tolist()]
+                    at, est = at[first], est[first]
+                out += zip(est.tolist(), [p[3]] * len(at), rep[at].tolist(), strict=True)
+            return out
+
+        def report() -> pa.RecordBatch:
+            chosen = found
+            if best is not None:
+                ranked: dict[int, int] = {}
+                chosen = []
+                for e, p, m in sorted(found, reverse=True):
+                    ranked[p] = ranked.get(p, 0) + 1
+                    if ranked[p] <= best:
+                        chosen.append((e, p, m))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([max(p, m) for _, p, m in chosen], pa.int64()), pa.array([min(p, m) for _, p, m in chosen], pa.int64())], ["u", "v"]
+            )
+
+        pivot_reps = np.zeros(0, np.int64)
+        for b in batches:
+            rows = list(zip(*(b.column(k).to_pylist() for k in range(len(names))), strict=True))
+            i = 0
+            while i < len(rows):
+                if rows[i][:2] != group:
+                    if found:
+                        yield report()
+                    group, pivots, found = rows[i][:2], [], []
+                j = i
+                while j < len(rows) and rows[j][:2] == group and rows[j][2] == rows[i][2]:
+                    j += 1
+                if rows[i][2] == 0:
+                    pivots += rows[i:j]
+                    pivot_reps = np.array([p[3] for p in pivots], np.int64)
+                elif pivots:
+                    for k in range(i, j, 4096):
+                        found += pairs_of(rows[k : min(j, k + 4096)])
+                i = j
+        if found:
+            yield report()
+
+    salts = F.ceil(F.col("size") / STRETCH).cast("int")
+    members = live.withColumn("role", F.lit(1)).withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
+    pivots = live.filter("pivot").withColumn("role", F.lit(0)).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    both = members.select(names).unionByName(pivots.select(names)).repartition("key", "salt")
+    return both.sortWithinPartitions("key", "salt", "role", "rep").mapInArrow(run, "u long, v long").distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -134,34 +217,39 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").drop("hi")
     shared = written(entries.join(buckets, "key"), "buckets")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        fit = written(likely(pairs, reps, threshold), "likely")
-        return confirmed(fit, docs, percent, id_col, text_col)
+    def links(fit: DataFrame) -> DataFrame:
+        return written(confirmed(written(fit, "likely"), docs, percent, id_col, text_col), "links")
 
-    edges = written(links(shared.filter("rep > lo").select(F.col("rep").alias("u"), F.col("lo").alias("v")).distinct()), "links")
+    star = shared.filter("rep > lo").select(F.col("rep").alias("u"), F.col("lo").alias("v")).distinct()
+    edges = links(likely(star, reps, threshold))
     comp = components(edges)
     members = shared.select("key", "rep")
     step = 0
+
+    def named(rows: DataFrame) -> DataFrame:
+        of = comp.select(F.col("u").alias("rep"), F.col("v").alias("_c"))
+        return rows.join(of, "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
+
     while True:
         step += 1
-        named = members.join(comp.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn(
-            "comp", F.coalesce("comp", "rep")
-        )
-        mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        # of two members one has met the other: the least one was the first round's pivot
-        mixed = mixed.filter("lo < hi" + (" and size > 2" if step == 1 else "")).select("key", "size")
-        live = written(
-            named.join(mixed, "key").withColumn("pivot", F.pmod(F.xxhash64("rep", F.lit(step)), F.col("size")) < PIVOTS), "live"
+        rows = named(members)
+        parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        mixed = parts.groupBy("key").agg(
+            F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")
         )
+        # of two members one has met the other: the least one was the first step's pivot
+        mixed = mixed.filter("comps > 1" + (" and size > 2" if step == 1 else "")).drop("comps")
+        outside = F.col("comp") != F.col("largest")
+        pivot = outside & (F.pmod(F.xxhash64("rep", F.lit(step)), F.col("size") - F.col("most")) < PIVOTS)
+        live = written(rows.join(mixed, "key").select("key", "size", "rep", "comp", pivot.alias("pivot")), "live")
         if live.isEmpty():
             break
-        a = live.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        b = live.filter("pivot").select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        pairs = a.join(b, "key").filter("ca <> cb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        found = written(links(pairs), "links")
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            comp = components(edges)
+        live = written(live.join(reps, "rep"), "live")
+        for best in (BEST, None):
+            found = links(search(named(live.drop("comp")), threshold, best))
+            if not found.isEmpty():
+                edges = edges.unionByName(found)
+                comp = components(edges)
         members = live.filter(~F.col("pivot")).select("key", "rep")
     ids = sig.select("doc_id", "n", "h1", "h2")
     out = ids.join(classes, ["h1", "h2", "n"], "left").join(comp.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left")
