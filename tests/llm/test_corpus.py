@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weirflow.llm import chat, exact_dedup, langid, mixing, near_dedup, packing, quality, rangecoder, suffix_dedup, tokenfile, tokens
+from weirflow.llm import components as components_module
 from weirflow.shared import fresh_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n string, h string, key long, rep long"
@@ -159,9 +160,10 @@ def components(docs, percent=75):
     return {i: (len(sets[i]), find(i)) for i in docs}
 
 
-@pytest.mark.parametrize("pivots", [48, 1])
-def test_near_dedup(spark, pivots, monkeypatch):
+@pytest.mark.parametrize(("pivots", "local"), [(128, 200_000), (1, 0)])
+def test_near_dedup(spark, pivots, local, monkeypatch):
     monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(components_module, "LOCAL_EDGES", local)
     docs = documents(7)
     r = random.Random(3)
     chain = [r.choice(WORDS) + str(k) for k in range(80)]
@@ -174,6 +176,26 @@ def test_near_dedup(spark, pivots, monkeypatch):
     assert all(x.kept == (x.component_id == i) for i, x in got.items())
 
 
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_components(spark, local, monkeypatch):
+    monkeypatch.setattr(components_module, "LOCAL_EDGES", local)
+    r = random.Random(6)
+    pairs = [(k + 1, k) for k in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, k) for k in range(301, 340)]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in pairs:
+        a, b = sorted((find(u), find(v)))
+        parent[b] = a
+    df = spark.createDataFrame([(max(p), min(p)) for p in pairs], "u long, v long")
+    got = {x.u: x.v for x in components_module.components(df).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -34,8 +34,8 @@ PIVOTS = 128
 STRETCH = 20_000
 #: Partners of a pivot in a bucket that the first step of a round confirms.
 BEST = 2
-#: How far an estimate may lie below the threshold: nearly five standard deviations of 256 registers.
-MARGIN = 0.13
+#: How far an estimate may lie below the threshold: so many of its standard deviations, and a hundredth.
+DEVIATIONS, SLACK = 4, 0.01
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,6 +74,18 @@ def band_entries(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "registers").mapInArrow(run, "key long, rep long")
 
 
+def least_estimate(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """The lowest estimate that a pair of sets at the threshold may get.
+
+    Registers sample the union without replacement, one element a bucket, so small
+    unions are known almost exactly.
+    """
+    union = (n + m) / (1 + threshold)
+    sampled = BUCKETS * -np.expm1(-union / BUCKETS)
+    variance = threshold * (1 - threshold) / sampled * np.maximum(0, 1 - sampled / np.maximum(union, sampled))
+    return threshold - SLACK - DEVIATIONS * np.sqrt(variance)
+
+
 def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``u, v`` whose corrected estimate does not rule the threshold out."""
 
@@ -83,7 +95,7 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                 continue
             a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in (2, 3))
             n, m = b.column(4).to_numpy(), b.column(5).to_numpy()
-            fit = (similarity(a, c, n, m) >= threshold - MARGIN) & (np.minimum(n, m) >= threshold * np.maximum(n, m) * (1 - 1e-9))
+            fit = (similarity(a, c, n, m) >= least_estimate(n, m, threshold)) & (np.minimum(n, m) >= threshold * np.maximum(n, m) * (1 - 1e-9))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(fit))
 
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("registers").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
@@ -114,7 +126,7 @@ def search(live: DataFrame, threshold: float, best: int | None) -> DataFrame:
                 fit = (comp != p[4]) & (np.minimum(n, p[5]) >= threshold * np.maximum(n, p[5]) * (1 - 1e-9)) & ~(np.isin(rep, pivot_reps) & (rep > p[3]))
                 at = np.flatnonzero(fit)
                 est = similarity(regs[at], own[None], n[at], np.full(len(at), p[5]))
-                some = est >= threshold - MARGIN
+                some = est >= least_estimate(n[at], p[5], threshold)
                 at, est = at[some], est[some]
                 if best is None and len(at):
                     keys = band_keys(own)
@@ -241,12 +253,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mixed = mixed.filter("comps > 1" + (" and size > 2" if step == 1 else "")).drop("comps")
         outside = F.col("comp") != F.col("largest")
         pivot = outside & (F.pmod(F.xxhash64("rep", F.lit(step)), F.col("size") - F.col("most")) < PIVOTS)
-        live = written(rows.join(mixed, "key").select("key", "size", "rep", "comp", pivot.alias("pivot")), "live")
+        live = written(rows.join(mixed, "key").select("key", "size", "largest", "rep", "comp", pivot.alias("pivot")), "live")
         if live.isEmpty():
             break
         live = written(live.join(reps, "rep"), "live")
         for best in (BEST, None):
-            found = links(search(named(live.drop("comp")), threshold, best))
+            if best is None:
+                # a pivot that has joined the largest component is a member like any other
+                of = comp.select(F.col("u").alias("largest"), F.col("v").alias("_l"))
+                now = named(live.drop("comp")).join(of, "largest", "left").withColumn("largest", F.coalesce("_l", "largest"))
+                live = written(now.withColumn("pivot", F.col("pivot") & (F.col("comp") != F.col("largest"))).drop("_l"), "live")
+            found = links(search(live, threshold, best))
             if not found.isEmpty():
                 edges = edges.unionByName(found)
                 comp = components(edges)
