@@ -12,8 +12,10 @@ import os
 import re
 import zlib
 
-#: Entries of the chunk cache, a worker; it is emptied when they are reached.
-CACHE_ENTRIES = 500_000
+#: Entries of the chunk cache, a worker (about 200 bytes each); it is emptied when they are reached.
+CACHE_ENTRIES = 1_200_000
+#: Bytes of a chunk that stays in the cache.
+CACHED_BYTES = 64
 #: Text bytes handled at once.
 BLOCK_BYTES = 2 << 20
 #: ASCII white space as byte-level patterns cut it: the last blank goes with the next word.
@@ -62,6 +64,9 @@ class Encoder:
             self.cache.update(zip(new, self.pack([c.decode() for c in new]), strict=True))
             get = self.cache.__getitem__
             out += [b"".join(map(get, s)) if s is not None else self.pack([t.decode()])[0] for s, t in zip(split, texts[i:j], strict=True)]
+            for c in new:
+                if len(c) > CACHED_BYTES:
+                    del self.cache[c]
             i = j
         return out
 

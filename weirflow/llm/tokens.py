@@ -24,6 +24,8 @@ from weirflow.shipping import ship
 NONE = np.int64(1 << 40)
 #: Entries of the chunk cache, a worker; it is emptied when they are reached.
 CACHE_ENTRIES = 600_000
+#: Bytes of a chunk that stays in the cache.
+CACHED_BYTES = 64
 #: Text bytes handled at once.
 BLOCK_BYTES = 2 << 20
 
@@ -116,8 +118,8 @@ class WordBpe:
             rank[pair] = self.rank(sym[pair], sym[pair + 1])
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Count the tokens of chunks that the cache does not hold."""
+    def learn(self, chunks: set[bytes]) -> list[bytes]:
+        """Count the tokens of chunks that the cache does not hold, and return these."""
         new = [c for c in chunks if c not in self.cache]
         owner, words, base = [], [], []
         for i, c in enumerate(new):
@@ -128,6 +130,7 @@ class WordBpe:
         total = np.array(base, np.int64)
         np.add.at(total, np.array(owner, np.int64), self.count_words(words))
         self.cache.update(zip(new, total.tolist(), strict=True))
+        return new
 
     def counts(self, texts: list[bytes]) -> list[int]:
         """Tokens of whole texts in UTF-8."""
@@ -141,9 +144,12 @@ class WordBpe:
             if len(self.cache) > CACHE_ENTRIES:
                 self.cache.clear()
             split = [t.split() for t in texts[i:j]]
-            self.learn(set().union(*split))
+            new = self.learn(set().union(*split))
             get = self.cache.__getitem__
             out += [sum(map(get, chunks)) for chunks in split]
+            for c in new:
+                if len(c) > CACHED_BYTES:
+                    del self.cache[c]
             i = j
         return out
 
