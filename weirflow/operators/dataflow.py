@@ -67,8 +67,7 @@ def op(df: DataFrame, channel: str, emit: Column, init: Column | None = None) ->
     first = None
     if init is not None:
         first = df.sparkSession.range(1).select(F.posexplode(init).alias("seq", "_row")).withColumn("seq", F.col("seq").cast("bigint"))
-        shift = first.agg(F.count(F.lit(1)).alias("_shift"))
-        out = out.crossJoin(F.broadcast(shift)).withColumn("seq", F.col("seq") + F.col("_shift"))  # one row
+        out = out.withColumn("seq", F.col("seq") + first.count())
     out = out.select("seq", "arrival", "ts_ns", "_row.*", L.add_hop("lineage", channel, "seq").alias("lineage"))
     if first is None:
         return out
@@ -250,7 +249,8 @@ def recover(df: DataFrame, state: DataFrame, version: int, folds: dict[str, tupl
     rest = df.join(F.broadcast(at.select("absorbed")), F.col("seq") > F.col("absorbed"))  # one row
     tail = rest.agg(F.count(F.lit(1)).alias("replayed"), *[getattr(F, f)(c).alias(k) for k, (f, c) in folds.items()])
     add = {"sum": lambda x, y: F.coalesce(x + y, x, y), "min": F.least, "max": F.greatest}
-    return at.crossJoin(tail).select("absorbed", "replayed", *[add[f](F.col(f"_{k}"), F.col(k)).alias(k) for k, (f, _) in folds.items()])
+    one = F.lit(1).alias("_one")
+    return at.select("*", one).join(tail.select("*", one), "_one").select("absorbed", "replayed", *[add[f](F.col(f"_{k}"), F.col(k)).alias(k) for k, (f, _) in folds.items()])
 
 
 def top_by(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
