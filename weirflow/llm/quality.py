@@ -13,6 +13,8 @@ documents, and all of them together no more than ``alpha``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,20 +159,19 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float,
     counts = hist.groupBy("stratum", "rule").agg(
         F.collect_list(F.struct("passed", "good", "bad")).alias("h"), F.sum("good").alias("n")
     )  # at most one entry for each cutoff and one more
+    counts = written(counts, "counts")
     over = lambda what: F.expr(f"aggregate(filter(h, x -> x.passed >= g.need), 0L, (a, x) -> a + x.{what})")
     tested = counts.select("stratum", "rule", "h", "n", steps.alias("g")).select(
         "stratum", "rule", "n", "g.step", "g.cutoff", over("good").alias("false_rejected"), over("bad").alias("rejected")
     )
-    strata = counts.agg(F.countDistinct("stratum").alias("strata"))
-    level = F.log(F.lit(delta) / (F.col("strata") * len(RULES)))
+    level = math.log(delta / (max(1, counts.select("stratum").distinct().count()) * len(RULES)))
     a = F.lit(alpha / len(RULES))
     safe = (F.col("n") > 0) & (F.col("false_rejected") <= F.col("n") * a) & (
         log_binomial_tail(F.least(F.col("false_rejected"), F.floor(F.col("n") * a)), F.col("n"), a) <= level
     )
     w = Window.partitionBy("stratum", "rule").orderBy("step")
     certified = (
-        tested.crossJoin(F.broadcast(strata))  # one row
-        .withColumn("ok", F.min(F.when(safe, 1).otherwise(0)).over(w))
+        tested.withColumn("ok", F.min(F.when(safe, 1).otherwise(0)).over(w))
         .filter("ok = 1")
         .withColumn("use", F.col("rejected") - price * F.col("false_rejected"))
         .filter("use > 0")
