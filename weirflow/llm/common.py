@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.shared import fresh_path, shared_dir, written
 
-__all__ = ["fresh_path", "let", "shared_dir", "table", "written"]
+__all__ = ["fresh_path", "let", "shared_dir", "slices", "table", "written"]
 
 
 def let(value: Column, body) -> Column:
@@ -19,5 +22,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, without a copy: what a worker holds as Python objects stays small."""
+    for b in batches:
+        for begin in range(0, b.num_rows, rows):
+            yield b.slice(begin, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,11 +13,11 @@ import re
 import zlib
 
 #: Entries of the chunk cache, a worker (about 200 bytes each); it is emptied when they are reached.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 300_000
 #: Bytes of a chunk that stays in the cache.
 CACHED_BYTES = 64
 #: Text bytes handled at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: ASCII white space as byte-level patterns cut it: the last blank goes with the next word.
 BYTE_CHUNKS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: White space beyond ASCII.

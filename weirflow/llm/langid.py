@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from weirflow.shipping import ship
 
+from .common import slices
+
 NGRAM = 4
 #: Slots of the filter (a power of two) and probes of an n-gram.
 SLOT_BITS, PROBES = 18, 3
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     some = d.filter(F.pmod(F.xxhash64("i"), F.lit(steps)) < shares[F.col("lang")])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = [np.unique(ngrams(folded(text[i : i + BLOCK_CHARS])[0])) for i in range(0, len(text), BLOCK_CHARS)]
                 h = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
@@ -202,7 +204,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = model.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
@@ -223,7 +225,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             if model.langs:
                 keep = [lang != UNKNOWN and score >= least_score for lang, score in model.predict(texts)]

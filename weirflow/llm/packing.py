@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weirflow.shipping import ship
 
-from .common import written
+from .common import slices, written
 from .encode import loaded
 
 #: Short pieces of a group, about.
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = loaded(tokenizer_path)
-        for b in batches:
+        for b in slices(batches):
             row, no, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(enc.encode([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()])):
                 ids += end

@@ -6,7 +6,7 @@ import numpy as np
 
 K = 5
 #: Text bytes handled at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
@@ -26,7 +26,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

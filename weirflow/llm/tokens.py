@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 
 from weirflow.shipping import ship
 
+from .common import slices
+
 NONE = np.int64(1 << 40)
 #: Entries of the chunk cache, a worker; it is emptied when they are reached.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Bytes of a chunk that stays in the cache.
 CACHED_BYTES = 64
 #: Text bytes handled at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -177,7 +179,7 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer_path)
-        for b in batches:
+        for b in slices(batches):
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             n = bpe.counts(texts)
             yield pa.RecordBatch.from_arrays(
