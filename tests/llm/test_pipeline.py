@@ -1,12 +1,16 @@
 """The stages of the pipeline against what they must keep."""
 
+import re
+
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_corpus import components, documents
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from weirflow.llm import langid
 from weirflow.shared import fresh_path, written
 
 
@@ -22,8 +26,11 @@ def test_stages(spark):
         kept[name] = {r.doc_id: r.text for r in out.collect()}
         df = out
     assert all(any(map(str.isalpha, t)) for t in kept["language"].values())
-    lost = [i for i, t in docs.items() if any(map(str.isalpha, t or "")) and i not in kept["language"]]
-    assert all(len(set(docs[i])) < 4 or not docs[i].isascii() or len(docs[i]) < 40 for i in lost)  # junk without any known n-gram
+    model = langid.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").filter(~langid.held_out(F.col("doc_id"))))
+    said = dict(zip(docs, model.predict(list(docs.values())), strict=True))
+    assert sorted(kept["language"]) == sorted(i for i, (lang, score) in said.items() if lang != "und" and score >= 0.05)
+    prose = [i for i, t in docs.items() if t and all(re.fullmatch("(ka|lo|mi|re|tu|vo)(n|st||x|ra|el)", w) for w in t.split()) and len(t) > 20]
+    assert len(prose) > 60 and set(prose) <= set(kept["language"])
     first = {}
     for i in sorted(kept["language"]):
         first.setdefault(kept["language"][i], i)
