@@ -264,6 +264,23 @@ def test_learned_cutoffs_reject_bad_and_keep_good(spark):
     assert few.count() == 0  # too few labels to certify anything
 
 
+def test_cutoffs_are_certified_jointly(spark):
+    # 4 strata of 500 good documents: enough for alpha as a whole, not for a fifth of it
+    n = 2400
+    i, bad = F.col("id"), F.col("id") % 24 < 4
+    zero = F.lit(0).cast("long")
+    stats = spark.range(n).select(
+        i.alias("doc_id"), (i % 4).cast("string").alias("stratum"), F.lit(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"),
+        F.when(bad, 90).otherwise(0).cast("long").alias("n_symbols"), zero.alias("n_dup_lines"), zero.alias("n_repeat_words"),
+        # in one stratum shouts reject 10 of the good and one bad document each step: the sequence stops there
+        F.when((i % 4 == 3) & ~bad, F.when(i % 40 == 39, 390).otherwise(0)).when(i == 3, 390).otherwise(0).cast("long").alias("n_shouts"),
+        F.lit(False).alias("base_failed"),
+    )
+    labels = spark.range(n).select(i.alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"))
+    cut = {(r.stratum, r.rule): r.cutoff for r in quality.fit_cutoffs(stats, labels, 0.01, 0.05, 10.0).collect()}
+    assert cut == {(s, "symbols_per_word"): 0.8 for s in "012"}
+
+
 # --- chat
 
 

@@ -1,14 +1,18 @@
 """Quality rules whose cutoffs carry a statistical guarantee.
 
-Each rule rejects a document whose statistic exceeds a cutoff. A fixed grid of
-cutoffs is certified on labelled good documents, separately in each stratum: a
-cutoff counts as safe when the exact binomial tail P(Bin(n, a) <= k) of its k false
-rejections among n good documents is at most the level of the test. Cutoffs are
-tested from the loosest to the tightest and testing stops at the first failure
-(fixed-sequence testing, which needs no correction along the grid); the level is
-divided by the number of strata and rules (Bonferroni). So with probability
-``1 - delta`` no rule of any stratum rejects more than ``alpha / rules`` of its good
-documents, and all of them together no more than ``alpha``.
+Each rule rejects a document whose statistic exceeds a cutoff, from a fixed grid. Each
+stratum has one sequence of sets of cutoffs, all rules together, from the loosest to the
+tightest: the grids of all rules are walked side by side, and steps that reject no
+further labelled bad document are left out. The sequence does not depend on the good
+documents, which alone are tested. A set of cutoffs counts as safe when the exact
+binomial tail P(Bin(n, alpha) <= k) of the k false rejections of all its rules together
+among n good documents is at most the level of the test; testing stops at the first
+failure (fixed-sequence testing, which needs no correction along the sequence), and only
+the strata divide the level (Bonferroni). So with probability ``1 - delta`` in no
+stratum the rules together reject more than ``alpha`` of the good documents that pass
+the base. Cutoffs looser than certified ones reject less, so each rule may choose freely
+among those. With no false rejection a stratum needs ln(delta / strata) / ln(1 - alpha)
+good labels.
 """
 
 from __future__ import annotations
@@ -38,6 +42,13 @@ GRID = {
     "chars_per_word": [60, 40, 30, 25, 20, 18, 16, 14, 12, 11, 10],
     "shouts_per_word": [5, 4, 3, 2, 1.5, 1, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1],
 }
+#: All steps of all grids, by their place within the grid: position, rule, step, cutoff.
+SEQUENCE = [
+    (at, rule, step, float(cutoff))
+    for at, (_, _, rule, step, cutoff) in enumerate(
+        sorted(((i + 1) / len(GRID[name]), r, name, i, c) for r, name in enumerate(RULES) for i, c in enumerate(GRID[name]))
+    )
+]
 #: Strata up to which the cutoffs are broadcast (a few KB); beyond, they are joined by a shuffle.
 MAX_BROADCAST_STRATA = 1000
 
@@ -133,43 +144,34 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float,
     qualities are left out and a document labelled twice counts with its lower one.
     """
     lab = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = stats.filter(~F.col("base_failed")).join(lab, "doc_id")
-    rule = F.explode(
-        F.array(*[
-            F.struct(
-                F.lit(name).alias("rule"),
-                sum((F.when(F.expr(expr) > float(c), 1).otherwise(0) for c in GRID[name]), F.lit(0)).alias("passed"),
-            )
-            for name, expr in RULES.items()
-        ])
+    # a statistic exceeds the tightest cutoffs first: a rule rejects from its step `first` on
+    firsts = F.map_from_arrays(
+        F.array(*[F.lit(name) for name in RULES]),
+        F.array(*[sum((F.when(F.expr(expr) > float(c), 0).otherwise(1) for c in GRID[name]), F.lit(0)) for name, expr in RULES.items()]),
     )
-    # a statistic exceeds the tightest cutoffs first: a document over `passed` of them is rejected by the last `passed` steps
-    hist = (
-        held.select("stratum", "quality", rule.alias("r"))
-        .groupBy("stratum", "r.rule", "r.passed")
+    held = stats.filter(~F.col("base_failed")).join(lab, "doc_id").select("stratum", (F.col("quality") >= 1).alias("good"), firsts.alias("first"))
+    held = written(held, "labelled")
+    steps = "array(" + ", ".join(f"struct({at} as at, '{rule}' as rule, {step} as step, {cut}D as cutoff)" for at, rule, step, cut in SEQUENCE) + ")"
+    catches = F.explode(F.expr(f"filter({steps}, x -> x.step = first[x.rule])"))
+    paths = held.filter("not good").select("stratum", catches.alias("x")).distinct().groupBy("stratum").agg(F.collect_list("x").alias("path"))
+    joint = F.expr("array_min(transform(filter(path, x -> x.step >= first[x.rule]), x -> x.at))")
+    count = lambda what: F.sum(F.expr(f"if({what}, 1L, 0L)"))
+    tested = (
+        held.join(paths, "stratum")
+        .select("stratum", "good", "first", joint.alias("joint"), F.explode("path").alias("x"))
+        .groupBy("stratum", "x.at", "x.rule", "x.step", "x.cutoff")
         .agg(
-            F.sum(F.when(F.col("quality") >= 1, 1).otherwise(0)).alias("good"),
-            F.sum(F.when(F.col("quality") < 1, 1).otherwise(0)).alias("bad"),
+            count("good").alias("n"),
+            count("good and coalesce(joint <= x.at, false)").alias("all_false_rejected"),
+            count("good and first[x.rule] <= x.step").alias("false_rejected"),
+            count("not good and first[x.rule] <= x.step").alias("rejected"),
         )
-    )
-    steps = F.explode(F.expr("case rule " + " ".join(
-        f"when '{name}' then array({', '.join(f'struct({i} as step, {len(cuts) - i} as need, {float(c)}D as cutoff)' for i, c in enumerate(cuts))})"
-        for name, cuts in GRID.items()
-    ) + " end"))
-    counts = hist.groupBy("stratum", "rule").agg(
-        F.collect_list(F.struct("passed", "good", "bad")).alias("h"), F.sum("good").alias("n")
-    )  # at most one entry for each cutoff and one more
-    counts = written(counts, "counts")
-    over = lambda what: F.expr(f"aggregate(filter(h, x -> x.passed >= g.need), 0L, (a, x) -> a + x.{what})")
-    tested = counts.select("stratum", "rule", "h", "n", steps.alias("g")).select(
-        "stratum", "rule", "n", "g.step", "g.cutoff", over("good").alias("false_rejected"), over("bad").alias("rejected")
-    )
-    level = math.log(delta / (max(1, counts.select("stratum").distinct().count()) * len(RULES)))
-    a = F.lit(alpha / len(RULES))
-    safe = (F.col("n") > 0) & (F.col("false_rejected") <= F.col("n") * a) & (
-        log_binomial_tail(F.least(F.col("false_rejected"), F.floor(F.col("n") * a)), F.col("n"), a) <= level
-    )
-    w = Window.partitionBy("stratum", "rule").orderBy("step")
+    )  # at most one row for each stratum and step
+    tested = written(tested, "tested")
+    level = math.log(delta / max(1, tested.select("stratum").distinct().count()))
+    n, k, a = F.col("n"), F.col("all_false_rejected"), F.lit(float(alpha))
+    safe = (n > 0) & (k <= n * a) & (log_binomial_tail(F.least(k, F.floor(n * a)), n, a) <= level)
+    w = Window.partitionBy("stratum").orderBy("at")
     certified = (
         tested.withColumn("ok", F.min(F.when(safe, 1).otherwise(0)).over(w))
         .filter("ok = 1")
