@@ -352,6 +352,30 @@ def test_mixture(spark):
     assert kept.columns == [*df.columns, "place"] and kept.count() == 5000
 
 
+def test_mixture_keeps_to_the_target_weights(spark):
+    # 20,000 blocks of 200 sources, one of them with a third of the rows
+    from fractions import Fraction
+
+    n = 20_000
+    source = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 199).cast("string")))
+    rows = mixing.mix_sources(spark.range(n).select(F.col("id").alias("doc_id"), source.alias("source")), block_rows=1).collect()
+    assert len({r.doc_id for r in rows}) == n == len({r.place for r in rows})
+    weights = {k: Fraction(c**0.5) for k, c in Counter(r.source for r in rows).items()}
+    total = sum(weights.values())
+    for r in rows:
+        w = weights[r.source] / total
+        assert r.block // w <= r.slot < -(-(r.block + 1) // w)
+    # explicit weights of 1,000 sources, many times 4,096 slots, and a weight whose slots would pass 2**63
+    slots = defaultdict(list)
+    exact = mixing.integers([0.33] + [0.67 / 999] * 999)
+    for i, slot in mixing.assigned(exact, [9000] + [20] * 999):
+        slots[i].append(slot)
+    for i, found in slots.items():
+        assert all(j * sum(exact) // exact[i] <= t < -(-(j + 1) * sum(exact) // exact[i]) for j, t in enumerate(found))
+    last = list(mixing.assigned(mixing.integers([1.0, 1e-300]), [3, 3]))
+    assert len({t for _, t in last}) == 6 and max(t for _, t in last) < 1 << 41
+
+
 # --- tokens
 
 

@@ -2,24 +2,35 @@
 
 Every source is cut into blocks of rows. Block j of a source with weight w is released
 at slot floor(j / w) and due before slot ceil((j + 1) / w); among the released blocks
-the one with the earliest deadline gets the next slot. As the weights are whole numbers
-out of ``period``, the schedule repeats after ``period`` slots: one period, of bounded
-size, is computed on the driver, and any block's slot follows from it by arithmetic. As
-long as all sources last, after any number of slots a source has had its weighted share
-up to less than one block.
+the one with the earliest deadline gets the next slot. Releases and deadlines come from
+the exact rational weights over the whole run, so nothing is rounded and no error adds
+up: as long as all sources last, after any number of slots a source has had its weighted
+share up to less than one block. The driver draws the schedule block by block, a few
+microseconds each, and writes it as a table of slots while it goes; it holds no more
+than a part of it.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Sources at most, and slots of a period; with more sources than a quarter of it the period grows.
-SOURCES, PERIOD = 10_000, 4096
+from .common import fresh_path
+
+#: Sources at most: the driver counts and schedules them one by one.
+SOURCES = 10_000
+#: Blocks of a row of the schedule's table, and rows of it that the driver writes at once.
+CHUNK, CHUNKS = 512, 2000
+#: Slots beyond which times without any block are passed over, so that places stay below 2**63.
+LAST_SLOT = 1 << 40
 #: Rows of a rank bucket, about; buckets are ranked apart, so no task holds a whole source.
 BUCKET_ROWS = 20_000
 
@@ -36,25 +47,74 @@ def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks within one period, by earliest deadline among released blocks."""
-    period = sum(shares.values())
-    names = sorted(shares)
-    waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
+def integers(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of ``weights``."""
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*[x.denominator for x in exact])
+    return [int(x * unit) for x in exact]
+
+
+def assigned(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """Source and slot of every block, slot by slot, by earliest deadline among released blocks."""
+    total = sum(weights)
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    slots: dict[str, list[int]] = {k: [] for k in names}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
+    time = passed = 0
+    while waiting or ready:
+        if not ready and waiting[0][0] > time:  # only after a source is used up
+            if waiting[0][0] - passed > LAST_SLOT:
+                passed += waiting[0][0] - time
+            time = waiting[0][0]
+        while waiting and waiting[0][0] <= time:
             _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // shares[names[i]]), i, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[i]), i, j))
         _, i, j = heapq.heappop(ready)
+        yield i, time - passed
+        if j + 1 < blocks[i]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[i], i, j + 1))
+        time += 1
+
+
+def schedule(shares: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of each source's blocks within one period of as many slots as shares."""
+    names = sorted(shares)
+    slots: dict[str, list[int]] = {k: [] for k in names}
+    for i, slot in assigned([shares[k] for k in names], [shares[k] for k in names]):
         slots[names[i]].append(slot)
-        if j + 1 < shares[names[i]]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[names[i]], i, j + 1))
     return slots
 
 
+def written_schedule(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
+    """``_source, _chunk, _slots``: the slots of blocks ``CHUNK * _chunk`` and on."""
+    path, names = fresh_path(spark, "schedule"), sorted(blocks)
+    schema = pa.schema([("_source", pa.string()), ("_chunk", pa.int64()), ("_slots", pa.list_(pa.int64()))])
+    open_chunks, numbers = [array("q") for _ in names], [0] * len(names)
+    full: list[tuple[str, int, array]] = []
+
+    def close(i: int) -> None:
+        full.append((names[i], numbers[i], open_chunks[i]))
+        open_chunks[i], numbers[i] = array("q"), numbers[i] + 1
+
+    def flush() -> None:
+        columns = [[x[0] for x in full], [x[1] for x in full], [np.array(x[2], np.int64) for x in full]]
+        t = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        spark.createDataFrame(t, "_source string, _chunk long, _slots array<long>").write.mode("append").parquet(path)
+        full.clear()
+
+    for i, slot in assigned(integers([weights[k] for k in names]), [blocks[k] for k in names]) if names else ():
+        open_chunks[i].append(slot)
+        if len(open_chunks[i]) == CHUNK:
+            close(i)
+            if len(full) == CHUNKS:
+                flush()
+    for i, rest in enumerate(open_chunks):
+        if rest:
+            close(i)
+    flush()
+    return spark.read.schema("_source string, _chunk long, _slots array<long>").parquet(path)
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -70,8 +130,8 @@ def mix_sources(
     which also shuffles each source; rows with equal ids keep to the order of their
     hashes and ids. Without ``weights`` a source's weight is its number of rows to the
     power ``temperature``. Sources that ``weights`` omit or give no positive weight raise
-    ``ValueError``: no row is ever left out. When a source is used up its later slots
-    stay empty and the others go on. A null source is the source of the empty string.
+    ``ValueError``, as do more than ``SOURCES`` sources: no row is ever left out. When a
+    source is used up its later slots stay empty and the others go on. A null source is the source of the empty string.
     With ``keep_columns`` the rows keep their own columns and ``place`` is added to them
     (it must not be among them). An empty table gives an empty result.
     """
@@ -85,26 +145,27 @@ def mix_sources(
     short = [k for k in counts if not weights.get(k, 0) > 0]
     if short:
         raise ValueError(f"no positive weight for the sources {short[:5]}")
-    used = {k: weights[k] for k in counts}
-    period = max(PERIOD, 4 * len(counts))
-    shares = whole_weights(used, period) if used else {}
-    table = spark.createDataFrame(
-        [(k, shares[k], slots) for k, slots in schedule(shares).items()] if used else [], "_source string, _share int, _slots array<int>"
-    )
+    chunks = written_schedule(spark, weights, {k: -(-n // block_rows) for k, n in counts.items()})
     groups = max(1, sum(counts.values()) // BUCKET_ROWS)
     d = docs.withColumns({"_source": source, "_hash": F.xxhash64(F.col(id_col).cast("string"))})
     d = d.withColumn("_group", F.pmod(F.col("_hash"), F.lit(groups)))
     sizes = d.groupBy("_source", "_group").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_source", "_group", F.coalesce(before, F.lit(0)).alias("_before"))
+    sizes = sizes.select("_source", "_group", "n", F.coalesce(before, F.lit(0)).alias("_before"))
+    sizes = sizes.withColumn("_first", F.expr(f"_before div {block_rows}")).withColumn("_last", F.expr(f"(_before + n - 1) div {block_rows}"))
+    # the slots of a group's blocks, about BUCKET_ROWS / block_rows of them in a row
+    parts = sizes.withColumn("_chunk", F.explode(F.expr(f"sequence(_first div {CHUNK}, _last div {CHUNK})"))).join(chunks, ["_source", "_chunk"])
+    sizes = parts.groupBy("_source", "_group", "_before", "_first", "_last").agg(F.sort_array(F.collect_list(F.struct("_chunk", "_slots"))).alias("_parts"))
+    inside = F.flatten(F.transform("_parts", lambda x: x["_slots"]))
+    sizes = sizes.select("_source", "_group", "_before", "_first", F.slice(inside, (F.col("_first") % CHUNK + 1).cast("int"), (F.col("_last") - F.col("_first") + 1).cast("int")).alias("_slots"))
     rank = F.row_number().over(Window.partitionBy("_source", "_group").orderBy("_hash", id_col)) - 1
     names = docs.columns if keep_columns else [id_col]
     ranked = d.select(*names, "_source", "_group", "_hash").withColumn("_rank", rank)
-    ranked = ranked.join(sizes, ["_source", "_group"]).join(F.broadcast(table), "_source")  # period slots in all
+    ranked = ranked.join(sizes, ["_source", "_group"])
     rank = F.col("_rank") + F.col("_before")
     block = F.floor(rank / block_rows).cast("long")
-    slot = F.floor(block / F.col("_share")).cast("long") * period + F.get("_slots", (block % F.col("_share")).cast("int"))
-    placed = ranked.withColumn("_block", block).withColumn("_slot", slot.cast("long"))
+    slot = F.get("_slots", (block - F.col("_first")).cast("int"))
+    placed = ranked.withColumn("_block", block).withColumn("_slot", slot)
     place = F.col("_slot") * block_rows + (F.col("_rank") + F.col("_before")) % block_rows
     if keep_columns:
         return placed.select(*names, place.alias("place"))
