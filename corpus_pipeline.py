@@ -13,7 +13,7 @@ from weirflow.llm.exact_dedup import distinct_texts
 from weirflow.llm.langid import fit, held_out, keep_identified
 from weirflow.llm.mixing import mix_sources
 from weirflow.llm.near_dedup import near_dedup
-from weirflow.llm.packing import pack
+from weirflow.llm.packing import pack_in_order
 from weirflow.llm.queries import tokenizer
 
 
@@ -33,15 +33,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Put the documents into the order of the mixture, across and inside the files."""
-    placed = mix_sources(docs, keep_columns=True)
+    placed = mix_sources(docs, weights=weights, keep_columns=True)
     return placed.repartitionByRange("place").sortWithinPartitions("place").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the tokens of all documents into sequences; one row a piece."""
-    return pack(docs, tokenizer("byte_bpe_50k.json"))
+    """Pack the tokens of all documents into sequences that follow the mixture; one row a piece."""
+    return pack_in_order(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixing", mixing), ("packing", packing)]

@@ -1,6 +1,7 @@
 """The stages of the pipeline against what they must keep."""
 
 import re
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from weirflow.llm import langid
+from weirflow.llm import langid, packing
+from weirflow.llm.mixing import mix_sources
 from weirflow.shared import fresh_path, written
 
 
@@ -50,6 +52,31 @@ def test_stages(spark):
     assert max(bins.values()) <= 1024 and np.sum(list(bins.values())) == sum(r.length for r in pieces)
 
 
+def test_packing_follows_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 100)
+    rows = [(i, f"word{i} " * (1 + i % 90) if i % 50 else "long text " * 3000, "en", "ab"[i % 2], 0) for i in range(600)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    found = {}
+    for heavy in "ab":
+        mixed = written(corpus_pipeline.mixing(spark, docs, "", {k: 9.0 if k == heavy else 1.0 for k in "ab"}), "mixed")
+        order = mix_sources(docs, weights={k: 9.0 if k == heavy else 1.0 for k in "ab"})
+        place = {r.doc_id: k for k, r in enumerate(sorted(order.collect(), key=lambda r: r.place))}
+        members = defaultdict(list)
+        for r in corpus_pipeline.packing(spark, mixed, "").collect():
+            members[r.sequence_id].append((place[r.doc_id], r.piece, r.offset, r.length))
+        # every sequence lies in one range of 100 documents, is without gaps, and sequences ascend with the mixture
+        for v in members.values():
+            assert len({p // 100 for p, *_ in v}) == 1
+            v.sort(key=lambda x: x[2])
+            assert [x[2] for x in v] == [sum(y[3] for y in v[:k]) for k in range(len(v))] and sum(x[3] for x in v) <= 1024
+        firsts = [min(members[k])[:2] for k in sorted(members)]
+        assert firsts == sorted(firsts) and sorted({p for v in members.values() for p, *_ in v}) == list(range(600))
+        found[heavy] = [sorted((p, n) for p, n, *_ in v) for _, v in sorted(members.items())], place
+    first = {k: [i for i, p in place.items() if p < 100] for k, (_, place) in found.items()}
+    assert sum(i % 2 == 0 for i in first["a"]) > 80 and sum(i % 2 for i in first["b"]) > 80
+    assert found["a"][0] != found["b"][0]
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
