@@ -324,6 +324,18 @@ def test_chat_layouts(spark):
         chat.canonical_turns(spark.createDataFrame([(1, "q")], "conv_id long, what string"))
 
 
+def test_unknown_layouts_are_reported(spark):
+    df = spark.createDataFrame([(1, '{"messages": []}')], "conv_id long, record string")
+    assert chat.format_chat(chat.canonical_turns(df)).first().formatted == ""
+    for record in ('{"id": 3, "prompt": "q", "response": "a"}', None):
+        df = spark.createDataFrame([(77, record)], "conv_id long, record string")
+        with pytest.raises(Exception, match="unknown layout: conversation 77"):
+            chat.format_chat(chat.canonical_turns(df)).collect()
+    nested = spark.createDataFrame([(1, 0, "user", ("x",))], "conv_id long, turn int, role string, text struct<v:string>")
+    with pytest.raises(ValueError):  # chosen by the hash of all paths, not by the columns' names
+        chat.canonical_turns(nested)
+
+
 # --- mixing
 
 

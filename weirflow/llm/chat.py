@@ -13,6 +13,7 @@ restores the text exactly. In roles a newline is written ``\n`` and a backslash
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -56,11 +57,8 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 
 def fingerprint(paths: Iterable[str]) -> str:
-    """64-bit FNV-1a of the sorted paths, in hex."""
-    h = 0xCBF29CE484222325
-    for byte in "\n".join(sorted(set(paths))).encode():
-        h = (h ^ byte) * 0x100000001B3 % 2**64
-    return f"{h:016x}"
+    """MD5 of the sorted paths, one a line, in hex; ``F.md5`` makes the same of a layout's column."""
+    return hashlib.md5("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
 def one(role: str, field: str) -> str:
@@ -77,6 +75,8 @@ LAYOUTS = [
      "transform(coalesce(r.messages, array()), m -> named_struct('role', coalesce(m.role, ''), 'text', coalesce(m.content, '')))"),
     (".conversations[].from .conversations[].value", "conversations array<struct<`from`:string,value:string>>",
      "transform(coalesce(r.conversations, array()), m -> named_struct('role', case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else coalesce(m.`from`, '') end, 'text', coalesce(m.value, '')))"),
+    (".messages[]", "messages array<string>", f"cast(array() as {TURNS})"),  # empty lists have no fields
+    (".conversations[]", "conversations array<string>", f"cast(array() as {TURNS})"),
     (".prompt .response", "prompt string, response string", f"array({one('user', 'r.prompt')}, {one('assistant', 'r.response')})"),
     (".prompt .completion", "prompt string, completion string", f"array({one('user', 'r.prompt')}, {one('assistant', 'r.completion')})"),
     (".question .answer", "question string, answer string", f"array({one('user', 'r.question')}, {one('assistant', 'r.answer')})"),
@@ -88,8 +88,9 @@ LAYOUTS = [
      f"concat({optional('system', 'r.system')}, array({one('user', 'r.prompt')}, {one('assistant', 'r.response')}))"),
 ]
 MAPPINGS = {fingerprint(paths.split()): (schema, turns) for paths, schema, turns in LAYOUTS}
-#: Layout of one row a turn.
-TURN_ROWS = fingerprint([".conv_id", ".turn", ".role", ".text"])
+#: Columns and layout of one row a turn.
+TURN_COLUMNS = ("conv_id", "turn", "role", "text")
+TURN_ROWS = fingerprint(f".{c}" for c in TURN_COLUMNS)
 
 
 def json_fingerprint_paths(json: Column) -> Column:
@@ -128,10 +129,10 @@ def turns_of_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     paths = json_fingerprint_paths(F.col(json_col))
     turns = F.lit(None).cast(TURNS)
     r = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("json"), paths.alias("layout"))
-    for known, schema, mapping in LAYOUTS:
-        is_it = F.col("layout") == "\n".join(sorted(known.split()))
-        turns = F.when(is_it, F.expr(f"transform(array(from_json(json, '{schema}')), r -> {mapping})[0]").cast(TURNS)).otherwise(turns)
-    return r.select("conv_id", turns.alias("turns"), "layout")
+    found = F.md5(F.col("layout"))
+    for known, (schema, mapping) in MAPPINGS.items():
+        turns = F.when(F.col("found") == known, F.expr(f"transform(array(from_json(json, '{schema}')), r -> {mapping})[0]").cast(TURNS)).otherwise(turns)
+    return r.withColumn("found", found).select("conv_id", turns.alias("turns"), "layout")
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", json_col: str = "rec
     ``json_col``. Another schema raises ``ValueError``.
     """
     names = {f.name.lower() for f in df.schema.fields}
-    if {"conv_id", "turn", "role", "text"} <= names:
+    if fingerprint(field_paths(T.StructType([f for f in df.schema.fields if f.name.lower() in TURN_COLUMNS]))) == TURN_ROWS:
         return turns_of_rows(df)
     rest = T.StructType([f for f in df.schema.fields if f.name.lower() != id_col.lower()])
     found = MAPPINGS.get(fingerprint(field_paths(rest)))
@@ -170,8 +171,9 @@ def format_chat(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """``conv_id, formatted, segments`` of ``conv_id, turns``.
 
     ``segments`` (array of ``text, loss``) are the pieces of ``formatted`` in order; the
-    loss mask covers the escaped texts of turns whose role is ``learn``. Null turns give
-    an empty string without segments. A null role or text counts as empty.
+    loss mask covers the escaped texts of turns whose role is ``learn``. An empty array
+    gives an empty string without segments; null turns, which a record of unknown layout
+    has, raise an error that names the conversation. A null role or text counts as empty.
     """
 
     def pieces(t: Column) -> Column:
@@ -183,7 +185,9 @@ def format_chat(turns: DataFrame, learn: str = "assistant") -> DataFrame:
             piece(F.lit(END + "\n"), F.lit(False)),
         )
 
-    s = turns.select("conv_id", F.flatten(F.transform(F.coalesce("turns", F.array().cast(TURNS)), pieces)).alias("segments"))
+    unknown = F.raise_error(F.concat(F.lit("no turns, as of a record of unknown layout: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    known = F.when(F.col("turns").isNull(), unknown.cast(TURNS)).otherwise(F.col("turns"))
+    s = turns.select("conv_id", F.flatten(F.transform(known, pieces)).alias("segments"))
     return s.select("conv_id", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), "segments")
 
 
