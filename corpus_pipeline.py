@@ -1,6 +1,8 @@
 """A corpus from raw documents to packed sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept.
+More than ``langid.LANGUAGES`` distinct languages or ``mixing.SOURCES`` distinct sources
+raise ``ValueError``.
 """
 
 from __future__ import annotations

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     All of ``docs`` is for learning; rows without language, text or id are left out.
     An n-gram belongs to a language if ``LEAST_SHARE`` of its sampled texts, and two,
     hold it (one where a language has a single text); of more than ``PROFILE`` the most
-    frequent stay.
+    frequent stay. More than ``LANGUAGES`` distinct languages raise ``ValueError``.
     """
     spark = docs.sparkSession
     ship(spark)
