@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +24,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, without a copy: what a worker holds as Python objects stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20, at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, without a copy: at most ``rows`` rows and, unless a text alone is longer, ``size`` bytes of text in column ``at``.
+
+    What a worker holds as Python objects is so bounded by bytes, whatever the lengths of the texts.
+    """
     for b in batches:
-        for begin in range(0, b.num_rows, rows):
-            yield b.slice(begin, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < b.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            stop = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(begin, stop - begin)
+            begin = stop
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,13 +4,15 @@ Distributed suffix sorting over the suffixes that can matter:
 
 1. Every ``length``-byte string has an anchor, the position inside it whose ``K``-byte
    string hashes least; equal strings have equal anchors. Anchors, about one for 15
-   bytes, are dealt by hash, and those that two documents share are sent back.
+   bytes, are dealt by hash, and those that two documents share are sent back. An anchor
+   that two documents of one slice share is settled there, and only its least document
+   is dealt, so a part gets no more of a hot anchor than one entry a slice.
 2. The text around a shared anchor, all strings that it anchors, forms a segment.
    Segments are range-partitioned by the leading bytes of the suffix at the anchor,
    between splitters taken from a sample. A splitter never parts equal leading bytes, so
-   equal strings meet in one bucket.
-3. In a bucket, equal segments are one (most copies are merged already before the
-   shuffle), and the suffixes at all string starts are sorted by multikey quicksort with
+   equal strings meet in one bucket. Of equal segments of a slice only the place in the
+   least document goes there: the others are wholly removed, which is known at once.
+3. In a bucket, equal segments are one, and the suffixes at all string starts are sorted by multikey quicksort with
    8-byte symbols, one class after another of equal distance to the anchor; only runs
    that still tie are sorted by their next symbol. Runs that agree to the full length
    are compared across segment and block boundaries by their least document id.
@@ -33,11 +35,17 @@ from pyspark.sql import functions as F
 
 from weirflow.shipping import ship
 
+from .common import slices
 from .shingles import mix, powers
 
 K = 20
+#: Leading bytes that splitters compare.
+LEAD = 16
 #: Window starts of a unit, and bytes handled at once.
-UNIT, BLOCK = 1 << 21, 1 << 22
+UNIT, BLOCK = 1 << 19, 1 << 19
+#: Rows at most of a slice, and its bytes of text, for the anchors and for the segments.
+ANCHOR_ROWS, ANCHOR_BYTES = 1 << 14, 8 << 20
+SEGMENT_ROWS, SEGMENT_BYTES = 1 << 11, 4 << 20
 #: Documents, about, from which splitters are sampled, and positions of each.
 SAMPLE_DOCS, SAMPLE_KEYS = 1500, 48
 #: Buckets (and hash parts) for each shuffle partition, so that partitions even out.
@@ -132,14 +140,20 @@ def same_in_batch(ids: list[int | None], texts: list[bytes]) -> tuple[list[int],
     return rows, copies
 
 
+def _texts(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def _anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
-    """``part, n, docs, data``: packed anchors of a batch for each part; part -1 lists whole copies."""
+    """``part, n, docs, data``: packed anchors of a slice for each part.
+
+    Of an anchor the least document of the slice is dealt. Negative parts are dealt evenly: from -1 down
+    they list whole copies, from -1 - ``parts`` down the documents of anchors that are shared inside the slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for begin in range(0, b.num_rows, 1 << 14):
-                piece = b.slice(begin, 1 << 14)
-                yield one(piece.column(0).to_pylist(), [x or b"" for x in piece.column(1).cast(pa.binary()).to_pylist()])
+        for piece in slices(batches, ANCHOR_ROWS, ANCHOR_BYTES):
+            yield one(piece.column(0).to_pylist(), _texts(piece.column(1)))
 
     def one(ids: list, texts: list[bytes]) -> pa.RecordBatch:
         rows, copies = same_in_batch([i if len(t) >= length else None for i, t in zip(ids, texts, strict=True)], texts)
@@ -152,26 +166,36 @@ def _anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
             owners.append(owner[unit])
         out: tuple[list, list, list, list] = ([], [], [], [])
 
-        def add(*row) -> None:
-            for column, x in zip(out, row, strict=True):
+        def add(part: int, key: np.ndarray, doc: np.ndarray) -> None:
+            own, where = np.unique(doc, return_inverse=True)
+            data = planes(np.diff(key, prepend=np.uint64(0))) + planes(where.astype(np.uint16))
+            for column, x in zip(out, (part, len(key), own.tobytes(), data), strict=True):
                 column.append(x)
 
+        salt = next((i for i in ids if i is not None), 0) % parts
         if copies:
-            add(-1, len(copies), np.array(copies, np.int64).tobytes(), b"")
+            for column, x in zip(out, (-1 - salt, len(copies), np.array(copies, np.int64).tobytes(), b""), strict=True):
+                column.append(x)
         if keys:
             doc = np.array([ids[k] for k in rows], np.int64)
             part = np.concatenate(dealt).astype(np.int64)
             value = np.concatenate(keys) << np.uint64(14) | np.concatenate(owners).astype(np.uint64)
+            del keys, dealt, owners
             order = np.lexsort((value, part))
             part, value = part[order], value[order]
             fresh = np.r_[True, (value[1:] != value[:-1]) | (part[1:] != part[:-1])]
             part, value = part[fresh], value[fresh]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            for a, z in zip(cuts.tolist(), np.r_[cuts[1:], len(part)].tolist(), strict=True):
-                own, where = np.unique(value[a:z] & np.uint64((1 << 14) - 1), return_inverse=True)
-                key = value[a:z] >> np.uint64(14)
-                data = planes(np.diff(key, prepend=np.uint64(0))) + planes(where.astype(np.uint16))
-                add(int(part[a]), z - a, doc[own.astype(np.int64)].tobytes(), data)
+            key, doc = value >> np.uint64(14), doc[(value & np.uint64((1 << 14) - 1)).astype(np.int64)]
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            least = np.minimum.reduceat(doc, cuts)
+            many = np.repeat(least != np.maximum.reduceat(doc, cuts), np.diff(np.r_[cuts, len(key)]))
+            if many.any():
+                some = np.argsort(key[many], kind="stable")
+                add(-1 - parts - salt, key[many][some], doc[many][some])
+            part, key = part[cuts], key[cuts]
+            bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            for a, z in zip(bounds.tolist(), np.r_[bounds[1:], len(part)].tolist(), strict=True):
+                add(int(part[a]), key[a:z], least[a:z])
         return pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
             ["part", "n", "docs", "data"],
@@ -181,24 +205,28 @@ def _anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
-    """Call ``work`` with the rows of each value of the first column, which is sorted."""
+    """Call ``work`` with the rows of each value of the first column, which is sorted; those of negative values go one by one."""
     held: list[tuple] = []
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held and held[0][0] != row[0]:
                 yield from work(held)
                 held = []
-            held.append(row)
+            if row[0] < 0:
+                yield from work([row])
+            else:
+                held.append(row)
     if held:
         yield from work(held)
 
 
-def _copies(dealt: DataFrame) -> DataFrame:
+def _copies(dealt: DataFrame, parts: int) -> DataFrame:
     """``doc_id, start, stop`` of the whole copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(2).filter(pa.compute.equal(b.column(0), -1)).to_pylist():
+            copies = pa.compute.and_(pa.compute.less(b.column(0), 0), pa.compute.greater_equal(b.column(0), -parts))
+            for data in b.column(2).filter(copies).to_pylist():
                 doc = np.frombuffer(data, np.int64)
                 zero = np.zeros(len(doc), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(zero), pa.array(zero + WHOLE)], ["doc_id", "start", "stop"])
@@ -207,12 +235,15 @@ def _copies(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, stop long")
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
-    """``doc_id, key``: anchors that two documents have; key -1 marks a whole copy."""
+def _shared(dealt: DataFrame, parts: int) -> DataFrame:
+    """``doc_id, key``: anchors that two documents have, of each slice its least document; key -1 marks a whole copy.
+
+    The other documents of a slice that hold the anchor are listed as well, by the slice itself.
+    """
 
     def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if rows[0][0] < 0:
-            doc = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
+        if -parts <= rows[0][0] < 0:
+            doc = np.frombuffer(rows[0][2], np.int64)
             key = np.full(len(doc), -1, np.int64)
         else:
             keys, docs = [], []
@@ -220,12 +251,14 @@ def _shared(dealt: DataFrame) -> DataFrame:
                 keys.append(np.cumsum(unplanes(data[: 8 * n], n, np.uint64), dtype=np.uint64))
                 docs.append(np.frombuffer(ids, np.int64)[unplanes(data[8 * n :], n, np.uint16)])
             key, doc = np.concatenate(keys), np.concatenate(docs)
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            many = np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)
-            keep = np.repeat(many, np.diff(np.r_[cuts, len(key)]))
-            key, doc = key[keep].view(np.int64), doc[keep]
+            if rows[0][0] >= 0:
+                order = np.argsort(key, kind="stable")
+                key, doc = key[order], doc[order]
+                cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                many = np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)
+                keep = np.repeat(many, np.diff(np.r_[cuts, len(key)]))
+                key, doc = key[keep], doc[keep]
+            key = key.view(np.int64)
         for i in range(0, len(doc), 1 << 17):
             yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 17)]), pa.array(key[i : i + (1 << 17)])], ["doc_id", "key"])
 
@@ -244,45 +277,49 @@ def leading(raw: np.ndarray, at: np.ndarray, n: int = 8) -> np.ndarray:
     return out
 
 
+def prefixes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ``LEAD`` bytes at each position as fixed-width strings, which compare like the bytes; zeros at their end count for nothing."""
+    spot = at[:, None] + np.arange(LEAD)
+    return np.where(spot < len(raw), raw[np.minimum(spot, len(raw) - 1)], np.uint8(0)).astype(np.uint8).reshape(-1).view(f"S{LEAD}")
+
+
 def _splitters(docs: DataFrame, length: int, buckets: int) -> np.ndarray:
     """Quantiles of the anchors' leading bytes in a sample of bounded size; they only balance the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            for block, at, _, _ in blocks_of([t[:UNIT] for t in texts], length):
+        for b in slices(batches, ANCHOR_ROWS, ANCHOR_BYTES):
+            for block, at, _, _ in blocks_of([t[:UNIT] for t in _texts(b.column(1))], length):
                 unit, _, _, a, _ = anchor_runs(block, at, length)
                 order = np.argsort(mix(a.astype(np.uint64)), kind="stable")
                 rank = np.zeros(len(a), np.int64)
                 grouped = order[np.argsort(unit[order], kind="stable")]
                 cuts = np.searchsorted(unit[grouped], unit[grouped])
                 rank[grouped] = np.arange(len(a)) - cuts
-                keys = leading(np.frombuffer(block, np.uint8), a[rank < SAMPLE_KEYS])
-                yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).view(np.int64))], ["key"])
+                keys = prefixes(np.frombuffer(block, np.uint8), a[rank < SAMPLE_KEYS])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.tolist(), pa.binary())], ["key"])
 
     n = docs.count()
     step = max(1, n // SAMPLE_DOCS)
-    rows = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).mapInArrow(run, "key long").collect()
-    keys = np.sort(np.array([r.key for r in rows], np.int64)).astype(np.uint64) << np.uint64(1)
+    rows = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).mapInArrow(run, "key binary").collect()
+    keys = np.sort(np.array([bytes(r.key) for r in rows], f"S{LEAD}"))
     if not len(keys):
         return keys
     return np.unique(keys[np.arange(1, buckets) * len(keys) // buckets])
 
 
 def _segments(joined: DataFrame, length: int, parts: int, splitters: np.ndarray) -> DataFrame:
-    """``bucket, n, data, docs, starts``: distinct segments of a batch for each bucket with their places."""
+    """``bucket, n, data, docs, starts``: distinct segments of a slice for each bucket with their places in its least document.
+
+    Negative buckets are dealt evenly and list spans that are already known: equal segments of greater documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for begin in range(0, b.num_rows, 2048):
-                piece = b.slice(begin, 2048)
-                some = [k for k, x in enumerate(piece.column(2).is_valid().to_pylist()) if x]
-                if some:
-                    piece = piece.take(pa.array(some))
-                    yield one(piece.column(0).to_pylist(), piece.column(1).cast(pa.binary()).to_pylist(), piece.column(2))
+        for piece in slices(batches, SEGMENT_ROWS, SEGMENT_BYTES):
+            piece = piece.filter(piece.column(2).is_valid())
+            if piece.num_rows:
+                yield one(piece.column(0).to_pylist(), _texts(piece.column(1)), piece.column(2))
 
     def one(ids: list[int], texts: list[bytes], wanted: pa.Array) -> pa.RecordBatch:
-        texts = [t or b"" for t in texts]
         keys = [np.sort(np.array(w.values.to_numpy(zero_copy_only=False), np.int64)) for w in wanted]
         # a whole copy has nothing to compare: the text it copies stands for it
         texts = [b"" if len(k) and k[0] == -1 else t for t, k in zip(texts, keys, strict=True)]
@@ -296,8 +333,7 @@ def _segments(joined: DataFrame, length: int, parts: int, splitters: np.ndarray)
             value = key << np.uint64(11) | owner[unit].astype(np.uint64)
             spot = np.minimum(np.searchsorted(pool, value), len(pool) - 1)
             hit = np.flatnonzero(pool[spot] == value)
-            lead = leading(np.frombuffer(block, np.uint8), a[hit])
-            place = np.searchsorted(splitters, lead, side="right")
+            place = np.searchsorted(splitters, prefixes(np.frombuffer(block, np.uint8), a[hit]), side="right")
             shift = at[unit[hit]] - start[unit[hit]]
             for bucket, doc, p, q, x, off in zip(
                 place.tolist(), owner[unit[hit]].tolist(), first[hit].tolist(), last[hit].tolist(), a[hit].tolist(), shift.tolist(), strict=True
@@ -305,13 +341,23 @@ def _segments(joined: DataFrame, length: int, parts: int, splitters: np.ndarray)
                 segment = bytes((x - p,)) + block[p : q + length]
                 buckets.setdefault(bucket, {}).setdefault(segment, []).append((ids[doc], p - off))
         out: tuple[list, ...] = ([], [], [], [], [])
+        known: list[tuple[int, int, int]] = []
         for bucket, found in buckets.items():
+            for segment, v in found.items():
+                least = min(v)[0]
+                known += [(d, p, len(segment) - 1) for d, p in v if d != least]
+                v[:] = [x for x in v if x[0] == least]
             places = [len(v) for v in found.values()]
             flat = [x for v in found.values() for x in v]
             sizes = np.array([[len(s) - 1, n] for s, n in zip(found, places, strict=True)], np.int32)
             row = (bucket, len(found), packed(planes(sizes.reshape(-1)) + b"".join(found)), np.array([d for d, _ in flat], np.int64).tobytes(), np.array([p for _, p in flat], np.int32).tobytes())
             for column, x in zip(out, row, strict=True):
                 column.append(x)
+        if known:
+            own, begin, size = (np.array(x, np.int64) for x in zip(*known, strict=True))
+            row = (-1 - ids[0] % parts, len(known), size.astype(np.int32).tobytes(), own.tobytes(), begin.astype(np.int32).tobytes())
+            for column, x in zip(out, row, strict=True):
+                column.append(x)
         return pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])],
             ["bucket", "n", "data", "docs", "starts"],
@@ -350,6 +396,13 @@ def _spans(segments: DataFrame, length: int, partitions: int) -> DataFrame:
     """``doc_id, start, stop``: bytes covered by strings that a smaller document has."""
 
     def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows[0][0] < 0:
+            _, _, size, doc, start = rows[0]
+            begin = np.frombuffer(start, np.int32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(doc, np.int64)), pa.array(begin), pa.array(begin + np.frombuffer(size, np.int32))], ["doc_id", "start", "stop"]
+            )
+            return
         texts: dict[bytes, int] = {}
         number, docs, starts = [], [], []
         for _, n, data, doc, start in rows:
@@ -401,9 +454,8 @@ def _spans(segments: DataFrame, length: int, partitions: int) -> DataFrame:
 
 def _removed(joined: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for begin in range(0, b.num_rows, 1024):
-                yield one(b.slice(begin, 1024))
+        for b in slices(batches, 1024):
+            yield one(b)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         size, gone, spans, digest = [], [], [], []
@@ -453,9 +505,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     splitters = _splitters(d, length, parts)
     dealt = _anchors(d, length, parts).repartition(partitions, "part")
-    wanted = _shared(dealt).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    wanted = _shared(dealt, parts).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     # both joins read the texts by one exchange on the id, and copies come from the exchange of the anchors
     near = d.join(wanted, "doc_id", "left").select("doc_id", F.when(F.col("keys").isNotNull(), F.col("text")).alias("text"), "keys")
     spans = _spans(_segments(near, length, parts, splitters), length, partitions)
-    found = spans.unionByName(_copies(dealt)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    found = spans.unionByName(_copies(dealt, parts)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     return _removed(d.join(found, "doc_id", "left").select("doc_id", "text", "found"))
