@@ -1,27 +1,31 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of chunks.
+"""Token ids of whole texts, as the tokenizers library gives them for a vocabulary file.
 
-The library encodes each distinct chunk once; a document's ids are the joined bytes of
-its chunks' ids. Chunks are cut only where both kinds of vocabulary begin a new
-pre-token, so the ids are those of the whole text; texts for which that is not certain
-are encoded whole.
+The library's own speed is the cost of packing and token files, so the merges of a file
+run in tiktoken, several times as fast, with tables built from that same file:
+
+* a byte-level vocabulary maps to byte strings ranked by their ids;
+* in one with word ends a pre-token carries a closing zero byte, and the first merges are
+  those of a last byte with it.
+
+Both need ids that ascend with the merges, which is checked on loading; pre-tokens are cut
+as the file says. Texts that hold a special token or, with word ends, a zero byte or a code
+point that Unicode has not assigned, and all texts of other kinds of files, go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 
-#: Entries of the chunk cache, a worker (about 200 bytes each); it is emptied when they are reached.
-CACHE_ENTRIES = 300_000
-#: Bytes of a chunk that stays in the cache.
-CACHED_BYTES = 64
-#: Text bytes handled at once.
-BLOCK_BYTES = 1 << 20
-#: ASCII white space as byte-level patterns cut it: the last blank goes with the next word.
-BYTE_CHUNKS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-#: White space beyond ASCII.
-WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
+import numpy as np
+
+from .tokens import WordBpe, byte_symbols, certain
+
+# Fixed value: the pattern of byte-level pre-tokens.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Ends a word; texts that hold it go to the library.
+WORD_END = "\0"
 
 
 class Encoder:
@@ -30,52 +34,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        # a vocabulary with word ends drops white space, so its chunks are the words between
-        self.words = bool(getattr(self.tok.model, "end_of_word_suffix", None))
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, bytes] = {}
-
-    def pack(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.fast, self.words = None, None
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or not model.get("merges"):
+            return
+        steps = [p["type"] for p in pre.get("pretokenizers", [])]
+        if model.get("end_of_word_suffix"):
+            if steps == ["Split", "ByteLevel"] and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+                self.fast = self._tables(model, rf"[^{WORD_END}]+{WORD_END}")
+                self.words = WordBpe(path)
+                self.special.append(WORD_END.encode())
+        elif pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer"):
+            self.fast = self._tables(model, BYTE_LEVEL)
 
-        run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in run(texts, add_special_tokens=False)]
+    @staticmethod
+    def _tables(model: dict, pattern: str):
+        """The vocabulary as tiktoken takes it, or None where its ids do not ascend with the merges."""
+        import tiktoken
 
-    def chunks(self, text: bytes) -> list[bytes] | None:
-        if self.words:
-            return text.split()
-        if any(s in text for s in self.special) or not text.isascii() and WIDE_SPACE.search(text.decode()):
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [vocab[a + b] for a, b in pairs]
+        back = {c: i for i, c in enumerate(byte_symbols())}
+        single = {c + e: (bytes([i]) + (WORD_END.encode() if e else b"")) for e in {"", suffix} for c, i in back.items()}
+        if any(x >= y for x, y in zip(ids, ids[1:], strict=False)) or not single.keys() <= vocab.keys() or max(vocab[s] for s in single) >= ids[0]:
             return None
-        return BYTE_CHUNKS.findall(text)
+        ranks = {word: vocab[s] for s, word in single.items()}
+        for (a, b), i in zip(pairs, ids, strict=True):
+            end = bool(suffix) and b.endswith(suffix)
+            ranks[bytes(back[c] for c in a + (b[: -len(suffix)] if end else b)) + (WORD_END.encode() if end else b"")] = i
+        return tiktoken.Encoding("weirflow", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK_BYTES):
-                size += len(texts[j])
-                j += 1
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache.clear()
-            split = [self.chunks(t) for t in texts[i:j]]
-            new = [c for c in set().union(*(s for s in split if s is not None)) if c not in self.cache]
-            self.cache.update(zip(new, self.pack([c.decode() for c in new]), strict=True))
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, s)) if s is not None else self.pack([t.decode()])[0] for s, t in zip(split, texts[i:j], strict=True)]
-            for c in new:
-                if len(c) > CACHED_BYTES:
-                    del self.cache[c]
-            i = j
-        return out
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: bytes) -> bytes:
+        plain = text.decode()
+        if self.fast is None or any(s in text for s in self.special) or self.words is not None and not certain(plain):
+            return np.array(self.tok.encode(plain, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.words is not None:
+            found = self.words.pre_tokens(plain)[0]
+            plain = WORD_END.join([w.decode() for w in found]) + WORD_END if found else ""
+        return self.fast.encode_to_numpy(plain).astype("<u4", copy=False).tobytes()
 
 
 _loaded: dict[tuple[str, int], Encoder] = {}
 
 
 def loaded(path: str) -> Encoder:
-    """One encoder a worker process, whose cache its later tasks find filled."""
+    """One encoder a worker process."""
     with open(path, "rb") as f:
         key = (path, zlib.crc32(f.read()))
     if key not in _loaded:

@@ -13,6 +13,7 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,21 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@cache
+def assigned(char: str) -> bool:
+    return unicodedata.category(char) != "Cn"
+
+
+def certain(text: str) -> bool:
+    """Whether pattern and lower case treat the text alike in every version of Unicode: code points not yet assigned may not."""
+    return text.isascii() or all(map(assigned, set(text)))
+
+
 class WordBpe:
     """A tokenizer file whose pre-tokens are words with an end mark, lower-cased and NFC."""
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
@@ -70,12 +82,24 @@ class WordBpe:
         parts = self.special.split(text) if self.special else [text]
         words = []
         for part in parts:
+            if not certain(part):
+                words += self.cut_by_library(part)
+                continue
             if not part.isascii():
                 # one character at a time: a final sigma stays as any other
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             words += [w.encode() for w in self.pattern.findall(part.lower())]
         return words, len(parts) - 1
 
+    def cut_by_library(self, part: str) -> list[bytes]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.back = {c: i for i, c in enumerate(byte_symbols())}
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+        return [bytes(self.back[c] for c in w) for w, _ in found]
+
     def count_words(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each pre-token (none is empty)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
