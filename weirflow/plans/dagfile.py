@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 
@@ -13,39 +14,52 @@ class Component:
     interval_ms: int = 0
 
 
+#: One line: nothing but a comment, a heading, or a setting.
+LINE = re.compile(r"(?P<skip>(?:[#;].*)?)|\[(?P<head>[^\]]*)\].*|(?P<key>[^=\[]*)=(?P<value>.*)", re.DOTALL)
+HEAD = re.compile(r"component[ ](?P<name>.*)", re.DOTALL)
+
+
+def _interval(value: str) -> int:
+    if re.fullmatch("[0-9]+", value) is None:
+        raise ValueError(f"bad interval '{value}', a whole number of milliseconds is wanted")
+    return int(value)
+
+
+#: What a component may set, and how its text is read.
+SETTINGS = {"type": str, "inputs": lambda value: re.findall(r"[^,\s](?:[^,]*[^,\s])?", value), "interval_ms": _interval}
+
+
+def _read(line: str, found: list[Component]) -> None:
+    m = LINE.fullmatch(line)
+    if m is None:
+        raise ValueError(f"unrecognized text '{line}'")
+    if m["head"] is not None:
+        head = HEAD.fullmatch(m["head"])
+        if head is None:
+            raise ValueError(f"unrecognized heading '{line}'")
+        if not head["name"].strip():
+            raise ValueError("the component has no name")
+        found.append(Component(head["name"].strip()))
+    elif m["key"] is not None:
+        key = m["key"].strip()
+        if not found:
+            raise ValueError(f"'{key}' stands outside of every component")
+        if key not in SETTINGS:
+            raise ValueError(f"unknown key '{key}'")
+        setattr(found[-1], key, SETTINGS[key](m["value"].strip()))
+
+
 def parse(text: str) -> list[Component]:
-    """The components in order; ``ValueError`` names what is wrong."""
+    """The components in order; ``ValueError`` names the line and what is wrong with it."""
     found: list[Component] = []
-    for raw in text.split("\n"):
-        line = raw.strip(" \t\r")
-        if not line or line[0] in "#;":
-            continue
-        if line[0] == "[":
-            head, closed, _ = line.partition("]")
-            if not closed or not head.startswith("[component "):
-                raise ValueError(f"unrecognized section: {line}")
-            name = head.removeprefix("[component ").strip(" \t")
-            if not name:
-                raise ValueError("component section without a name")
-            found.append(Component(name))
-            continue
-        key, given, value = (x.strip(" \t") for x in line.partition("="))
-        if not given or not found:
-            raise ValueError(f"key outside any [component] section: {line}")
-        match key:
-            case "type":
-                found[-1].type = value
-            case "inputs":
-                found[-1].inputs = [x for x in (p.strip(" \t") for p in value.split(",")) if x]
-            case "interval_ms":
-                if not value.isdecimal():
-                    raise ValueError(f"bad interval_ms: {value}")
-                found[-1].interval_ms = int(value)
-            case _:
-                raise ValueError(f"unknown key: {key}")
-    for c in found:
-        if not c.type:
-            raise ValueError(f"component '{c.name}' missing type")
+    for number, line in enumerate(text.split("\n"), 1):
+        try:
+            _read(line.strip(), found)
+        except ValueError as e:
+            raise ValueError(f"line {number}: {e}") from None
+    untyped = [c.name for c in found if not c.type]
+    if untyped:
+        raise ValueError(f"missing type of {untyped}")
     return found
 
 
