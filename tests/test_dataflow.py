@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weirflow.functions import lineage as L
 from weirflow.operators import dataflow as O
 from weirflow.operators import timing as T
-from weirflow.operators.numbering import number, running
+from weirflow.operators.numbering import number, ranged, running
 from weirflow.plans import registry
 from weirflow.plans.flow import FlowBuilder
 
@@ -19,9 +19,9 @@ def ticks(spark, channel, n, start=0, **columns):
 def test_numbering_over_many_buckets(spark):
     rows = [(random.Random(i).randrange(1000), i, "ab"[i % 2]) for i in range(3000)]
     df = spark.createDataFrame(rows, "t long, i long, k string")
-    got = {(r.t, r.i): r.seq for r in number(df, ["t", "i"], rows=100).collect()}
+    got = {(r.t, r.i): r.seq for r in number(df, ["t", "i"], ranges=7).collect()}
     assert got == {x[:2]: n for n, x in enumerate(sorted(rows))}
-    by = {r.i: (r.seq, r.s, r.m) for r in running(df, ["t", "i"], {"s": ("sum", "t"), "m": ("max", "i")}, by=["k"], rows=100).collect()}
+    by = {r.i: (r.seq, r.s, r.m) for r in running(df, ["t", "i"], {"s": ("sum", "t"), "m": ("max", "i")}, by=["k"], ranges=7).collect()}
     for k in "ab":
         s, m = 0, -1
         for n, (t, i, _) in enumerate(x for x in sorted(rows) if x[2] == k):
@@ -186,3 +186,29 @@ def test_component_files_become_flows(spark):
     assert [(r.seq, r.frame, r.l) for r in rows] == [(0, 0, "d/cam#0 -> d/even#0"), (1, 2, "d/cam#2 -> d/even#1")]
     with pytest.raises(ValueError, match="no component"):
         dagfile.to_flow(dagfile.parse("[component x]\ntype=Nothing"), "d")
+
+
+def test_queues_of_one_long_instance(spark):
+    # one instance over many ranges, and through a flow with payload and lineage
+    r = random.Random(5)
+    sides = [int(r.random() < (0.2 if i // 300 % 2 else 0.8)) for i in range(2000)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sides)], "at long, side long")
+    got = sorted((x.pair, x.a, x.b) for x in O.zip_with_queues(df, [], "side", ["at"], 16, ranges=9).collect())
+    assert got == [(k, a, b) for k, (a, b) in enumerate(simulate(sides, 16))]
+    given = {}
+    for side, name in enumerate("ab"):
+        at = [i for i, s in enumerate(sides) if s == side]
+        rows = [(n, i, i * 10, n * 100 + side) for n, i in enumerate(at)]
+        given[f"q/{name}"] = spark.createDataFrame(rows, "seq long, arrival long, ts_ns long, v long").withColumn("lineage", L.rooted(f"q/{name}", "seq"))
+    f = FlowBuilder("q")
+    f.join(f.tap("a"), f.tap("b"), lambda x, y: {"a": x("v"), "b": y("v")}, depth=O.QUEUE)
+    out = f.build().lower(spark, given)["q/~0"].select("seq", "a", "b", L.describe("lineage").alias("l")).collect()
+    want = {(k, a * 100, b * 100 + 1, f"q/a#{a} -> q/~0#{k} | q/b#{b} -> q/~0#{k}") for k, (a, b) in enumerate(simulate(sides, 16))}
+    assert {(x.seq, x.a, x.b, x.l) for x in out} == want
+
+
+def test_numbering_of_equal_and_far_values(spark):
+    df = spark.range(4000).select(F.when(F.col("id") == 7, 1 << 60).otherwise(5).alias("t"), "id")
+    rows = number(df, ["t", "id"], ranges=8)
+    assert {r.id: r.seq for r in rows.collect()} == {i: 3999 if i == 7 else i - (i > 7) for i in range(4000)}
+    assert max(r["count"] for r in ranged(df, ["t", "id"], ranges=8).groupBy("_bucket").count().collect()) < 2000

@@ -18,6 +18,9 @@ from weirflow.functions import lineage as L
 from weirflow.shipping import ship
 
 from .numbering import number, running
+from .queues import zip_with_queues
+
+__all__ = ["zip_with_queues"]
 
 META = ("seq", "arrival", "ts_ns", "lineage")
 #: Depth of an operator's input queue, and of a channel's history.
@@ -116,34 +119,16 @@ def overflows(a: DataFrame, b: DataFrame, depth: int = QUEUE) -> bool:
     return (lead or 0) > depth
 
 
-def zip_with_queues(rows: DataFrame, keys: Sequence[str], side: str, order: Sequence[str], depth: int = QUEUE) -> DataFrame:
-    """Pairs of each flow instance (``keys``) when queues hold ``depth`` and drop their oldest message.
-
-    ``side`` is 0 or 1. Returns ``keys, pair, a, b``: the numbers of the paired messages within their
-    side. Instances run side by side; one instance is folded in order by one task, as its queues demand.
-    """
-    ship(rows.sparkSession)
-    order, keys = list(order), list(keys)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        queues: tuple[list[int], list[int]] = ([], [])
-        counts, pairs = [0, 0], []
-        for s in pdf[side]:
-            queues[s].append(counts[s])
-            counts[s] += 1
-            if len(queues[s]) > depth:
-                queues[s].pop(0)
-            if queues[0] and queues[1]:
-                pairs.append((queues[0].pop(0), queues[1].pop(0)))
-        out = pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-        out.insert(0, "pair", range(len(out)))
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*dict.fromkeys([*keys, side, *order])).groupBy(*keys).applyInPandas(fold, f"{kinds}, pair long, a long, b long")
+def zip_dropping(
+    a: DataFrame, b: DataFrame, channel: str, fn: Callable[[Callable, Callable], dict[str, Column]], depth: int = QUEUE, ranges: int | None = None
+) -> DataFrame:
+    """``zip_join`` for queues that hold ``depth`` messages and drop their oldest; lineage stays with its payload."""
+    both = a.select("arrival", F.lit(0).alias("_q")).unionByName(b.select("arrival", F.lit(1).alias("_q")))
+    pairs = zip_with_queues(both, [], "_q", ["arrival", "_q"], depth, ranges)
+    x = a.join(pairs.select("pair", F.col("a").alias("_n")), F.col("seq") == F.col("_n"))
+    y = b.join(pairs.select("pair", F.col("b").alias("_n")), F.col("seq") == F.col("_n"))
+    renumbered = lambda d, own: d.select(F.col("pair").alias("seq"), *[c for c in own.columns if c != "seq"])
+    return zip_join(renumbered(x, a), renumbered(y, b), channel, fn)
 
 
 def _slices(found: DataFrame, trigger: DataFrame, channel: str, data_channel: str) -> DataFrame:

@@ -102,8 +102,17 @@ class FlowBuilder:
         """A channel that is given when the flow is lowered, or produced elsewhere in it."""
         return Chain(self, self._named(name))
 
-    def join(self, a: Chain, b: Chain, fn: Callable) -> Chain:
-        return self._add("join", (a.channel, b.channel), self._anonymous(), lambda c, x, y: O.zip_join(x, y, c, fn))
+    def join(self, a: Chain, b: Chain, fn: Callable, depth: int | None = None) -> Chain:
+        """The n-th message of one with the n-th of the other. With ``depth`` (``QUEUE``, say) a queue that is full drops its oldest message."""
+
+        def plan(c: str, x: DataFrame, y: DataFrame) -> DataFrame:
+            return O.zip_join(x, y, c, fn) if depth is None else O.zip_dropping(x, y, c, fn, depth)
+
+        return self._add("join", (a.channel, b.channel), self._anonymous(), plan)
+
+    def fuse(self, chains: Sequence[Chain], fn: Callable) -> Chain:
+        """The n-th messages of two to four channels."""
+        return self._add("join", tuple(c.channel for c in chains), self._anonymous(), lambda c, *d: O.zip_many(d, c, fn))
 
     def span_join(self, trigger: Chain, data: Chain, span: tuple[Column, Column], width: int, time: str = "ts_ns", history: int | None = None) -> Chain:
         made = lambda c, t, d: O.span_join(t, d, c, data.channel, span, width, time, history)
@@ -179,7 +188,7 @@ class Flow:
                 case "source":
                     return f"src[{d.output}]"
                 case "join":
-                    return f"join[{d.inputs[0]} + {d.inputs[1]} -> {d.output}]"
+                    return f"join[{' + '.join(d.inputs)} -> {d.output}]"
                 case "stateful":
                     return f"stateful[{d.inputs[0]} -> {d.output} + {d.state}]"
                 case "span":
