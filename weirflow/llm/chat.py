@@ -40,9 +40,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # the doubled backslashes are parked on a character that roles cannot hold after the split
-    parked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\n"))
-    return F.replace(F.replace(F.replace(parked, F.lit("\\n"), F.lit("\r\n")), F.lit("\n"), F.lit("\\")), F.lit("\r\\"), F.lit("\n"))
+    # doubled backslashes are cut out first, from the left, so what is left holds single ones only
+    parts = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
