@@ -127,13 +127,12 @@ def mix_sources(
     """The rows' places in the mixture: ``doc_id, source, block, slot, place``.
 
     ``place`` orders the whole mixture: slot by slot, inside a block by a hash of the id,
-    which also shuffles each source; rows with equal ids keep to the order of their
-    hashes and ids. Without ``weights`` a source's weight is its number of rows to the
+    which also shuffles each source; rows with equal ids are ordered by a hash of the whole row. Without ``weights`` a source's weight is its number of rows to the
     power ``temperature``. Sources that ``weights`` omit or give no positive weight raise
     ``ValueError``, as do more than ``SOURCES`` sources: no row is ever left out. When a
     source is used up its later slots stay empty and the others go on. A null source is the source of the empty string.
-    With ``keep_columns`` the rows keep their own columns and ``place`` is added to them
-    (it must not be among them). An empty table gives an empty result.
+    With ``keep_columns`` the rows keep their own columns, whatever they are called, and ``place``
+    is added to them (it must not be among them). Null, empty and very long texts are rows like any other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
@@ -147,7 +146,10 @@ def mix_sources(
         raise ValueError(f"no positive weight for the sources {short[:5]}")
     chunks = written_schedule(spark, weights, {k: -(-n // block_rows) for k, n in counts.items()})
     groups = max(1, sum(counts.values()) // BUCKET_ROWS)
-    d = docs.withColumns({"_source": source, "_hash": F.xxhash64(F.col(id_col).cast("string"))})
+    # the rows' own columns stay inside a struct, apart from the helpers
+    own = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep_columns else [id_col])])
+    tie = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    d = docs.select(own.alias("_row"), source.alias("_source"), F.xxhash64(F.col(id_col).cast("string")).alias("_hash"), F.xxhash64(*tie).alias("_tie"))
     d = d.withColumn("_group", F.pmod(F.col("_hash"), F.lit(groups)))
     sizes = d.groupBy("_source", "_group").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
@@ -158,9 +160,8 @@ def mix_sources(
     sizes = parts.groupBy("_source", "_group", "_before", "_first", "_last").agg(F.sort_array(F.collect_list(F.struct("_chunk", "_slots"))).alias("_parts"))
     inside = F.flatten(F.transform("_parts", lambda x: x["_slots"]))
     sizes = sizes.select("_source", "_group", "_before", "_first", F.slice(inside, (F.col("_first") % CHUNK + 1).cast("int"), (F.col("_last") - F.col("_first") + 1).cast("int")).alias("_slots"))
-    rank = F.row_number().over(Window.partitionBy("_source", "_group").orderBy("_hash", id_col)) - 1
-    names = docs.columns if keep_columns else [id_col]
-    ranked = d.select(*names, "_source", "_group", "_hash").withColumn("_rank", rank)
+    rank = F.row_number().over(Window.partitionBy("_source", "_group").orderBy("_hash", f"_row.`{id_col}`", "_tie")) - 1
+    ranked = d.withColumn("_rank", rank)
     ranked = ranked.join(sizes, ["_source", "_group"])
     rank = F.col("_rank") + F.col("_before")
     block = F.floor(rank / block_rows).cast("long")
@@ -168,7 +169,7 @@ def mix_sources(
     placed = ranked.withColumn("_block", block).withColumn("_slot", slot)
     place = F.col("_slot") * block_rows + (F.col("_rank") + F.col("_before")) % block_rows
     if keep_columns:
-        return placed.select(*names, place.alias("place"))
+        return placed.select("_row.*", place.alias("place"))
     return placed.select(
-        F.col(id_col).alias("doc_id"), F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), place.alias("place")
+        F.col(f"_row.`{id_col}`").alias("doc_id"), F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), place.alias("place")
     )
