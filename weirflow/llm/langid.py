@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.shipping import ship
@@ -23,11 +23,11 @@ from weirflow.shipping import ship
 from .common import slices
 
 NGRAM = 4
-#: Slots of the filter (a power of two) and probes of an n-gram.
-SLOT_BITS, PROBES = 18, 3
-#: Labelled documents a language that the fit samples, n-grams a language it keeps, languages at most.
-SAMPLE, PROFILE, LANGUAGES = 3000, 20_000, 512
-#: Share of a language's sampled documents that must hold an n-gram.
+#: Least number of slots of the filter (as a power of two), slots for each n-gram of the largest language, probes of an n-gram.
+SLOT_BITS, ROOM, PROBES = 18, 12, 3
+#: Labelled documents a language that the fit samples, languages at most.
+SAMPLE, LANGUAGES = 3000, 512
+#: Share of a language's sampled documents that must hold an n-gram; so a language has no more n-grams than 100 times a document of its.
 LEAST_SHARE = 0.01
 #: Characters handled at once.
 BLOCK_CHARS = 1 << 19
@@ -40,15 +40,26 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def folded(text: str) -> tuple[np.ndarray, bool]:
-    """Code points of the lower-cased text with each run of non-letters as one space, and whether it has a letter."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    is_letter = letters()[c]
-    c = np.where(is_letter, c, np.uint32(32))
-    keep = is_letter.copy()
-    keep[0] = True
-    keep[1:] |= is_letter[:-1]
-    return c[keep], bool(is_letter.any())
+def blocks(text: str) -> Iterator[tuple[np.ndarray, bool]]:
+    """Code points of the lower-cased text with each run of non-letters as one space, and whether there is a letter, block by block.
+
+    A space is put before and behind the whole text. Each block begins with the last ``NGRAM`` - 1 code
+    points of the one before, so the blocks' n-grams are those of the whole text, each once.
+    """
+    tail, after_letter = np.array([32], np.uint32), False
+    for begin in range(0, max(len(text), 1), BLOCK_CHARS):
+        # a capital sigma is lower-cased by its neighbours, which may lie in another block
+        piece = text[begin : begin + BLOCK_CHARS].replace("\u03a3", "\u03c3").lower()
+        c = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)
+        is_letter = letters()[c]
+        before = np.r_[after_letter, is_letter[:-1]] if len(c) else np.zeros(0, bool)
+        new = np.where(is_letter, c, np.uint32(32))[is_letter | before]
+        if len(c):
+            after_letter = bool(is_letter[-1])
+        last = begin + BLOCK_CHARS >= len(text)
+        whole = np.concatenate([tail, new, np.array([32] if last and after_letter else [], np.uint32)])
+        yield whole, bool(is_letter.any())
+        tail = whole[-(NGRAM - 1) :]
 
 
 def ngrams(c: np.ndarray) -> np.ndarray:
@@ -63,15 +74,15 @@ def ngrams(c: np.ndarray) -> np.ndarray:
     return h
 
 
-def slots(h: np.ndarray) -> list[np.ndarray]:
+def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
     a, b = h * MIX[1], h * MIX[2] | np.uint64(1)
-    shift = np.uint64(64 - SLOT_BITS)
+    shift = np.uint64(64 - bits)
     return [((a + np.uint64(k) * b) >> shift).astype(np.int64) for k in range(PROBES)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """``masks``: 64 languages a row, a bit each for every slot. Its size depends on the parameters alone."""
+    """``masks``: 64 languages a row, a bit each for every slot."""
 
     langs: tuple[str, ...]
     masks: np.ndarray
@@ -80,11 +91,12 @@ class Model:
 
     @staticmethod
     def of(langs: list[str], grams: dict[str, list[int]], usual: str) -> Model:
-        masks = np.zeros((-(-len(langs) // 64) or 1, 1 << SLOT_BITS), np.uint64)
+        bits = max(SLOT_BITS, (ROOM * max(map(len, grams.values()), default=0)).bit_length())
+        masks = np.zeros((-(-len(langs) // 64) or 1, 1 << bits), np.uint64)
         rate = np.zeros(len(langs))
         for i, lang in enumerate(langs):
             bit = np.uint64(1 << i % 64)
-            for s in slots(np.array(grams.get(lang, []), np.int64).view(np.uint64)):
+            for s in slots(np.array(grams.get(lang, []), np.int64).view(np.uint64), bits):
                 masks[i // 64][s] |= bit
             rate[i] = np.mean(masks[i // 64] & bit != 0) ** PROBES
         return Model(tuple(langs), masks, rate, usual)
@@ -92,7 +104,7 @@ class Model:
     def counts(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Masks' set bits by segment (a row each; none may be empty) and language."""
         out = np.zeros((len(starts), len(self.langs)), np.int64)
-        at = slots(h)
+        at = slots(h, self.masks.shape[1].bit_length() - 1)
         for w, row in enumerate(self.masks):
             mask = row[at[0]]
             for s in at[1:]:
@@ -122,11 +134,10 @@ class Model:
             size = 0
 
         for i, text in enumerate(texts):
-            for begin in range(0, len(text or ""), BLOCK_CHARS):
-                c, has = folded(text[begin : begin + BLOCK_CHARS])
+            for c, has in blocks(text or ""):
                 any_letter[i] |= has
                 h = ngrams(c)
-                if has and len(h):
+                if len(h):
                     held.append(h)
                     owner.append(i)
                     size += len(h)
@@ -153,8 +164,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     All of ``docs`` is for learning; rows without language, text or id are left out.
     An n-gram belongs to a language if ``LEAST_SHARE`` of its sampled texts, and two,
-    hold it (one where a language has a single text); of more than ``PROFILE`` the most
-    frequent stay. More than ``LANGUAGES`` distinct languages raise ``ValueError``.
+    hold it (one where a language has a single text), and all such are kept. More than
+    ``LANGUAGES`` distinct languages raise ``ValueError``.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -171,10 +182,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     some = d.filter(F.pmod(F.xxhash64("i"), F.lit(steps)) < shares[F.col("lang")])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, at=0):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = [np.unique(ngrams(folded(text[i : i + BLOCK_CHARS])[0])) for i in range(0, len(text), BLOCK_CHARS)]
-                h = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+                h = np.unique(np.concatenate([np.unique(ngrams(c)) for c, _ in blocks(text)]))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([lang] * len(h), pa.string())], ["gram", "lang"])
 
     sizes = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2, n, sample))])
@@ -186,9 +196,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         .agg(F.count(F.lit(1)).alias("n"))
         .filter((F.col("n") >= sizes[F.col("lang")]) & (F.col("n") >= LEAST_SHARE * texts[F.col("lang")]))
     )
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found: dict[str, list[int]] = {}
-    for r in frequent.withColumn("at", top).filter(F.col("at") <= PROFILE).select("gram", "lang").collect():
+    for r in frequent.select("gram", "lang").collect():
         found.setdefault(r.lang, []).append(r.gram)
     return Model.of(sorted(counts), found, max(sorted(counts), key=counts.get))
 
@@ -199,7 +208,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A null text, or one without a letter, is ``und`` with score 0. The score is the share
     of the text's n-grams that the language holds. A text without any known n-gram gets
     the language with the most labelled texts and score 0; a model without languages
-    says ``und``. Repeated rows are judged alike; other columns are ignored.
+    says ``und``. Repeated rows are judged alike, texts of any length by all their n-grams;
+    other columns are ignored, and an empty table gives an empty result.
     """
     ship(docs.sparkSession)
 
@@ -225,7 +235,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, at=at):
             texts = b.column(at).to_pylist()
             if model.langs:
                 keep = [lang != UNKNOWN and score >= least_score for lang, score in model.predict(texts)]

@@ -197,8 +197,8 @@ def count_tokens(
 ) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text, in one map pass without a shuffle.
 
-    A null or empty text has no bytes and no tokens. Repeated rows are counted each;
-    other columns are ignored.
+    A null or empty text has no bytes and no tokens. Repeated rows are counted each, texts
+    of any length whole; other columns are ignored, and an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
