@@ -212,3 +212,40 @@ def test_numbering_of_equal_and_far_values(spark):
     rows = number(df, ["t", "id"], ranges=8)
     assert {r.id: r.seq for r in rows.collect()} == {i: 3999 if i == 7 else i - (i > 7) for i in range(4000)}
     assert max(r["count"] for r in ranged(df, ["t", "id"], ranges=8).groupBy("_bucket").count().collect()) < 2000
+
+
+def test_folds_and_loops_of_a_flow(spark):
+    r = random.Random(6)
+    rows = [(n, n * 2, n * 5, r.randrange(100), "xy"[n % 2]) for n in range(300)]
+    given = {"g/in": spark.createDataFrame(rows, "seq long, arrival long, ts_ns long, v long, k string").withColumn("lineage", L.rooted("g/in", "seq"))}
+
+    def step(state, row):  # two outputs for a large value, none for a small one; the state feeds back
+        state = (state * 3 + row.v) % 97
+        return state, [(state, j) for j in range(row.v // 40)]
+
+    want, state, seq = [], 0, 0
+    for n, _, _, v, _ in rows:
+        state = (state * 3 + v) % 97
+        for j in range(v // 40):
+            want.append((seq, state, j, f"g/in#{n} -> g/out#{seq}"))
+            seq += 1
+    f = FlowBuilder("g")
+    f.fold(f.tap("in"), "out", lambda: 0, step, "state long, j long")
+    out = f.build().lower(spark, given)["g/out"].select("seq", "state", "j", L.describe("lineage").alias("l"))
+    assert sorted(tuple(x) for x in out.collect()) == want
+    keyed = O.fold_by_key(given["g/in"], ["k"], ["arrival"], lambda: 0, lambda s, x: (s + x.v, [(x.seq, s + x.v)]), "k string, seq long, total long")
+    sums = {"x": 0, "y": 0}
+    expect = set()
+    for n, _, _, v, k in rows:
+        sums[k] += v
+        expect.add((k, n, sums[k]))
+    assert {tuple(x) for x in keyed.collect()} == expect
+
+
+def test_aggregates_of_spans(spark):
+    data = ticks(spark, "s/d", 50, v=F.col("seq") * 2)
+    trigger = ticks(spark, "s/t", 3, start=100).withColumn("ts_ns", F.col("seq") * 20_000_000)
+    span = (F.col("ts_ns") - 5_000_000, F.col("ts_ns"))
+    got = {r.seq: (r.n, r.total, r.l) for r in O.span_aggregate(trigger, data, "s/~0", "s/d", span, 5_000_000, {"total": F.sum("v")}).withColumn("l", L.describe("lineage")).collect()}
+    whole = {r.seq: (r.n, r.total, r.l) for r in O.span_join(trigger, data, "s/~0", "s/d", span, 5_000_000).select("seq", F.size("items").cast("bigint").alias("n"), F.when(F.size("items") > 0, F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["v"])).alias("total"), L.describe("lineage").alias("l")).collect()}
+    assert got == whole and got[0][0] == 1 and got[1][0] == 6

@@ -90,6 +90,39 @@ def test_registry():
         registry.build_flow("no such flow")
 
 
+def test_components_check_their_inputs(spark):
+    registry.component("needs_v", 1, ["v long"])(lambda d: d)
+    rows = lambda kind: (lambda s: s.range(3).select(F.col("id").alias("ts_ns"), F.lit(1).cast(kind).alias("v")))
+    for kind, fits in (("long", True), ("string", False)):
+        f = FlowBuilder("f")
+        f.from_("needs_v", f.source("s", rows(kind)))
+        if fits:
+            assert f.build().lower(spark)["f/~0"].count() == 3
+        else:
+            with pytest.raises(ValueError, match="needs v bigint, which is string"):
+                f.build().lower(spark)
+
+
+def test_periodic_sources(spark):
+    f = FlowBuilder("f")
+    f.source("t", interval_us=50, ticks=4)
+    assert [(r.seq, r.ts_ns) for r in f.build().lower(spark)["f/t"].orderBy("seq").collect()] == [(k, k * 50_000) for k in range(4)]
+
+
+def test_planner_on_many_diamonds_and_long_chains():
+    chain, last = [], "s"
+    for k in range(400):  # 2 ** 400 ways, found one by one
+        chain += [sla.Node("map", (last,), f"a{k}", 2), sla.Node("map", (last,), f"b{k}", 1), sla.Node("join", (f"a{k}", f"b{k}"), f"c{k}", 1)]
+        last = f"c{k}"
+    r = sla.plan({"s": 0}, chain, [(last, 1)])
+    assert r.violations[0].planned_us == 400 * (2 + 1 + 2 * 20) and r.violations[0].path[-1] == "s"
+
+
+def test_dag_files_name_the_line():
+    with pytest.raises(ValueError, match="line 3: unknown key 'x'"):
+        dagfile.parse("[component a]\ntype = T\nx = 1")
+
+
 def test_scalars(spark):
     assert fnv1a64("") == 0xCBF29CE484222325 and fnv1a64("a") == 0xAF63DC4C8601EC8C
     assert sanitize("a/b-c") == "a_b_c"

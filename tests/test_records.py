@@ -48,6 +48,7 @@ def test_legacy_files():
     assert [(r["channel"], r["seq"], r["payload"]) for r in trec.decode_file(data)] == [("c", 7, b"xy")]
     with pytest.raises(ValueError):
         trec.decode_file(data[:-1])
+    assert trec.encode_v0([{"channel": "c", "seq": 7, "payload": b"xy", "lineage": "c#7"}]) == data
 
 
 def test_field_tables(spark):
@@ -98,3 +99,45 @@ def test_command(spark, capsys):
     assert cli.main([path, "--declared", "s/out=100"], spark) == 3
     assert cli.main([path, "--declared", "gone=1"], spark) == 2
     assert cli.main([path + "/nothing"], spark) == 1
+
+
+def test_files_of_a_log_are_bounded_and_in_order(spark, monkeypatch):
+    from weirflow.operators.numbering import number
+
+    both = R.merge(log(spark, "imu", 1300, 1000), log(spark, "lidar", 130, 10_000, 500)).repartition(3)
+    path = fresh_path(spark, "trec")
+    monkeypatch.setattr(trec, "FILE_MESSAGES", 500)
+    trec.write(both, path)
+    back = number(trec.read(spark, path).withColumnRenamed("arrival", "came"), ["came"], "place")
+    want = [(r.channel, r.seq) for r in both.orderBy("arrival").collect()]
+    assert [(r.channel, r.seq) for r in back.orderBy("place").collect()] == want
+    assert trec.read(spark, path).select("arrival").distinct().count() == len(want)
+    day = trec.read(spark, path, ["lidar"], 200_000, 300_000)
+    assert sorted(r.seq for r in day.collect()) == [i for i in range(130) if 200_000 <= i * 10_000 + 500 <= 300_000]
+    first = trec.seek(spark, path, 200_001).first()
+    assert (first.channel, first.ts_ns) == ("lidar", 200_500)
+    files = [f"{path}/{r.path.rpartition('/')[2]}" for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    again = fresh_path(spark, "legacy")
+    assert len(files) > 1 and trec.read(spark, path + "/" + files[0].rpartition("/")[2]).count() > 0
+    trec.write(both.limit(0), again)
+
+
+def test_chunks_without_wanted_messages_are_passed_over():
+    rows = [{"channel": "ab"[i // 500 % 2], "seq": i, "ts_ns": i, "payload": b"x", "lineage": []} for i in range(2000)]
+    data = trec.encode_file(rows)
+    assert [len(c) for c in trec._chunks(data)] == [500] * 4
+    assert [c[0]["seq"] for c in trec._chunks(data, ["b"])] == [500, 1500]
+    assert [c[0]["seq"] for c in trec._chunks(data, None, 600, 1100)] == [500, 1000]
+    places = [m["place"] for c in trec._chunks(data) for m in c]
+    assert places == sorted(set(places)) and [m["place"] for c in trec._chunks(data, ["b"]) for m in c] == places[500:1000] + places[1500:]
+
+
+def test_record_from_start_to_stop_and_append(spark):
+    made = R.record({"a": log(spark, "a", 30, 10), "b": log(spark, "b", 5, 10, 3)}, start=20, stop=60)
+    assert sorted((r.channel, r.seq) for r in made.collect()) == [("a", k) for k in range(2, 6)] + [("b", k) for k in range(2, 5)]
+    path = fresh_path(spark, "log")
+    R.write(made, path)
+    R.append(R.record({"a": log(spark, "a", 3, 10), "c": log(spark, "c", 2, 10, 5)}), path)
+    back = sorted((r.channel, r.seq) for r in R.read(spark, path).collect())
+    assert back == [("a", k) for k in range(2, 9)] + [("b", k) for k in range(2, 5)] + [("c", 0), ("c", 1)]
+    assert R.read(spark, path).select("arrival").distinct().count() == len(back)

@@ -7,12 +7,15 @@ order in which all messages of the flow came), ``ts_ns``, payload columns and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import namedtuple
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from weirflow.functions import lineage as L
 from weirflow.shipping import ship
@@ -70,7 +73,7 @@ def op(df: DataFrame, channel: str, emit: Column, init: Column | None = None) ->
     first = None
     if init is not None:
         first = df.sparkSession.range(1).select(F.posexplode(init).alias("seq", "_row")).withColumn("seq", F.col("seq").cast("bigint"))
-        out = out.withColumn("seq", F.col("seq") + first.count())
+        out = out.withColumn("seq", F.col("seq") + F.size(init))
     out = out.select("seq", "arrival", "ts_ns", "_row.*", L.add_hop("lineage", channel, "seq").alias("lineage"))
     if first is None:
         return out
@@ -131,6 +134,26 @@ def zip_dropping(
     return zip_join(renumbered(x, a), renumbered(y, b), channel, fn)
 
 
+def span_aggregate(
+    trigger: DataFrame, data: DataFrame, channel: str, data_channel: str, span: tuple[Column, Column], width: int, reduce: dict[str, Column], time: str = "ts_ns"
+) -> DataFrame:
+    """``span_join`` where only reductions of each slice are wanted: aggregates over the data's columns, combined before any shuffle of slices.
+
+    A slice is never held as an array, so it may be of any size. Aggregates of empty slices are those of no rows.
+    """
+    t = trigger.select(F.col("seq").alias("_trigger"), span[0].cast("bigint").alias("_lo"), span[1].cast("bigint").alias("_hi"))
+    t = t.filter("_lo <= _hi").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    d = data.withColumnRenamed("seq", "_seq").withColumn("_time", F.col(time).cast("bigint"))
+    d = d.withColumn("_cell", F.floor(F.col("_time") / width)).drop("lineage", "arrival")
+    found = t.join(d, "_cell").filter("_time between _lo and _hi")
+    made = found.groupBy("_trigger").agg(F.min("_seq").alias("seq_lo"), F.max("_seq").alias("seq_hi"), F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in reduce.items()])
+    own = trigger.select("seq", "arrival", "ts_ns", F.col("lineage").alias("_lineage"))
+    joined = own.join(made, F.col("seq") == F.col("_trigger"), "left")
+    both = F.when(F.col("n") > 0, L.merge("_lineage", L.rooted(data_channel, "seq_lo", "seq_hi"))).otherwise(F.col("_lineage"))
+    lineage = L.add_hop(both, channel, "seq").alias("lineage")
+    return joined.select("seq", "arrival", "ts_ns", F.coalesce("n", F.lit(0)).alias("n"), *reduce, "seq_lo", "seq_hi", lineage)
+
+
 def _slices(found: DataFrame, trigger: DataFrame, channel: str, data_channel: str) -> DataFrame:
     """Group the data rows of each trigger into a slice; triggers without any get an empty one."""
     items = found.groupBy("_trigger").agg(F.array_sort(F.collect_list("_item")).alias("items"))
@@ -192,25 +215,53 @@ def stateful(
 
 
 def fold_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str], zero: Callable[[], object], step: Callable, schema: str) -> DataFrame:
-    """Any ordered fold or feedback loop, one instance a key.
+    """Any ordered fold or feedback loop, one instance a key (or one in all, without keys).
 
-    ``step(state, row) -> state, outputs`` is called in order; outputs are tuples after the keys.
+    ``step(state, row) -> state, outputs`` is called in order; outputs are tuples after the keys. The rows of
+    an instance stream through one task, as its order demands, and only its state and a batch are held.
     """
     ship(rows.sparkSession)
     keys, order = list(keys), list(order)
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_of = namedtuple("Row", names, rename=True)
+        at = [names.index(k) for k in keys]
+        key, state = None, None
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            out: list[tuple] = []
+            for values in zip(*columns, strict=True):
+                own = tuple(values[i] for i in at)
+                if own != key:
+                    key, state = own, zero()
+                state, made = step(state, row_of(*values))
+                out += [own + m for m in made]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def fold_op(df: DataFrame, channel: str, zero: Callable[[], object], step: Callable, schema: str, keys: Sequence[str] = ()) -> DataFrame:
+    """An operator with state of its own: ``step(state, row) -> state, outputs`` over the messages by arrival, 0 to n outputs a message.
+
+    ``schema`` names the payload. A loop is a fold as well: what one message leaves behind is the state that
+    the next one finds. Each output derives from the message that made it.
+    """
+    inner = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = (inner + ", " if inner else "") + f"arrival long, ts_ns long, lineage {L.LINEAGE}, _pos long, {schema}"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = zero(), []
-        head = tuple(pdf[k].iloc[0] for k in keys)
-        for row in pdf.sort_values(order).itertuples(index=False):
-            state, made = step(state, row)
-            out += [head + m for m in made]
-        return pd.DataFrame(out, columns=names)
-
-    from pyspark.sql.types import StructType
+    def run(state, row):
+        state, made = step(state, row)
+        return state, [(row.arrival, row.ts_ns, row.lineage, pos, *m) for pos, m in enumerate(made)]
 
-    names = StructType.fromDDL(schema).names
-    return rows.groupBy(*keys).applyInPandas(fold, schema)
+    found = fold_by_key(df, keys, ["arrival"], zero, run, kinds)
+    out = number(found.drop(*keys), ["arrival", "_pos"]).drop("_pos")
+    rest = [c for c in out.columns if c not in META]
+    return out.select("seq", "arrival", "ts_ns", *rest, L.add_hop("lineage", channel, "seq").alias("lineage"))
 
 
 def history(df: DataFrame, n: int = HISTORY) -> DataFrame:
@@ -231,11 +282,15 @@ def recover(df: DataFrame, state: DataFrame, version: int, folds: dict[str, tupl
     the folds, ``absorbed`` and ``replayed``.
     """
     at = state.filter(F.col("seq") == version).select(L.root("lineage")["seq"].alias("absorbed"), *[F.col(k).alias(f"_{k}") for k in folds])
-    rest = df.join(F.broadcast(at.select("absorbed")), F.col("seq") > F.col("absorbed"))  # one row
+    # the version's row takes part in the aggregation itself, so nothing is joined
+    known = at.first()
+    if known is None:
+        raise ValueError(f"the state has no version {version}")
+    rest = df.filter(F.col("seq") > known.absorbed)
     tail = rest.agg(F.count(F.lit(1)).alias("replayed"), *[getattr(F, f)(c).alias(k) for k, (f, c) in folds.items()])
     add = {"sum": lambda x, y: F.coalesce(x + y, x, y), "min": F.least, "max": F.greatest}
-    one = F.lit(1).alias("_one")
-    return at.select("*", one).join(tail.select("*", one), "_one").select("absorbed", "replayed", *[add[f](F.col(f"_{k}"), F.col(k)).alias(k) for k, (f, _) in folds.items()])
+    old = {k: F.lit(known[f"_{k}"]).cast(state.schema[k].dataType) for k in folds}
+    return tail.select(F.lit(known.absorbed).alias("absorbed"), "replayed", *[add[f](old[k], F.col(k)).alias(k) for k, (f, _) in folds.items()])
 
 
 def top_by(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from weirflow.functions import lineage as L
 
 from .dataflow import HISTORY, top_by
+from .numbering import number
 
 
-def record(channels: dict[str, DataFrame], payload_col: str = "payload") -> DataFrame:
-    """All messages of the channels as one log."""
+def record(channels: dict[str, DataFrame], payload_col: str = "payload", start: int | None = None, stop: int | None = None) -> DataFrame:
+    """All messages of the channels as one log; those that arrive from ``start`` on and before ``stop``, where these are given."""
     parts = [
         df.select(F.lit(name).alias("channel"), "seq", "ts_ns", "arrival", F.col(payload_col).cast("binary").alias("payload"), "lineage")
         for name, df in channels.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    log = reduce(lambda a, b: a.unionByName(b), parts)
+    log = log if start is None else log.filter(F.col("arrival") >= start)
+    return log if stop is None else log.filter(F.col("arrival") < stop)
 
 
 def write(log: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -26,6 +29,16 @@ def write(log: DataFrame, path: str, compression: str = "zstd") -> None:
     log.write.partitionBy("channel").option("compression", compression).parquet(path)
 
 
+def append(log: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Add messages to a written log; their numbers and arrivals go on from its own, whatever they were."""
+    there = read(log.sparkSession, path)
+    last = there.groupBy("channel").agg(F.max("seq").alias("_last"))
+    came = there.agg(F.max("arrival")).first()[0]
+    own = number(number(log, ["arrival"], "_place"), ["_place"], "_own", by=["channel"]).join(last, "channel", "left")
+    shifted = own.withColumns({"seq": F.col("_own") + F.coalesce(F.col("_last") + 1, F.lit(0)), "arrival": F.col("_place") + (0 if came is None else came + 1)})
+    shifted.select(*log.columns).write.mode("append").partitionBy("channel").option("compression", compression).parquet(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

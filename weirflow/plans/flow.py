@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weirflow.functions import lineage as L
 from weirflow.operators import dataflow as O
@@ -88,11 +89,16 @@ class FlowBuilder:
         self._decls.append(Decl(kind, inputs, output, plan, **more))
         return Chain(self, output)
 
-    def source(self, name: str, rows: Callable[[SparkSession], DataFrame] | None = None, order: Sequence[str] = ("ts_ns",), interval_us: int = 0) -> Chain:
-        """``rows`` gives a table with ``ts_ns`` (and ``arrival``, else it is its place in ``order``)."""
+    def source(self, name: str, rows: Callable[[SparkSession], DataFrame] | None = None, order: Sequence[str] = ("ts_ns",), interval_us: int = 0, ticks: int = 0) -> Chain:
+        """``rows`` gives a table with ``ts_ns`` (and ``arrival``, else it is its place in ``order``).
+
+        Without ``rows`` the source is periodic: ``ticks`` messages, one each ``interval_us``.
+        """
         channel = self._named(name)
 
         def plan(c: str, spark: SparkSession) -> DataFrame:
+            if rows is None:
+                return O.generate(spark, c, ticks, interval_us)
             df = O.source(rows(spark), c, order)
             return df if "arrival" in df.columns else df.withColumn("arrival", F.col("seq"))
 
@@ -118,6 +124,15 @@ class FlowBuilder:
         made = lambda c, t, d: O.span_join(t, d, c, data.channel, span, width, time, history)
         return self._add("span", (trigger.channel, data.channel), self._anonymous(), made)
 
+    def span_aggregate(self, trigger: Chain, data: Chain, span: tuple[Column, Column], width: int, reduce: dict[str, Column], time: str = "ts_ns") -> Chain:
+        """Reductions of the slice of each trigger, beside ``n``, ``seq_lo`` and ``seq_hi``."""
+        made = lambda c, t, d: O.span_aggregate(t, d, c, data.channel, span, width, reduce, time)
+        return self._add("span", (trigger.channel, data.channel), self._anonymous(), made)
+
+    def fold(self, chain: Chain, name: str, zero: Callable[[], object], step: Callable, schema: str, keys: Sequence[str] = ()) -> Chain:
+        """An operator with state, or a loop closed over its own last output: ``step(state, row) -> state, outputs``."""
+        return self._add("op", (chain.channel,), self._named(name), lambda c, d: O.fold_op(d, c, zero, step, schema, keys))
+
     def stateful(self, chain: Chain, out: str, state: str, folds: dict, columns: dict[str, Column]) -> tuple[Chain, Chain]:
         out, state = self._named(out), self._named(state)
         self._add("stateful", (chain.channel,), out, lambda c, d: O.stateful(d, c, state, folds, columns), state=state)
@@ -129,6 +144,7 @@ class FlowBuilder:
         if fn is None:
             return Chain(self, "", valid=False)
         channel = self._named(output) if output else self._anonymous()
+        needs = registry.needs_of(name)
         if not inputs:
 
             def plan(c: str, spark: SparkSession) -> DataFrame:
@@ -136,7 +152,7 @@ class FlowBuilder:
                 return df if "arrival" in df.columns else df.withColumn("arrival", F.col("seq"))
 
             return self._add("from", (), channel, plan, interval_us=interval_us, via=name)
-        return self._add("from", tuple(i.channel for i in inputs), channel, lambda c, *d: _component(c, fn, d), via=name)
+        return self._add("from", tuple(i.channel for i in inputs), channel, lambda c, *d: _component(c, fn, d, needs, name), via=name)
 
     def with_sla_config(self, **settings) -> FlowBuilder:
         self._config = sla.Config(**settings)
@@ -162,8 +178,13 @@ class FlowBuilder:
         return Flow(self.name, tuple(self._decls), dict(self._wcet), tuple(self._endpoints), report, self._fallback)
 
 
-def _component(channel: str, fn: Callable, inputs: Sequence[DataFrame]) -> DataFrame:
+def _component(channel: str, fn: Callable, inputs: Sequence[DataFrame], needs: Sequence[str], name: str) -> DataFrame:
     """One input: rows of the result derive from it; two: the component maps the zipped pairs."""
+    for df, ddl in zip(inputs, needs, strict=False):
+        for f in StructType.fromDDL(ddl).fields:
+            if f.name not in df.columns or df.schema[f.name].dataType != f.dataType:
+                found = df.schema[f.name].dataType.simpleString() if f.name in df.columns else "missing"
+                raise ValueError(f"component {name} needs {f.name} {f.dataType.simpleString()}, which is {found}")
     if len(inputs) == 2:
         return O.zip_join(*inputs, channel, fn)
     made = fn(inputs[0])
@@ -210,8 +231,8 @@ class Flow:
     def lower(self, spark: SparkSession, external: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
         """A DataFrame for every channel. ``external`` gives tapped channels, and replaces sources of the same name.
 
-        Channels with several producers are merged by arrival. A loop cannot be lowered: fold it with
-        ``operators.dataflow.fold_by_key``.
+        Channels with several producers are merged by arrival. A loop over named channels cannot be lowered
+        column by column: declare it with ``FlowBuilder.fold``.
         """
         made: dict[str, DataFrame] = dict(external or {})
         waiting = [d for d in self.decls if d.kind != "sink" and d.output not in made]

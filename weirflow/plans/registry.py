@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-_parts: dict[str, tuple[int, Callable]] = {}
+_parts: dict[str, tuple[int, Callable, tuple[str, ...]]] = {}
 _flows: dict[str, Callable] = {}
 
 
-def component(name: str, inputs: int):
-    """Register a function of ``inputs`` DataFrames (a source has none and gets the session)."""
+def component(name: str, inputs: int, needs: Sequence[str] = ()):
+    """Register a function of ``inputs`` DataFrames (a source has none and gets the session).
+
+    ``needs`` are columns and types that each input must have, as DDL; they are checked when a flow is lowered.
+    """
 
     def put(fn: Callable) -> Callable:
-        _parts[name] = (inputs, fn)
+        _parts[name] = (inputs, fn, tuple(needs))
         return fn
 
     return put
@@ -34,6 +37,10 @@ def get_component(name: str, inputs: int) -> Callable | None:
     return known[1] if known and known[0] == inputs else None
 
 
+def needs_of(name: str) -> tuple[str, ...]:
+    return _parts[name][2] if name in _parts else ()
+
+
 def has_flow(name: str) -> bool:
     return name in _flows
 

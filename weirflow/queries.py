@@ -51,11 +51,17 @@ def arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number(events(spark, sf_dir), ["ts_ns", "event_id"], "arrival")
 
 
-def channel(spark: SparkSession, sf_dir: str, kind: str, name: str = "", all_arrivals: bool = True) -> DataFrame:
-    rows = arrived(spark, sf_dir) if all_arrivals else events(spark, sf_dir)
-    rows = rows.filter(F.col("event_type") == kind).drop("event_type", "props")
-    out = O.source(rows, f"flow/{name or kind}", ["ts_ns", "event_id"])
-    return out if all_arrivals else out.withColumn("arrival", F.col("seq"))
+def channels(spark: SparkSession, sf_dir: str, *kinds: str) -> dict[str, DataFrame]:
+    """Channels of one flow: all events are numbered once on arrival, and each kind by its own order."""
+    rows = arrived(spark, sf_dir).drop("props")
+    return {k: O.source(rows.filter(F.col("event_type") == k).drop("event_type"), f"flow/{k}", ["arrival"]) for k in kinds}
+
+
+def channel(spark: SparkSession, sf_dir: str, kind: str, all_arrivals: bool = True) -> DataFrame:
+    if all_arrivals:
+        return channels(spark, sf_dir, kind)[kind]
+    rows = events(spark, sf_dir).filter(F.col("event_type") == kind).drop("event_type", "props")
+    return O.source(rows, f"flow/{kind}", ["ts_ns", "event_id"]).withColumn("arrival", F.col("seq"))
 
 
 def text(df: DataFrame, *columns: str) -> DataFrame:
@@ -81,7 +87,7 @@ def map_to_union(spark, sf_dir):
     f = FlowBuilder("flow")
     for kind in ("click", "view"):
         f.tap(kind).map_to("merged", event_id=F.col("event_id"), cents=F.col("cents"))
-    given = {f"flow/{k}": channel(spark, sf_dir, k) for k in ("click", "view")}
+    given = {f"flow/{k}": v for k, v in channels(spark, sf_dir, "click", "view").items()}
     return text(f.build().lower(spark, given)["flow/merged"], "seq", "event_id", "cents")
 
 
@@ -166,17 +172,58 @@ def join_zip_by_key(spark, sf_dir):
     return O.zip_with_queues(rows, ["user_id"], "side", ["ts_ns", "event_id"], depth=1 << 30)
 
 
-@query()
+#: The queues message by message: s is how far clicks are ahead of views, at most ``depth`` either way.
+DROPS = """, u as (select {key} as k, case when event_type = 'click' then 0 else 1 end as side, row_number() over (partition by {key} order by ts_ns, event_id) as n from e where event_type in ('click', 'view')),
+l as (select k, list(side order by n) as v from u group by k),
+r as (select k, v, 0 as n, cast(0 as bigint) as s, cast(0 as bigint) as c0, cast(0 as bigint) as c1, cast(null as bigint) as a, cast(null as bigint) as b from l
+    union all select k, v, n + 1, greatest(-{depth}, least({depth}, s + 1 - 2 * v[n + 1])), c0 + 1 - v[n + 1], c1 + v[n + 1],
+    case when v[n + 1] = 0 and s < 0 then c0 when v[n + 1] = 1 and s > 0 then c0 - s end, case when v[n + 1] = 0 and s < 0 then c1 + s when v[n + 1] = 1 and s > 0 then c1 end
+    from r where n < len(v)),
+p as (select k, row_number() over (partition by k order by n) - 1 as pair, a, b from r where a is not null)
+"""
+
+
+def recursive(fn):
+    ORACLES[fn.__name__] = ORACLES[fn.__name__].replace("with e as", "with recursive e as", 1)
+    return fn
+
+
+@recursive
+@query(DROPS.format(key="user_id", depth=1) + "select k as user_id, pair, a, b from p")
 def join_zip_overflow(spark, sf_dir):
-    """Queues of depth 1 that drop their oldest message; tested against a plain simulation."""
+    """Queues of depth 1 that drop their oldest message, one instance a user."""
     rows = events(spark, sf_dir).filter("event_type in ('click', 'view')").withColumn("side", F.when(F.col("event_type") == "click", 0).otherwise(1))
     return O.zip_with_queues(rows, ["user_id"], "side", ["ts_ns", "event_id"], depth=1)
 
 
+@recursive
+@query(DROPS.format(key="0", depth=16) + """select pair as seq, x.cents + y.cents as cents, 'flow/click#' || p.a || ' -> flow/~0#' || pair || ' | flow/view#' || p.b || ' -> flow/~0#' || pair as lineage
+    from p join (select * from c where event_type = 'click') x on p.a = x.seq join (select * from c where event_type = 'view') y on p.b = y.seq""")
+def flow_join_dropping(spark, sf_dir):
+    """A join of a flow whose queues hold 16 messages: payload and lineage of the pairs that are left."""
+    f = FlowBuilder("flow")
+    f.join(f.tap("click"), f.tap("view"), lambda a, b: {"cents": a("cents") + b("cents")}, depth=O.QUEUE)
+    given = {f"flow/{k}": v for k, v in channels(spark, sf_dir, "click", "view").items()}
+    return text(f.build().lower(spark, given)["flow/~0"], "seq", "cents")
+
+
+@query("""select a.seq, a.cents + b.cents + d.cents + g.cents as cents, 'flow/click#' || a.seq || ' -> flow/~0#' || a.seq || ' | flow/view#' || a.seq || ' -> flow/~0#' || a.seq
+    || ' | flow/error#' || a.seq || ' -> flow/~0#' || a.seq || ' | flow/purchase#' || a.seq || ' -> flow/~0#' || a.seq as lineage
+    from c a join c b on a.seq = b.seq join c d on a.seq = d.seq join c g on a.seq = g.seq
+    where a.event_type = 'click' and b.event_type = 'view' and d.event_type = 'error' and g.event_type = 'purchase'""")
+def fusion_four(spark, sf_dir):
+    f = FlowBuilder("flow")
+    kinds = ("click", "view", "error", "purchase")
+    f.fuse([f.tap(k) for k in kinds], lambda *p: {"cents": p[0]("cents") + p[1]("cents") + p[2]("cents") + p[3]("cents")})
+    return text(f.build().lower(spark, {f"flow/{k}": channel(spark, sf_dir, k, all_arrivals=False) for k in kinds})["flow/~0"], "seq", "cents")
+
+
 def spans(spark, sf_dir, lo, hi, width, history=None):
     f = FlowBuilder("flow")
     f.span_join(f.tap("error"), f.tap("click"), (F.col("ts_ns") + lo, F.col("ts_ns") + hi), width, history=history)
-    given = {f"flow/{k}": channel(spark, sf_dir, k, all_arrivals=history is not None) for k in ("error", "click")}
+    kinds = ("error", "click")
+    found = {k: channel(spark, sf_dir, k, all_arrivals=False) for k in kinds} if history is None else channels(spark, sf_dir, *kinds)
+    given = {f"flow/{k}": v for k, v in found.items()}
     return f.build().lower(spark, given)["flow/~0"]
 
 
@@ -189,9 +236,19 @@ SPAN_TEXT = """select seq, n, 'flow/error#' || seq || ' -> flow/~0#' || seq || c
 
 @query(SPAN.format(-6 * HOUR, 0) + "select seq, n, cast(cents as bigint) as cents from s")
 def span_join_count(spark, sf_dir):
+    f = FlowBuilder("flow")
+    f.span_aggregate(f.tap("error"), f.tap("click"), (F.col("ts_ns") - 6 * HOUR, F.col("ts_ns")), 6 * HOUR, {"cents": F.sum("cents")})
+    given = {f"flow/{k}": channel(spark, sf_dir, k, all_arrivals=False) for k in ("error", "click")}
+    return f.build().lower(spark, given)["flow/~0"].select("seq", "n", F.coalesce("cents", F.lit(0)).alias("cents"))
+
+
+@query(SPAN.format(-6 * HOUR, 0) + "select seq, n, cast(cents as bigint) as cents, cast(n * 1000 + coalesce(hi - lo, 0) as bigint) as spread from s")
+def span_join_items(spark, sf_dir):
+    """The slices themselves, reduced after they were gathered."""
     s = spans(spark, sf_dir, -6 * HOUR, 0, 6 * HOUR)
     total = F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["cents"])
-    return s.select("seq", F.size("items").cast("bigint").alias("n"), total.alias("cents"))
+    n = F.size("items").cast("bigint")
+    return s.select("seq", n.alias("n"), total.alias("cents"), (n * 1000 + F.coalesce(F.col("seq_hi") - F.col("seq_lo"), F.lit(0))).alias("spread"))
 
 
 @query(SPAN.format(-6 * HOUR, 0) + SPAN_TEXT)
@@ -253,20 +310,34 @@ def loop_step(state, row):
     return state, [(int(row.n), state)]
 
 
+def plan_step(state, row):
+    state = (3 * state + row.cents) % LOOP
+    return state, [(state,)]
+
+
 LOOP_SQL = f""", u as (select user_id, cents, row_number() over (partition by user_id order by ts_ns, event_id) - 1 as n from e where event_type = 'view'),
 l as (select user_id, list(cents order by n) as v from u group by user_id),
 r as (select user_id, v, 0 as n, v[1] % {LOOP} as state from l union all select user_id, v, n + 1, (3 * state + v[n + 2]) % {LOOP} from r where n + 2 <= len(v))
 select user_id, n, state from r"""
 
 
-@query(LOOP_SQL.replace(", u as", ", u as", 1))
+@recursive
+@query(LOOP_SQL)
 def feedback_loop(spark, sf_dir):
     """The plan of one message feeds the next: a cycle, folded per user."""
     rows = number(events(spark, sf_dir).filter("event_type = 'view'"), ["ts_ns", "event_id"], "n", by=["user_id"])
     return O.fold_by_key(rows, ["user_id"], ["n"], lambda: 0, loop_step, "user_id long, n long, state long")
 
 
-ORACLES["feedback_loop"] = ORACLES["feedback_loop"].replace("with e as", "with recursive e as", 1)
+@recursive
+@query(""", l as (select list(cents order by seq) as v from c where event_type = 'view'),
+r as (select v, 0 as n, v[1] % {LOOP} as state from l union all select v, n + 1, (3 * state + v[n + 2]) % {LOOP} from r where n + 2 <= len(v))
+select cast(n as bigint) as seq, cast(state as bigint) as state, 'flow/view#' || n || ' -> flow/plan#' || n as lineage from r""".replace("{LOOP}", str(LOOP)))
+def flow_feedback(spark, sf_dir):
+    """A loop in a flow: each plan depends on the one before, over the whole channel."""
+    f = FlowBuilder("flow")
+    f.fold(f.tap("view"), "plan", lambda: 0, plan_step, "state long")
+    return text(f.build().lower(spark, {"flow/view": channel(spark, sf_dir, "view", all_arrivals=False)})["flow/plan"], "seq", "state")
 
 
 @query("""select seq, event_id, 'flow/click#' || seq as lineage from c where event_type = 'click' qualify row_number() over (order by seq desc) <= 64""")
@@ -350,17 +421,33 @@ def replay_equivalence(spark, sf_dir):
     return text(f.build().lower(spark, {"flow/click": R.replay(R.read(spark, path), ["click"])["click"]})["flow/~0"], "seq", "size")
 
 
-@query("select event_type as channel, seq, ts_ns, props as payload, event_type || '#' || seq as lineage from c")
+@query("select event_type as channel, seq, ts_ns, arrival, props as payload, event_type || '#' || seq as lineage from c")
 def record_file(spark, sf_dir):
     """The binary record format: written by its sink and read back by its source, checksums verified."""
     path = fresh_path(spark, "trec")
     trec.write(log(spark, sf_dir), path)
-    return trec.read(spark, path).select("channel", "seq", "ts_ns", F.col("payload").cast("string").alias("payload"), L.describe("lineage").alias("lineage"))
+    back = number(trec.read(spark, path).withColumnRenamed("arrival", "_came"), ["_came"], "arrival")
+    return back.select("channel", "seq", "ts_ns", "arrival", F.col("payload").cast("string").alias("payload"), L.describe("lineage").alias("lineage"))
+
+
+@query(f"select event_type as channel, seq, ts_ns from c where event_type in ('error', 'signup') and ts_ns between {DAY10} and {DAY10 + 24 * HOUR}")
+def record_file_range(spark, sf_dir):
+    """Two channels and a day of a record in files; chunks without them are passed over."""
+    path = fresh_path(spark, "trec")
+    trec.write(log(spark, sf_dir), path)
+    return trec.read(spark, path, ["error", "signup"], DAY10, DAY10 + 24 * HOUR).select("channel", "seq", "ts_ns")
+
+
+@query(f"select event_type as channel, seq, ts_ns from c where ts_ns >= {DAY10} order by ts_ns, arrival limit 1")
+def record_file_seek(spark, sf_dir):
+    path = fresh_path(spark, "trec")
+    trec.write(log(spark, sf_dir), path)
+    return trec.seek(spark, path, DAY10).select("channel", "seq", "ts_ns")
 
 
 def staged(spark, sf_dir) -> DataFrame:
     """A record of clicks, their mapped form some time later, and its join with views."""
-    click, view = channel(spark, sf_dir, "click"), channel(spark, sf_dir, "view")
+    click, view = channels(spark, sf_dir, "click", "view").values()
     f = FlowBuilder("flow")
     mapped = f.tap("click").map(event_id=F.col("event_id"))
     f.join(mapped, f.tap("view"), lambda a, b: {"event_id": a("event_id"), "other": b("event_id")})
@@ -374,8 +461,8 @@ def staged(spark, sf_dir) -> DataFrame:
     }
     rows = R.record({k: v.withColumn("payload", F.lit("")) for k, v in late.items()})
     place = F.create_map(*[F.lit(x) for i, k in enumerate(late) for x in (k, i)])[F.col("channel")]
-    # a derived message is recorded after the one that made it
-    return rows.withColumn("arrival", F.col("arrival") * 4 + place)
+    # a derived message is recorded after the one that made it; written once: calibration reads it as inputs and as outputs
+    return written(rows.withColumn("arrival", F.col("arrival") * 4 + place), "staged")
 
 
 STAGED = """, k as (select a.seq, a.ts_ns as in_ns, b.ts_ns as b_ns, a.event_id % 50 * 1000 + 1000 as d, b.seq is not null as paired from (select * from c where event_type = 'click') a
@@ -497,13 +584,26 @@ def planned() -> FlowBuilder:
     return f
 
 
-@query("""select * from (values ('plan/~0', 36363), ('plan/~2', 13636)) as t(channel, budget_us)""")
+@recursive
+@query(""", node(output, input, wcet) as (values ('plan/~0', 'plan/lidar', 8000), ('plan/~1', 'plan/imu', 100), ('plan/~2', 'plan/~0', 3000), ('plan/~2', 'plan/~1', 3000)),
+walk as (select 'plan/~2' as here, 0 as spent, ['plan/~2'] as way union all
+    select input, spent + wcet + 20, list_append(way, input) from walk join node on output = here where not list_contains(way, input)),
+worst as (select way from walk where here in ('plan/lidar', 'plan/imu') order by spent desc limit 1),
+run as (select distinct output, wcet from node, worst where list_contains(way, output))
+select output as channel, cast(floor(50000 * (wcet * 1.0 / sum(wcet) over ())) as int) as budget_us from run""")
 def sla_plan(spark, sf_dir):
     budgets = planned().build().report.budgets
     return spark.createDataFrame([(k, v) for k, v in budgets.items()], "channel string, budget_us int")
 
 
-@query("select true as equal_hash, true as other_differs, 4 as n_nodes")
+#: FNV-1a over the canonical text of the graph of ``ir_hash``.
+CANONICAL = "flow=g;ver=1;n=source;o=g/a;w=0;t=0;n=map;i=g/a;o=g/~0;w=0;t=1;n=source;o=g/b;w=0;t=2;n=map;i=g/b;o=g/~1;w=0;t=3;"
+
+
+@recursive
+@query(f""", f as (select 0 as n, cast(14695981039346656037 as hugeint) as h union all
+    select n + 1, xor(h, cast(ascii(substr('{CANONICAL}', n + 1, 1)) as hugeint)) * 1099511628211 % 18446744073709551616 from f where n < {len(CANONICAL)})
+    select true as equal_hash, true as other_differs, 4 as n_nodes, lower(to_hex(cast(h as ubigint))) as stable_hash from f where n = {len(CANONICAL)}""")
 def ir_hash(spark, sf_dir):
     """The order of declaration does not change the hash; another cost does."""
     f = FlowBuilder("g")
@@ -516,16 +616,25 @@ def ir_hash(spark, sf_dir):
     one, two = f.build().graph(), g.build().graph()
     last.with_wcet(5)
     three = g.build().graph()
-    rows = [(one.stable_hash() == two.stable_hash(), one.stable_hash() != three.stable_hash(), len(ir.Graph.normalized(one).nodes))]
-    return spark.createDataFrame(rows, "equal_hash boolean, other_differs boolean, n_nodes int")
+    rows = [(one.stable_hash() == two.stable_hash(), one.stable_hash() != three.stable_hash(), len(ir.Graph.normalized(one).nodes), one.stable_hash())]
+    return spark.createDataFrame(rows, "equal_hash boolean, other_differs boolean, n_nodes int, stable_hash string")
 
 
 @query("""select event_id, user_id as u32, cents / 100 as d, cents % 2 = 0 as b, cents as v0, cents + 1 as v1 from e""")
 def pod_decode(spark, sf_dir):
     """Binary payloads packed and decoded by a field table."""
+    return trec.decode_pod(packed_events(spark, sf_dir), POD).select("event_id", "u32", "d", "b", F.col("v")[0].alias("v0"), F.col("v")[1].alias("v1"))
+
+
+def packed_events(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir)
-    packed = trec.pack_pod(e.select("event_id", F.col("user_id").alias("u32"), (F.col("cents") / 100).alias("d"), (F.col("cents") % 2 == 0).alias("b"), F.array("cents", F.col("cents") + 1).alias("v")), POD)
-    return trec.decode_pod(packed, POD).select("event_id", "u32", "d", "b", F.col("v")[0].alias("v0"), F.col("v")[1].alias("v1"))
+    return trec.pack_pod(e.select("event_id", F.col("user_id").alias("u32"), (F.col("cents") / 100).alias("d"), (F.col("cents") % 2 == 0).alias("b"), F.array("cents", F.col("cents") + 1).alias("v")), POD)
+
+
+@query("""select event_id, 'u32=' || user_id || ' d=' || format('{:.6g}', cents / 100.0) || ' b=' || cast(cents % 2 = 0 as varchar) || ' v=' || cents || ',' || (cents + 1) as text from e""")
+def pod_text(spark, sf_dir):
+    """Binary payloads rendered as text by a field table."""
+    return trec.render_pod(packed_events(spark, sf_dir), POD).select("event_id", "text")
 
 
 POD = [trec.Field("u32", 0, "uint32"), trec.Field("d", 8, "double"), trec.Field("b", 16, "bool"), trec.Field("v", 24, "int64", 2)]
@@ -561,3 +670,16 @@ def stream_stateful(spark, sf_dir):
 def stream_span_join(spark, sf_dir):
     s = twins.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), "event_type")
     return twins.drain(twins.span_stream(s.filter("event_type = 'error'"), s.filter("event_type = 'click'"), 3600), "span")
+
+
+@query("""select user_id, event_id as id, coalesce(len(f), 0) as n, coalesce(f[1].id, -1) as data_lo, coalesce(f[len(f)].id, -1) as data_hi from (
+    select *, list_filter(last, lambda x: x.ts_ns between ts_ns - 172800000000000 and ts_ns) as f from (
+    select *, list_slice(list({'id': event_id, 'ts_ns': ts_ns}) filter (event_type = 'click') over (partition by user_id order by ts_ns, event_id), -5, -1) as last
+    from e where event_type in ('error', 'click')) where event_type = 'error')""")
+def stream_span_history(spark, sf_dir):
+    """Triggers and the last 5 data messages of their user before them, as they come; empty slices stay."""
+    s = twins.stream_of(spark, f"{sf_dir}/events.parquet").filter("event_type in ('error', 'click')")
+    rows = s.select("user_id", F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("is_trigger"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"))
+    kinds = "user_id long, id long, n long, data_lo long, data_hi long"
+    found = twins.drain(twins.span_history(rows, ["user_id"], ["ts_ns", "id"], "is_trigger", "ts_ns", -48 * HOUR, 0, kinds, depth=5), "slices")
+    return found.fillna(-1)

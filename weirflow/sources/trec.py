@@ -1,9 +1,10 @@
 """Binary record files and fixed-layout payloads.
 
-Files are read through Spark's binary source, so any store serves, one file a task, and
-every checksum is verified: a damaged file raises ``ValueError``. They are written one a
-partition under a temporary name and renamed when complete, so a retried task replaces
-its own file.
+Files are read through Spark's binary source, so any store serves, chunk by chunk, and
+every checksum is verified: a damaged file raises ``ValueError``. Each is written under a
+temporary name and renamed when complete, so a retried task replaces its own files. A
+partition is cut into files of bounded size; names ascend with ``arrival``, and the index
+tells channels, numbers and times of each chunk.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import lineage as L
@@ -30,6 +31,10 @@ MAGIC_FOOTER = 0x5453524543546000
 MAGIC_SCHEMA = 0x545348434D303201
 HEADER_SIZE, FOOTER_SIZE = 128, 64
 CHUNK_MESSAGES, CHUNK_BYTES = 500, 1 << 20
+#: Messages and payload bytes after which a partition goes on in a new file.
+FILE_MESSAGES, FILE_BYTES = 200_000, 64 << 20
+#: Bits of ``arrival`` for the place in a file, and of these for the place in a chunk.
+FILE_BITS, CHUNK_BITS = 40, 20
 DICT, CHUNK, INDEX, STATS = 1, 2, 3, 6
 CODECS = {0: None, 1: "lz4_raw", 2: "zstd"}
 POD_TYPES = {"double": ("<f8", 0), "float": ("<f4", 1), "int32": ("<i4", 2), "int64": ("<i8", 3), "uint32": ("<u4", 4), "uint64": ("<u8", 5), "bool": ("?", 6)}
@@ -100,7 +105,7 @@ def encode_file(rows: Sequence[dict], compression: int = 2) -> bytes:
         for c in [r["channel"], *(h["channel"] for b in r["lineage"] or [] for h in [b["root"], *b["hops"]])]:
             names.setdefault(c, len(names) + 1)
     body = [b"\0" * HEADER_SIZE]
-    offsets, size = [], HEADER_SIZE
+    index, size = [], HEADER_SIZE
     held: list[dict] = []
 
     def put(x: bytes) -> None:
@@ -123,7 +128,8 @@ def encode_file(rows: Sequence[dict], compression: int = 2) -> bytes:
                 chunk += _pad(len(chunk))
         codec = CODECS[compression]
         packed = pa.compress(bytes(chunk), codec=codec, asbytes=True) if codec else bytes(chunk)
-        offsets.append(size)
+        seqs = [r["seq"] for r in held]
+        index.append((size, {names[r["channel"]] for r in held}, min(seqs), max(seqs), held[0]["ts_ns"], held[-1]["ts_ns"]))
         put(_head.pack(CHUNK, len(packed), len(chunk), compression, zlib.crc32(packed), held[0]["ts_ns"], held[-1]["ts_ns"]) + packed)
         held.clear()
 
@@ -146,9 +152,9 @@ def encode_file(rows: Sequence[dict], compression: int = 2) -> bytes:
         put(bytes([DICT]) + entry + struct.pack("<I", zlib.crc32(entry)))
     at_index = size
     words = (len(names) + 15) // 16
-    put(struct.pack("<BI", INDEX, len(offsets)))
-    for o in offsets:
-        put(struct.pack("<QH", o, words) + b"\xff" * (2 * words) + struct.pack("<4Q", 0, 0, 0, 0))
+    put(struct.pack("<BI", INDEX, len(index)))
+    for o, ids, *bounds in index:
+        put(struct.pack("<QH", o, words) + sum(1 << i - 1 for i in ids).to_bytes(2 * words, "little") + struct.pack("<4Q", *bounds))
     at_stats = size
     put(struct.pack("<BI", STATS, len(stats)))
     for c, s in stats.items():
@@ -160,7 +166,7 @@ def encode_file(rows: Sequence[dict], compression: int = 2) -> bytes:
     footer = struct.pack("<4QI", MAGIC_FOOTER, at_index, at_stats, at_dict, 0)
     put((footer + struct.pack("<IQQ", zlib.crc32(footer), len(rows), n_bytes)).ljust(FOOTER_SIZE, b"\0"))
     header = struct.pack(
-        "<QHHHHIQQQQQIIQQI", MAGIC_V2, 0, HEADER_SIZE, 7, 0, 0, first, 0, at_dict, at_index, at_stats, len(offsets), len(names), len(rows), n_bytes, compression
+        "<QHHHHIQQQQQIIQQI", MAGIC_V2, 0, HEADER_SIZE, 7, 0, 0, first, 0, at_dict, at_index, at_stats, len(index), len(names), len(rows), n_bytes, compression
     ).ljust(HEADER_SIZE - 4, b"\0")
     body[0] = header + struct.pack("<I", zlib.crc32(header))
     return b"".join(body)
@@ -168,8 +174,18 @@ def encode_file(rows: Sequence[dict], compression: int = 2) -> bytes:
 
 def decode_file(data: bytes) -> list[dict]:
     """The messages of a version 2 or version 0 file, in stored order."""
+    return [{k: v for k, v in m.items() if k != "place"} for chunk in _chunks(data) for m in chunk]
+
+
+def _chunks(data: bytes, channels: Sequence[str] | None = None, lo: int | None = None, hi: int | None = None) -> Iterator[list[dict]]:
+    """The messages of a file chunk by chunk, each with its ``place`` in the file.
+
+    With ``channels``, ``lo`` or ``hi`` (times, both included) chunks that cannot hold a wanted message are
+    passed over by their index entries and heads; what is returned may still hold others.
+    """
     if len(data) >= 8 and struct.unpack_from("<Q", data)[0] == MAGIC_V0:
-        return _decode_v0(data)
+        yield [m | {"place": i} for i, m in enumerate(_decode_v0(data))]
+        return
     if len(data) < HEADER_SIZE + FOOTER_SIZE or struct.unpack_from("<Q", data)[0] != MAGIC_V2:
         raise Cut("not a record file")
     if struct.unpack_from("<I", data, HEADER_SIZE - 4)[0] != zlib.crc32(data[: HEADER_SIZE - 4]):
@@ -191,15 +207,27 @@ def decode_file(data: bytes) -> list[dict]:
         if kind != DICT or zlib.crc32(data[begin : r.at]) != r.take("I")[0]:
             raise Cut("the channel dictionary is damaged")
         names[i] = name
-    out: list[dict] = []
+    wanted = None if channels is None else sum(1 << i - 1 for i, name in names.items() if name in channels)
+    r = Reader(data, at_index + 1)
+    held: dict[int, int] = {}
+    for _ in range(r.take("I")[0]):
+        offset, words = r.take("QH")
+        held[offset] = int.from_bytes(r.raw(2 * words), "little")
+        r.take("4Q")
+    number = -1
     r = Reader(data, HEADER_SIZE)
     while r.at < at_dict:
-        kind, size, full, compression, crc, _, _ = r.take("BIIBIQQ")
+        offset = r.at
+        kind, size, full, compression, crc, first, last = r.take("BIIBIQQ")
         packed = r.raw(size)
         if kind != CHUNK or zlib.crc32(packed) != crc or compression not in CODECS:
             raise Cut("a chunk is damaged")
+        number += 1
+        if (wanted is not None and not held.get(offset, -1) & wanted) or (lo is not None and last < lo) or (hi is not None and first > hi):
+            continue
         codec = CODECS[compression]
         c = Reader(pa.decompress(packed, decompressed_size=full, codec=codec, asbytes=True) if codec else packed)
+        out: list[dict] = []
         while c.at < full:
             channel, seq, ts, n = c.take("HQQI")
             payload = c.raw(n)
@@ -208,8 +236,17 @@ def decode_file(data: bytes) -> list[dict]:
             blob = c.raw(n)
             if n:
                 c.raw(-c.at % 8)
-            out.append({"channel": names.get(channel, ""), "seq": seq, "ts_ns": ts, "payload": payload, "lineage": _lineage_of(blob, names) if n else []})
-    return out
+            out.append({"channel": names.get(channel, ""), "seq": seq, "ts_ns": ts, "payload": payload, "lineage": _lineage_of(blob, names) if n else [], "place": number << CHUNK_BITS | len(out)})
+        yield out
+
+
+def encode_v0(rows: Sequence[dict]) -> bytes:
+    """The legacy dump of messages ``channel, seq, payload`` and ``lineage`` as text."""
+    sized = lambda x: struct.pack("<I", len(x)) + x
+    out = [struct.pack("<QI", MAGIC_V0, len(rows))]
+    for r in rows:
+        out += [sized(r["channel"].encode()), struct.pack("<Q", r["seq"]), sized(r["payload"] or b""), sized((r["lineage"] or "").encode())]
+    return b"".join(out)
 
 
 def _decode_v0(data: bytes) -> list[dict]:
@@ -227,42 +264,85 @@ def _decode_v0(data: bytes) -> list[dict]:
 
 
 def write(log: DataFrame, path: str, compression: int = 2) -> None:
-    """One file a partition of the log, messages in order of ``arrival``."""
-    ship(log.sparkSession)
+    """The log as files of bounded size, in order of ``arrival`` inside them and by their names.
+
+    The path is one of Spark's; its store must be one that pyarrow writes to as well. Without a scheme it is
+    in Spark's default store.
+    """
+    spark = log.sparkSession
+    ship(spark)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base_uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        if rows:
-            store, base = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-            store.create_dir(base, recursive=True)
-            task = TaskContext.get()
-            final = f"{base}/part-{task.partitionId():05d}.trec"
+        store, base = pyarrow.fs.FileSystem.from_uri(base_uri)
+        store.create_dir(base, recursive=True)
+        task = TaskContext.get()
+        rows: list[dict] = []
+        total = files = weight = 0
+
+        def close() -> None:
+            nonlocal files, weight
+            final = f"{base}/part-{task.partitionId():05d}-{files:05d}.trec"
             draft = f"{base}/_{task.taskAttemptId()}.tmp"
             with store.open_output_stream(draft) as f:
                 f.write(encode_file(rows, compression))
+            if store.get_file_info(final).type == pyarrow.fs.FileType.File:
+                store.delete_file(final)
             store.move(draft, final)
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+            files, weight = files + 1, 0
+            rows.clear()
 
-    log.select("channel", "seq", "ts_ns", "arrival", "payload", "lineage").sortWithinPartitions("arrival").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        for b in batches:
+            for begin in range(0, b.num_rows, CHUNK_MESSAGES):
+                part = b.slice(begin, CHUNK_MESSAGES).to_pylist()
+                rows += part
+                total += len(part)
+                weight += sum(len(r["payload"] or b"") for r in part)
+                if len(rows) >= FILE_MESSAGES or weight >= FILE_BYTES:
+                    close()
+        if rows:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
+    d = log.select("channel", "seq", "ts_ns", "arrival", "payload", "lineage")
+    d.repartitionByRange("arrival").sortWithinPartitions("arrival").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """``channel, seq, ts_ns, arrival, payload, lineage`` of the files in a folder; arrival is the place in the file."""
+
+def read(spark: SparkSession, path: str, channels: Sequence[str] | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """``channel, seq, ts_ns, arrival, payload, lineage`` of the files in a folder.
+
+    ``arrival`` ascends over the files in order of their names and inside them, with gaps. ``channels`` and
+    the times ``lo`` to ``hi`` (both included) keep only such messages, and chunks without any are not decoded.
+    """
     ship(spark)
+    wanted = None if channels is None else list(channels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0):
-                rows = decode_file(data.as_py())
-                for i in range(0, len(rows), 10_000):
-                    part = rows[i : i + 10_000]
+            for rank, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for part in _chunks(data.as_py(), wanted, lo, hi):
                     column = lambda k, kind, part=part: pa.array([r[k] for r in part], kind)
+                    at = pa.array([rank << FILE_BITS | r["place"] for r in part], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [column("channel", pa.string()), column("seq", pa.int64()), column("ts_ns", pa.int64()), pa.array(range(i, i + len(part)), pa.int64()), column("payload", pa.binary()), column("lineage", _lineage)],
+                        [column("channel", pa.string()), column("seq", pa.int64()), column("ts_ns", pa.int64()), at, column("payload", pa.binary()), column("lineage", _lineage)],
                         ["channel", "seq", "ts_ns", "arrival", "payload", "lineage"],
                     )
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.trec").load(path).select("content").mapInArrow(run, ROW)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.trec").load(path)
+    # a row a file
+    ranks = files.select(F.col("path").alias("_path"), (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("rank"))
+    out = files.join(F.broadcast(ranks), F.col("path") == F.col("_path")).select("rank", "content").mapInArrow(run, ROW)
+    if wanted is not None:
+        out = out.filter(F.col("channel").isin(wanted))
+    if lo is not None:
+        out = out.filter(F.col("ts_ns") >= lo)
+    return out if hi is None else out.filter(F.col("ts_ns") <= hi)
+
+
+def seek(spark: SparkSession, path: str, ts_ns: int) -> DataFrame:
+    """The first message of the files at or after a time; what is earlier is passed over by chunks."""
+    return read(spark, path, lo=ts_ns).orderBy("ts_ns", "arrival").limit(1)
 
 
 @dataclass(frozen=True)
