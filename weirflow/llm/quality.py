@@ -54,67 +54,74 @@ MAX_BROADCAST_STRATA = 1000
 
 
 def words_of(text: Column) -> Column:
-    flat = F.trim(F.translate(text, SPACES, " " * len(SPACES)))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " +"))
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t\\n\\x0B\\f\\r]+"))
+
+
+def occurrences(text: Column, chars: str) -> Column:
+    """How often any of some ASCII characters occurs, by the bytes that go with it."""
+    return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in chars), F.lit(0)).cast("long")
 
 
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that the text holds twice or more.
 
-    Windows become longs, hash bits above position bits, so one primitive sort
-    brings equal windows together; equal hashes are confirmed on the words.
+    Windows whose hashes are all different are all different, which settles most texts. Else
+    windows become longs, hash bits above position bits, so one primitive sort brings equal
+    ones together, and those that share their hash bits are compared by their words.
     """
 
     def of(w: Column) -> Column:
-        n = F.size(w).cast("long")
-        bits = F.ceil(F.log2(n + 1)).cast("int")
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-
-        def key(i: Column) -> Column:
-            h = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-            return h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
-
-        keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), key))
-
-        def hits(s: Column) -> Column:
-            def same(x: Column, y: Column) -> Column:
-                p, q = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
-                eq = x.bitwiseAND(F.bitwise_not(low)) == y.bitwiseAND(F.bitwise_not(low))
-                for k in range(3):
-                    eq = eq & (F.get(w, p + k) == F.get(w, q + k))
-                return F.coalesce(eq, F.lit(False))
-
-            found = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
-            at = F.sort_array(F.transform(found, lambda x: x.bitwiseAND(low)))
-            zero = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-            return F.aggregate(
-                at,
-                zero,
-                lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("n")),
-                lambda a: a["n"],
-            )
-
-        return F.when(n >= 4, let(keys, hits)).otherwise(F.lit(0).cast("long"))
+        n = F.size(w)
+        hashes = F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+        def count(h: Column) -> Column:
+            low = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n.cast("long") + 1)).cast("int")) - 1
+            high = F.bitwise_not(low)
+            keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+
+            def shared(s: Column) -> Column:
+                top = lambda j: F.get(s, j).bitwiseAND(high)
+                alike = lambda x, j: (x.bitwiseAND(high) == top(j + 1)) | ((j > 0) & (x.bitwiseAND(high) == top(j - 1)))
+                found = F.filter(s, lambda x, j: F.coalesce(alike(x, j), F.lit(False)))
+                return F.transform(found, lambda x: x.bitwiseAND(low).cast("int"))
+
+            window = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))
+
+            def repeats(s: Column) -> Column:
+                same = lambda x, j: (x["t"] == F.get(s, j + 1)["t"]) | ((j > 0) & (x["t"] == F.get(s, j - 1)["t"]))
+                at = F.sort_array(F.transform(F.filter(s, lambda x, j: F.coalesce(same(x, j), F.lit(False))), lambda x: x["i"]))
+                zero = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+                return F.aggregate(
+                    at,
+                    zero,
+                    lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
+                    lambda a: a["n"],
+                )
+
+            several = let(let(keys, shared), lambda at: let(F.sort_array(F.transform(at, window)), repeats))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(several)
+
+        return F.when(n >= 4, let(hashes, count)).otherwise(F.lit(0).cast("long"))
 
     return let(words, of)
 
 
 def duplicate_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, SPACES, " " * len(SPACES))) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
 def text_statistics(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    removed = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
         let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("w"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        removed(SYMBOLS).alias("n_symbols"),
+        (F.length(text) - occurrences(text, SPACES)).alias("word_chars"),
+        occurrences(text, SYMBOLS).alias("n_symbols"),
         duplicate_lines(text).alias("n_dup_lines"),
-        removed("!").alias("n_shouts"),
+        occurrences(text, "!").alias("n_shouts"),
     )
     return d.select(
         "doc_id", "stratum", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
