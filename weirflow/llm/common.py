@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weirflow.shared import fresh_path, shared_dir, written
 
-__all__ = ["fresh_path", "let", "shared_dir", "slices", "table", "written"]
+__all__ = ["fresh_path", "let", "shared_dir", "slices", "table", "unused", "written"]
 
 
 def let(value: Column, body) -> Column:
@@ -39,5 +39,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 <<
             begin = stop
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column is called that."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path
@@ -32,7 +32,7 @@ CHUNK, CHUNKS = 512, 2000
 #: Slots beyond which times without any block are passed over, so that places stay below 2**63.
 LAST_SLOT = 1 << 40
 #: Rows of a rank bucket, about; buckets are ranked apart, so no task holds a whole source.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -115,6 +115,11 @@ def written_schedule(spark: SparkSession, weights: dict[str, float], blocks: dic
     return spark.read.schema("_source string, _chunk long, _slots array<long>").parquet(path)
 
 
+def id_hash(doc_id: Column) -> Column:
+    """60 bits of the MD5 of an id's text, which any engine can follow."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -123,6 +128,7 @@ def mix_sources(
     block_rows: int = 32,
     temperature: float = 0.5,
     keep_columns: bool = False,
+    place_col: str = "place",
 ) -> DataFrame:
     """The rows' places in the mixture: ``doc_id, source, block, slot, place``.
 
@@ -131,8 +137,8 @@ def mix_sources(
     power ``temperature``. Sources that ``weights`` omit or give no positive weight raise
     ``ValueError``, as do more than ``SOURCES`` sources: no row is ever left out. When a
     source is used up its later slots stay empty and the others go on. A null source is the source of the empty string.
-    With ``keep_columns`` the rows keep their own columns, whatever they are called, and ``place``
-    is added to them (it must not be among them). Null, empty and very long texts are rows like any other. An empty table gives an empty result.
+    With ``keep_columns`` the rows keep their own columns, whatever they are called, and the place
+    is added to them as ``place_col`` (which must not be among them). Null, empty and very long texts are rows like any other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
@@ -149,7 +155,7 @@ def mix_sources(
     # the rows' own columns stay inside a struct, apart from the helpers
     own = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep_columns else [id_col])])
     tie = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    d = docs.select(own.alias("_row"), source.alias("_source"), F.xxhash64(F.col(id_col).cast("string")).alias("_hash"), F.xxhash64(*tie).alias("_tie"))
+    d = docs.select(own.alias("_row"), source.alias("_source"), id_hash(F.col(f"`{id_col}`")).alias("_hash"), F.xxhash64(*tie).alias("_tie"))
     d = d.withColumn("_group", F.pmod(F.col("_hash"), F.lit(groups)))
     sizes = d.groupBy("_source", "_group").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
@@ -169,7 +175,7 @@ def mix_sources(
     placed = ranked.withColumn("_block", block).withColumn("_slot", slot)
     place = F.col("_slot") * block_rows + (F.col("_rank") + F.col("_before")) % block_rows
     if keep_columns:
-        return placed.select("_row.*", place.alias("place"))
+        return placed.select("_row.*", place.alias(place_col))
     return placed.select(
         F.col(f"_row.`{id_col}`").alias("doc_id"), F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), place.alias("place")
     )
