@@ -9,10 +9,12 @@ are hash collisions and are grouped once more by hash and whole text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 
 def content_hash(text: Column) -> Column:
@@ -83,11 +85,15 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty; if the row that stays has a null text it stays null. Rows are grouped by hash
     and whole text, so the bytes decide, and are combined before the shuffle.
     """
-    rest = [c for c in docs.columns if c != text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    order = [F.col(id_col).isNull().alias("_0"), F.col(id_col).alias("_1"), F.col(text_col).isNull().alias("_2")]
-    row = F.struct(*order, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
-    first = docs.select(content_hash(text).alias("h"), text.alias("t"), row.alias("row")).groupBy("h", "t").agg(F.min("row").alias("row"))
-    own = {c: F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)}
-    own[text_col] = F.when(~F.col("row._2"), F.col("t")).alias(text_col)
+    h, t = unused("_h", docs.columns), unused("_t", docs.columns)
+    rest = [f for f in docs.schema.fields if f.name != text_col]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    flags = [F.col(f"`{id_col}`").isNull().alias("_0"), F.col(f"`{id_col}`").alias("_1"), F.col(f"`{text_col}`").isNull().alias("_2")]
+    columns = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)]
+    # maps have no order; they are carried along
+    ordered = [c for c, f in zip(columns, rest, strict=True) if not re.search("map<|variant", f.dataType.simpleString())]
+    row = F.min_by(F.struct(flags[2], *columns), F.struct(*flags, *ordered))
+    first = docs.select("*", content_hash(text).alias(h), text.alias(t)).groupBy(h, t).agg(row.alias("row"))
+    own = {f.name: F.col(f"row.c{i}").alias(f.name) for i, f in enumerate(rest)}
+    own[text_col] = F.when(~F.col("row._2"), F.col(t)).alias(text_col)
     return first.select(*[own[c] for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weirflow.shipping import ship
 
-from .common import slices, written
+from .common import slices, unused, written
 from .encode import loaded
 
 #: Short pieces of a group, about.
@@ -134,8 +134,8 @@ def pack(
     """One row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A null or empty text is one piece that holds the end id alone. Repeated rows are
-    documents of their own, whose pieces are packed apart. Other columns are ignored;
-    an empty table gives an empty result.
+    documents of their own, whose pieces are packed apart. A text of any length is cut into
+    as many pieces as it needs. Other columns are ignored; an empty table gives an empty result.
     """
     p = written(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
     short = p.filter(F.col("length") < capacity)
@@ -146,8 +146,8 @@ def pack(
     return pack_short(short, capacity, groups).unionByName(full)
 
 
-def in_file_order(docs: DataFrame, out: str) -> DataFrame:
-    """Add ``out``, the 0-based number of each row in the order of the files and of the rows inside them.
+def in_file_order(docs: DataFrame, out: str, columns: list[str]) -> DataFrame:
+    """``columns``, and as ``out`` the 0-based number of each row in the order of the files and of the rows inside them.
 
     Files are in order of the number that their writer gave them. What is not a plain
     scan of Parquet files is written first, which keeps the order of its partitions.
@@ -155,12 +155,14 @@ def in_file_order(docs: DataFrame, out: str) -> DataFrame:
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation":
         docs = written(docs, "ordered")
-    d = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    at = docs.metadataColumn("_metadata")
+    d = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], at["file_name"].alias("_file"), at["row_index"].alias("_row"))
     number = F.expr(r"try_cast(regexp_extract(_file, '^part-([0-9]+)', 1) as bigint)")
     before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
     files = d.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))  # a row a file
     files = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    return d.join(F.broadcast(files), "_file").select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("_before") + F.col("_row")).alias(out))
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+    return d.join(F.broadcast(files), "_file").select(*own, (F.col("_before") + F.col("_row")).alias(out))
 
 
 def pack_ranges(short: DataFrame, capacity: int, groups: int) -> DataFrame:
@@ -212,7 +214,8 @@ def pack_in_order(
     sequence's id is the place of its earliest piece, ``row << piece_bits(capacity) | piece``; so
     ids are unique, and ascend with the rows' order within ranges and across them.
     """
-    p = written(pieces(in_file_order(docs, "place"), tokenizer_path, end_id, capacity, id_col, text_col, "place"), "pieces")
+    at = unused("place", [id_col, text_col])
+    p = written(pieces(in_file_order(docs, at, [id_col, text_col]), tokenizer_path, end_id, capacity, id_col, text_col, at), "pieces")
     rows = (p.agg(F.max("place")).first()[0] or 0) + 1
     groups = max(1, round(rows / GROUP))
     short = p.filter(F.col("length") < capacity).withColumn("group", F.expr(f"place div {-(-rows // groups)}"))
