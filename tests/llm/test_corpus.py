@@ -7,13 +7,15 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weirflow.llm import chat, exact_dedup, langid, mixing, near_dedup, packing, quality, rangecoder, suffix_dedup, tokenfile, tokens
+from weirflow.llm import chat, encode, exact_dedup, langid, mixing, near_dedup, packing, quality, rangecoder, suffix_dedup, tokenfile, tokens
 from weirflow.llm import components as components_module
+from weirflow.llm.common import slices
 from weirflow.shared import fresh_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n string, h string, key long, rep long"
@@ -128,6 +130,28 @@ def test_suffix_dedup_in_small_units(spark, docs, monkeypatch):
     assert len({o for o, _ in whole}) == sum(len(t) >= 50 for t in texts)
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    r = random.Random(31)
+    word = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    assert suffix_dedup.UNIT <= suffix_dedup.BLOCK < 600_000
+    seam, copied = suffix_dedup.UNIT, word(9000)
+    a = word(seam - 100) + copied + word(80_000)
+    docs = {5: a, 7: word(30) + a[seam - 5000 : seam + 3000] + word(seam) + copied[:60], 9: a, 11: " " * 200_000, 12: " " * 600_000, 13: copied[1000:1049]}
+    got = collect(suffix_dedup.suffix_dedup(frame(spark, docs)))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == removed(docs, 50)
+
+
+def test_suffix_dedup_of_a_hot_passage(spark):
+    # one passage in most documents, at two places in some, and repeated ids
+    r = random.Random(32)
+    line = "".join(r.choices("lmnopq ", k=90))
+    docs = {i: "".join(r.choices("abcd ", k=r.randint(0, 60))) + line * (1 + (i % 7 == 0)) + line[: i % 90] for i in range(600)}
+    got = collect(suffix_dedup.suffix_dedup(frame(spark, docs)))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == removed(docs, 50)
+    spans = suffix_dedup.suffix_dedup(frame(spark, docs).unionByName(frame(spark, {5: docs[5]}))).filter("doc_id = 5").collect()
+    assert len(spans) == 2 and len({r.kept_sha256 for r in spans}) == 1
+
+
 def test_equal_runs_sort():
     raw = np.frombuffer(bytes(random.Random(1).choices(b"ab", k=400)), np.uint8)
     at = np.arange(370)
@@ -160,10 +184,9 @@ def components(docs, percent=75):
     return {i: (len(sets[i]), find(i)) for i in docs}
 
 
-@pytest.mark.parametrize(("pivots", "local"), [(128, 200_000), (1, 0)])
-def test_near_dedup(spark, pivots, local, monkeypatch):
+@pytest.mark.parametrize("pivots", [128, 1])
+def test_near_dedup(spark, pivots, monkeypatch):
     monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
-    monkeypatch.setattr(components_module, "LOCAL_EDGES", local)
     docs = documents(7)
     r = random.Random(3)
     chain = [r.choice(WORDS) + str(k) for k in range(80)]
@@ -176,9 +199,7 @@ def test_near_dedup(spark, pivots, local, monkeypatch):
     assert all(x.kept == (x.component_id == i) for i, x in got.items())
 
 
-@pytest.mark.parametrize("local", [0, 200_000])
-def test_components(spark, local, monkeypatch):
-    monkeypatch.setattr(components_module, "LOCAL_EDGES", local)
+def test_components(spark):
     r = random.Random(6)
     pairs = [(k + 1, k) for k in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, k) for k in range(301, 340)]
     parent = {x: x for p in pairs for x in p}
@@ -194,6 +215,9 @@ def test_components(spark, local, monkeypatch):
     df = spark.createDataFrame([(max(p), min(p)) for p in pairs], "u long, v long")
     got = {x.u: x.v for x in components_module.components(df).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+    # the same by two steps
+    half = components_module.extended(components_module.components(df.filter("u % 2 = 0")), df.filter("u % 2 = 1"))
+    assert {x.u: x.v for x in half.collect()} == got
 
 
 def test_null_and_repeated_ids(spark):
@@ -411,6 +435,26 @@ def test_token_counts(spark, docs):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (len(want[i]), len((t or "").encode()), len(want[i]) > 100), repr(t)
 
 
+def test_slices_are_bounded_by_bytes():
+    texts = [None, "", "x" * 50, "y" * 500, "z", "é" * 20, None] * 3
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    cut = [p.column(1).to_pylist() for p in slices(iter([b]), 4, 100)]
+    assert sum(cut, []) == texts
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 100) for p in cut)
+
+
+def test_ids_are_those_of_the_library():
+    points = [c for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000] + list(range(0x3000))
+    texts = [*odd_texts(), *("a{0}1{0} {0} b{0}{0}Σ".format(chr(c)) for c in points if not 0xD800 <= c < 0xE000), " " * 3000, "a" * 5000, "\0a b\0"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = encode.loaded(public_tokenizers.path(name))
+        assert enc.fast is not None
+        want = reference(name, texts)
+        assert all(np.frombuffer(x, "<u4").tolist() == y for x, y in zip(enc.encode([t.encode() for t in texts]), want, strict=True))
+    bpe = tokens.loaded(public_tokenizers.path("word_bpe_49k.json"))
+    assert bpe.counts([t.encode() for t in texts]) == [len(x) for x in want]
+
+
 def test_packing(spark, docs):
     texts = dict(enumerate([*docs.values(), *odd_texts()]))
     ids = [x + [2] for x in reference("byte_bpe_50k.json", texts.values())]
@@ -485,8 +529,29 @@ def test_coder_round_trip_and_damage():
         broken[at] ^= 1
         with pytest.raises(ValueError):
             rangecoder.decode_blocks([bytes(broken)])
-    with pytest.raises(ValueError):
-        rangecoder.encode_blocks([np.array([65536], np.uint32)])
+    wide = [np.array([65536, 3, 0xFFFFFFFF, 70000, 3], np.uint32), np.zeros(0, np.uint32)]
+    assert all(np.array_equal(a, b) for a, b in zip(wide, rangecoder.decode_blocks(rangecoder.encode_blocks(wide)), strict=True))
+
+
+def test_coder_survives_short_intervals(monkeypatch):
+    # intervals that straddle a multiple of 2**48 and are too short to divide, on both sides of it
+    seam = 5 << 48
+    states = [(seam - 3, seam + 4), (seam - 1, seam), (seam - (1 << 20), seam + 2), (seam - 2, seam + (1 << 31)), (7, (1 << 64) - 1), (seam, seam + (1 << 33))]
+
+    class Cornered(rangecoder.Lanes):
+        def __init__(self, n):
+            super().__init__(n)
+            self.x1[:] = np.array([states[i % len(states)][0] for i in range(n)], np.uint64)
+            self.x2[:] = np.array([states[i % len(states)][1] for i in range(n)], np.uint64)
+            while len(at := self.short(n)):
+                assert ((self.x1[at] ^ self.x2[at]) >> np.uint64(48) == 0).all()
+                self.shift(at)
+            assert (self.x1 < self.x2).all()
+
+    monkeypatch.setattr(rangecoder, "Lanes", Cornered)
+    rng = np.random.default_rng(2)
+    blocks = [rng.integers(0, 60000, 40).astype(np.uint32) for _ in range(12)]
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, rangecoder.decode_blocks(rangecoder.encode_blocks(blocks)), strict=True))
 
 
 # --- language
@@ -510,6 +575,82 @@ def test_language_id(spark):
 
 def test_many_languages_use_several_mask_words():
     langs = [f"l{k:03}" for k in range(70)]
-    grams = {lang: langid.ngrams(langid.folded(lang * 3 + chr(0x4E00 + k) * 9)[0]).view(np.int64).tolist() for k, lang in enumerate(langs)}
+    grams = {lang: langid.ngrams(next(langid.blocks(lang * 3 + chr(0x4E00 + k) * 9))[0]).view(np.int64).tolist() for k, lang in enumerate(langs)}
     m = langid.Model.of(langs, grams, "l000")
     assert m.masks.shape[0] == 2 and m.predict([chr(0x4E00 + 66) * 20])[0][0] == "l066"
+
+
+def test_blocks_of_a_long_text_have_the_ngrams_of_the_whole(monkeypatch):
+    r = random.Random(12)
+    for _ in range(60):
+        text = "".join(r.choices("abÀΣσß .,1\n語", k=r.randint(0, 90)))
+        monkeypatch.setattr(langid, "BLOCK_CHARS", 1 << 19)
+        whole = [langid.ngrams(c).tolist() for c, _ in langid.blocks(text)]
+        assert len(whole) == 1
+        for size in (1, 2, 7, 30):
+            monkeypatch.setattr(langid, "BLOCK_CHARS", size)
+            assert sum((langid.ngrams(c).tolist() for c, _ in langid.blocks(text)), []) == whole[0]
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", f" {t} ".lower())
+    monkeypatch.setattr(langid, "BLOCK_CHARS", 5)
+    text = "One, two; THREE 4 five -- déjà vu"
+    want = [plain(text)[k : k + 4] for k in range(len(plain(text)) - 3)]
+    assert sum(len(langid.ngrams(c)) for c, _ in langid.blocks(text)) == len(want)
+
+
+def test_filters_against_exact_sets_of_ngrams():
+    r = random.Random(14)
+    words = {lang: ["".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(400)] for lang, letters in {"p": "abcdefgh", "q": "efghijkl", "r": "ijklmnop"}.items()}
+    say = lambda lang, n: " ".join(r.choices(words[lang], k=n))
+    grams = {lang: {g for _ in range(40) for c, _ in langid.blocks(say(lang, 60)) for g in langid.ngrams(c).tolist()} for lang in words}
+    m = langid.Model.of(sorted(words), {k: np.array(sorted(v), np.uint64).view(np.int64).tolist() for k, v in grams.items()}, "p")
+    for lang in [*words] * 20:
+        text = say(lang, r.randint(1, 50))
+        own = [g for c, _ in langid.blocks(text) for g in langid.ngrams(c).tolist()]
+        exact = {k: sum(g in v for g in own) / len(own) for k, v in grams.items()}
+        found, score = m.predict([text])[0]
+        assert exact[found] == max(exact.values()) and abs(score - exact[found]) < 0.03
+
+
+def test_places_follow_a_plain_schedule(spark):
+    # every slot from the definition: the released block with the earliest deadline, by exact fractions
+    from fractions import Fraction
+
+    counts = {"a": 70, "b": 31, "c": 9, "": 1}
+    rows = [(k * 1000 + n, s or None) for k, (s, c) in enumerate(counts.items()) for n in range(c)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=4).collect()
+    weight = {s: Fraction(c**0.5) for s, c in counts.items()}
+    total = sum(weight.values())
+    left = {s: -(-c // 4) for s, c in counts.items()}
+    done, want, slot = dict.fromkeys(counts, 0), {}, 0
+    while any(done[s] < left[s] for s in counts):
+        ready = [(-(-(done[s] + 1) * total // weight[s]), s) for s in sorted(counts) if done[s] < left[s] and done[s] * total // weight[s] <= slot]
+        if ready:
+            s = min(ready)[1]
+            want[s, done[s]] = slot
+            done[s] += 1
+        slot += 1
+    assert {(r.source, r.block): r.slot for r in got} == want
+    for s, c in counts.items():
+        mine = sorted((r for r in got if r.source == s), key=lambda r: r.place)
+        assert [r.place for r in mine] == [want[s, n // 4] * 4 + n % 4 for n in range(c)]
+        assert Counter(r.block for r in mine) == Counter(n // 4 for n in range(c))
+
+
+def test_mixture_keeps_columns_that_clash(spark):
+    names = ["doc_id", "source", "_hash", "_source", "_group", "_rank", "_block", "_slot", "_row", "_tie", "_chunk", "n", "text"]
+    rows = [tuple(f"{c}{i}" if c not in ("doc_id", "source") else ("ab"[i % 2] if c == "source" else i // 3) for c in names) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    kept = mixing.mix_sources(df, keep_columns=True, block_rows=4)
+    assert kept.columns == [*names, "place"]
+    assert sorted(tuple(r)[:-1] for r in kept.collect()) == sorted(rows) and len({r.place for r in kept.collect()}) == 40
+    again = mixing.mix_sources(df.repartition(5), keep_columns=True, block_rows=4)
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_roles_with_every_control_come_back(spark):
+    bits = ["\r", "\n", "\\", "n", "\\n", "r\\", "<|im_end|>", "<\\|im_end|>", "[INST]", "</s>", " ", "\r\\"]
+    r = random.Random(16)
+    roles = ["".join(r.choices(bits, k=r.randint(0, 6))) for _ in range(400)]
+    df = spark.createDataFrame([(i, 0, x, x + "!") for i, x in enumerate(roles)], "conv_id long, turn int, role string, text string")
+    got = {x.conv_id: x.turns for x in chat.read_back(chat.format_chat(chat.canonical_turns(df))).collect()}
+    assert all(got[i][0].role == x and got[i][0].text == x + "!" for i, x in enumerate(roles))
