@@ -14,7 +14,7 @@ from weirflow.operators import dataflow as O
 from weirflow.operators import records as R
 from weirflow.operators import timing as T
 from weirflow.operators.numbering import number
-from weirflow.plans import ir, registry
+from weirflow.plans import dagfile, ir, registry, sla
 from weirflow.plans.flow import FlowBuilder
 from weirflow.shared import fresh_path, written
 from weirflow.sources import trec
@@ -596,6 +596,38 @@ def sla_plan(spark, sf_dir):
     return spark.createDataFrame([(k, v) for k, v in budgets.items()], "channel string, budget_us int")
 
 
+@recursive
+@query(""", node(output, input, wcet) as (values ('plan/~0', 'plan/lidar', 8000), ('plan/~1', 'plan/imu', 100), ('plan/~2', 'plan/~0', 3000), ('plan/~2', 'plan/~1', 3000)),
+walk as (select goal as here, goal, 0 as spent, [goal] as way from (select unnest(['plan/~2', 'plan/~0', 'plan/~1']) as goal) union all
+    select input, goal, spent + wcet + 20, list_append(way, input) from walk join node on output = here where not list_contains(way, input)),
+far as (select goal, max(spent) as planned, arg_max(way, spent) as way from walk where here in ('plan/lidar', 'plan/imu') group by goal),
+cost as (select distinct output, wcet from node)
+select goal as endpoint, planned as planned_us, deadline as deadline_us, array_to_string(way, ' <- ') as path,
+    (select 'map -> ' || output from cost where list_contains(way, output) order by wcet desc limit 1) as worst
+from far join (values ('plan/~2', 10000), ('plan/~0', 8020), ('plan/~1', 119)) as t(endpoint, deadline) on goal = endpoint where planned > deadline""")
+def sla_violations(spark, sf_dir):
+    """Deadlines that planned paths miss, with the path and its costliest node; one that is met exactly is none."""
+    nodes = [sla.Node("map", ("plan/lidar",), "plan/~0", 8000), sla.Node("map", ("plan/imu",), "plan/~1"), sla.Node("join", ("plan/~0", "plan/~1"), "plan/~2", 3000)]
+    r = sla.plan({"plan/lidar": 100_000, "plan/imu": 10_000}, nodes, [("plan/~2", 10_000), ("plan/~0", 8020), ("plan/~1", 119)], sla.Config(cores=1))
+    rows = [(v.endpoint, v.planned_us, v.deadline_us, " <- ".join(v.path), v.worst) for v in r.violations]
+    return spark.createDataFrame(rows, "endpoint string, planned_us int, deadline_us int, path string, worst string")
+
+
+DAG_FILE = "# a line of cameras\n[component cam]\ntype = Camera\ninterval_ms=50\n\n; joined\n[component fuse]\ntype=Fuse\ninputs = cam, lidar ,, imu \n"
+
+
+@query(f""", d as (select trim(y) as y, row_number() over () as n from (select unnest(string_split('{DAG_FILE}', chr(10))) as y)),
+g as (select *, sum(case when y like '[%' then 1 else 0 end) over (order by n) as k from d where y <> '' and y[1] not in ('#', ';')),
+v as (select k, case when y like '[%' then 'name' else trim(split_part(y, '=', 1)) end as key, case when y like '[%' then trim(y[12:-2]) else trim(split_part(y, '=', 2)) end as value from g)
+select max(value) filter (key = 'name') as name, max(value) filter (key = 'type') as type,
+    coalesce(array_to_string(list_filter(list_transform(string_split(max(value) filter (key = 'inputs'), ','), lambda x: trim(x)), lambda x: x <> ''), ' '), '') as inputs,
+    coalesce(cast(max(value) filter (key = 'interval_ms') as int), 0) as interval_ms from v group by k""")
+def dag_file(spark, sf_dir):
+    """A component file, read."""
+    rows = [(c.name, c.type, " ".join(c.inputs), c.interval_ms) for c in dagfile.parse(DAG_FILE)]
+    return spark.createDataFrame(rows, "name string, type string, inputs string, interval_ms int")
+
+
 #: FNV-1a over the canonical text of the graph of ``ir_hash``.
 CANONICAL = "flow=g;ver=1;n=source;o=g/a;w=0;t=0;n=map;i=g/a;o=g/~0;w=0;t=1;n=source;o=g/b;w=0;t=2;n=map;i=g/b;o=g/~1;w=0;t=3;"
 
@@ -665,6 +697,19 @@ def stream_stateful(spark, sf_dir):
     return twins.drain(twins.fold_stream(s, ["user_id"], ["ts", "event_id"], lambda: [0, 0], stream_step, "user_id long, event_id long, n long, total long"), "fold")
 
 
+@query(ORACLES["stream_stateful"].removeprefix(WITH))
+def stream_restart(spark, sf_dir):
+    """The same fold in two runs: the second finds new files and the state that the first has left."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
+    given, out = fresh_path(spark, "given"), fresh_path(spark, "folded")
+    half = F.expr("timestamp_ntz'2024-01-16 00:00:00'")
+    for part in (F.col("ts").cast("timestamp_ntz") < half, F.col("ts").cast("timestamp_ntz") >= half):
+        rows.filter(part).write.mode("append").parquet(given)
+        fold = twins.fold_stream(twins.stream_of(spark, given), ["user_id"], ["ts", "event_id"], lambda: [0, 0], stream_step, "user_id long, event_id long, n long, total long")
+        done = twins.drain(fold, "fold", out)
+    return done
+
+
 @query("""select t.event_id as trigger_id, d.event_id as data_id from e t join e d on d.ts_ns between t.ts_ns - 3600000000000 and t.ts_ns
     where t.event_type = 'error' and d.event_type = 'click'""")
 def stream_span_join(spark, sf_dir):
