@@ -52,6 +52,42 @@ def test_stages(spark):
     assert max(bins.values()) <= 1024 and np.sum(list(bins.values())) == sum(r.length for r in pieces)
 
 
+EXTRA = ["h", "t", "row", "place", "_file", "_row", "_metadata", "key", "rep", "n", "comp", "u", "v", "c0", "_source", "group", "length", "piece", "_h"]
+
+
+def odd_table(spark, rows):
+    extra = "".join(f", `{c}` string" for c in EXTRA)
+    filled = [(*r, *[f"{c}{r[0]}" for c in EXTRA], {"k": r[0]}) for r in rows]
+    return spark.createDataFrame(filled, f"doc_id long, text string, lang string, source string, n_chars long{extra}, m map<string,long>")
+
+
+def test_stages_with_odd_tables(spark):
+    """Nulls everywhere, repeated rows, equal ids, a very long text, clashing names and a map; then nothing at all."""
+    say = lambda k, n: " ".join(f"ka{(k * 7 + j * j) % 97}st" for j in range(n))
+    rows = [(i, say(i, 30 + i), "en", "a", 1) for i in range(40)]
+    rows += [(None, say(99, 40), "en", None, None), (None, say(99, 40), None, "b", None), (41, None, "en", "a", 0), (42, "", None, None, 0), (43, "12 !?", "en", "a", 0)]
+    rows += [rows[3]] * 3 + [(7, say(123, 50), "en", "b", 5), (50, say(5, 200_000), "en", "c", 0), (51, say(5, 200_000) + " end", None, "c", 0)]
+    for some in (rows, []):
+        sf_dir = fresh_path(spark, "tables")
+        odd_table(spark, some).write.parquet(f"{sf_dir}/documents.parquet")
+        df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        schema, kept = df.schema, []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            df = written(stage(spark, df, sf_dir), name)
+            assert df.schema.simpleString() == schema.simpleString()
+            kept.append(df.select("doc_id", "text", "place", "m").collect())
+            assert all(r.place == f"place{r.doc_id}" and r.m == {"k": r.doc_id} for r in kept[-1])
+        pieces = corpus_pipeline.packing(spark, df, sf_dir).collect()
+        assert sorted(set((r.doc_id is None, r.doc_id or 0) for r in pieces)) == sorted((r.doc_id is None, r.doc_id or 0) for r in kept[-1])
+        assert corpus_pipeline.run(spark, sf_dir).count() == len(pieces)
+        if some:
+            language, exact, near, mixing = (sorted((r.doc_id is None, r.doc_id or 0) for r in k) for k in kept)
+            ids = lambda k: [i for null, i in k if not null]
+            assert not {41, 42, 43} & set(ids(language)) and ids(language).count(3) == 4 and ids(exact).count(3) == 1
+            assert (True, 0) in exact and exact.count((True, 0)) == 1 and ids(exact).count(7) == 2
+            assert 50 in ids(near) and 51 not in ids(near) and mixing == near
+
+
 def test_packing_follows_the_mixture(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 100)
     rows = [(i, f"word{i} " * (1 + i % 90) if i % 50 else "long text " * 3000, "en", "ab"[i % 2], 0) for i in range(600)]
