@@ -12,6 +12,11 @@ runs in lockstep as numpy lanes. The model of a block:
 * order 0: an id that was not predicted is coded by adaptive frequencies of its high
   byte, then of its low byte under a class of the high one.
 
+The coder holds an interval of 64-bit numbers and shifts 16 bits out when it is shorter than
+``SHORT``. One that still straddles a multiple of 2**48 then is cut at that multiple to its
+longer part, which costs a fraction of a bit and leaves no interval too short to divide.
+Bits of ids above the low 16, where there are any, are compressed apart.
+
 All arithmetic is on integers, so encoder and decoder agree on every machine.
 """
 
@@ -24,8 +29,9 @@ import zlib
 import numpy as np
 
 MAGIC = b"WFID"
-VERSION = 1
-HEADER = struct.Struct("<4sBxxxIIII")
+VERSION = 2
+#: Magic, version, ids, CRC-32 of the ids, bytes of code, bytes of high halves, CRC-32 of header and body.
+HEADER = struct.Struct("<4sBxxxIIIII")
 CLASSES = 16
 BITS1, BITS2 = 10, 11
 #: Steps after which the order-0 frequencies are taken into use, and from then on every so many.
@@ -36,7 +42,9 @@ STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.
 SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 ONE, W16, W48 = np.uint64(1), np.uint64(16), np.uint64(48)
 LOW = np.uint64(0xFFFF)
-ALL, TOP = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1 << 48)
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Length below which an interval is shifted; steps of 2**-16 of it stay whole numbers.
+SHORT = np.uint64(1 << 32)
 #: Bound of a mixing weight.
 LIMIT = 1 << 18
 
@@ -116,8 +124,19 @@ class Lanes:
         # the last symbol takes what the division leaves over
         self.x2[at] = np.where(high == 65536, top, base + step * high.astype(np.uint64) - ONE)
 
-    def agreed(self, a: int) -> np.ndarray:
-        return np.flatnonzero((self.x1[:a] ^ self.x2[:a]) < TOP)
+    def short(self, a: int) -> np.ndarray:
+        """Lanes to be shifted; their ends agree in the top 16 bits."""
+        at = np.flatnonzero(self.x2[:a] - self.x1[:a] < SHORT)
+        if len(at):
+            x1, x2 = self.x1[at], self.x2[at]
+            apart = (x1 ^ x2) >> W48 != 0
+            if apart.any():
+                seam = x2 >> W48 << W48
+                lower = apart & (seam - x1 > x2 - seam)
+                self.x2[at[lower]] = seam[lower] - ONE
+                upper = apart & ~lower
+                self.x1[at[upper]] = seam[upper]
+        return at
 
     def shift(self, at: np.ndarray) -> None:
         self.x1[at] <<= W16
@@ -135,22 +154,20 @@ def _steps(sizes: np.ndarray):
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids below 65536 as bytes: header with counts and CRC-32, then code."""
-    if any(len(b) and int(b.max()) > 0xFFFF for b in blocks):
-        raise ValueError("ids must be below 65536")
+    """Each block of unsigned 32-bit ids as bytes: header with counts and CRC-32, then code."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
     n = len(order)
     longest = int(sizes[0]) if n else 0
     ids_at = np.zeros((longest, n), np.int32)
     for k, i in enumerate(order):
-        ids_at[: sizes[k], k] = blocks[i]
+        ids_at[: sizes[k], k] = blocks[i] & 0xFFFF
     m = Lanes(n)
-    out = np.empty((n, 3 * longest + 8), np.uint16)
+    out = np.empty((n, 4 * longest + 8), np.uint16)
     used = np.zeros(n, np.int64)
 
     def emit(a: int) -> None:
-        while len(at := m.agreed(a)):
+        while len(at := m.short(a)):
             out[at, used[at]] = m.x1[at] >> W48
             used[at] += 1
             m.shift(at)
@@ -182,9 +199,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     done: list[bytes] = [b""] * n
     for k, i in enumerate(order):
         code = out[k, : used[k] + 4].astype("<u2").tobytes()
-        raw = blocks[i].astype("<u4").tobytes()
-        head = HEADER.pack(MAGIC, VERSION, len(blocks[i]), zlib.crc32(raw), len(code), 0)[:-4]
-        done[i] = head + struct.pack("<I", zlib.crc32(code, zlib.crc32(head))) + code
+        raw = blocks[i].astype("<u4")
+        high = (raw >> 16).astype("<u2")
+        high = zlib.compress(high.tobytes()) if high.any() else b""
+        head = HEADER.pack(MAGIC, VERSION, len(raw), zlib.crc32(raw.tobytes()), len(code), len(high), 0)[:-4]
+        done[i] = head + struct.pack("<I", zlib.crc32(code + high, zlib.crc32(head))) + code + high
     return done
 
 
@@ -194,11 +213,11 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     for d in data:
         if len(d) < HEADER.size:
             raise ValueError("a block is cut short")
-        magic, version, size, crc, length, code_crc = HEADER.unpack_from(d)
-        code = d[HEADER.size :]
-        if magic != MAGIC or version != VERSION or len(code) != length or zlib.crc32(code, zlib.crc32(d[: HEADER.size - 4])) != code_crc:
+        magic, version, size, crc, length, more, body_crc = HEADER.unpack_from(d)
+        body = d[HEADER.size :]
+        if magic != MAGIC or version != VERSION or len(body) != length + more or zlib.crc32(body, zlib.crc32(d[: HEADER.size - 4])) != body_crc:
             raise ValueError("a block is damaged")
-        heads.append((size, crc, code))
+        heads.append((size, crc, body[:length], body[length:]))
     order = sorted(range(len(data)), key=lambda i: -heads[i][0])
     sizes = np.array([heads[i][0] for i in order], np.int64)
     n = len(order)
@@ -213,7 +232,7 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     read = np.full(n, 4, np.int64)
 
     def fetch(a: int) -> None:
-        while len(at := m.agreed(a)):
+        while len(at := m.short(a)):
             code[at] = code[at] << W16 | words[at, read[at]].astype(np.uint64)
             read[at] += 1
             m.shift(at)
@@ -254,6 +273,8 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for k, i in enumerate(order):
         out[i] = ids_at[: sizes[k], k].astype(np.uint32)
+        if heads[i][3]:
+            out[i] |= np.frombuffer(zlib.decompress(heads[i][3]), "<u2").astype(np.uint32) << 16
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][1]:
             raise ValueError("a block decodes to other ids")
     return out

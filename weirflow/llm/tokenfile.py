@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from weirflow.shipping import ship
 
+from .common import slices
 from .encode import loaded
 from .rangecoder import decode_blocks, encode_blocks
 
@@ -88,8 +89,9 @@ def write_tokens(
     """Write ``docs`` as a token dataset at ``path``.
 
     Ids (integers; null first) ascend over the parts and inside them; rows with equal
-    ids are ordered by text. A null or empty text is its end id alone. An empty table
-    gives a dataset without blocks. Other columns are ignored.
+    ids are ordered by text. A null or empty text is its end id alone; a very long one
+    runs over as many blocks as it needs. An empty table gives a dataset without blocks.
+    Other columns are ignored.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -103,13 +105,13 @@ def write_tokens(
                 ["part", "block", "n_ids", "data"],
             )
 
-        for b in batches:
+        for b in slices(batches, 256):
+            ids = b.column(0).to_pylist()
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            for begin in range(0, len(texts), 256):
-                for i, ids in enumerate(enc.encode(texts[begin : begin + 256]), begin):
-                    w.add(b.column(0)[i].as_py(), ids + end)
-                if w.held >= HELD_IDS:
-                    yield rows()
+            for doc_id, own in zip(ids, enc.encode(texts), strict=True):
+                w.add(doc_id, own + end)
+            if w.held >= HELD_IDS:
+                yield rows()
         yield rows()
 
     ship(docs.sparkSession)
@@ -123,7 +125,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = True) -> DataFram
     """``doc_id, start, n_tokens, ids_crc32`` (or ``ids``, with ``digest`` false) of a dataset.
 
     ``start`` counts the ids of all documents before, over all parts. A damaged block
-    raises ``ValueError``.
+    raises ``ValueError``; a dataset without blocks gives an empty result.
     """
     ship(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
@@ -165,8 +167,10 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = True) -> DataFram
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     last = "long" if digest else "array<long>"
+    # a part is a task: its number is that of the partition
+    parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
     docs = (
-        blocks.repartition("part")
+        blocks.repartitionById(parts, F.col("part"))
         .sortWithinPartitions("part", "block")
         .mapInArrow(run, f"part int, doc_id long, start long, n_tokens long, last {last}")
     )
