@@ -39,7 +39,7 @@ def test_saturation_warns_or_rejects():
         sla.plan({}, n, [("x", 1)])
 
 
-def test_build_rejects_overrun():
+def test_build_rejects_overrun(spark):
     f = FlowBuilder("f")
     f.source("s", lambda s: s.range(1)).map(v=F.lit(1)).with_wcet(8000).with_sla(100)
     with pytest.raises(sla.DeadlineError, match="f/~0"):
@@ -67,7 +67,7 @@ def test_validation():
         ir.Graph("g", [ir.Node("source", (), "g/x"), ir.Node("source", (), "g/x")]).validate()
 
 
-def test_exports():
+def test_exports(spark):
     f = FlowBuilder("f")
     f.source("s", lambda s: s.range(1)).map(v=F.lit(1)).with_wcet(10).with_sla(1000)
     g = f.build().graph()
