@@ -249,3 +249,34 @@ def test_aggregates_of_spans(spark):
     got = {r.seq: (r.n, r.total, r.l) for r in O.span_aggregate(trigger, data, "s/~0", "s/d", span, 5_000_000, {"total": F.sum("v")}).withColumn("l", L.describe("lineage")).collect()}
     whole = {r.seq: (r.n, r.total, r.l) for r in O.span_join(trigger, data, "s/~0", "s/d", span, 5_000_000).select("seq", F.size("items").cast("bigint").alias("n"), F.when(F.size("items") > 0, F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["v"])).alias("total"), L.describe("lineage").alias("l")).collect()}
     assert got == whole and got[0][0] == 1 and got[1][0] == 6
+
+
+def test_slices_are_cut_without_shuffling_pairs(spark):
+    """Data numbers that do not follow time, equal times, nulls, spans of any length, triggers that see nothing."""
+    r = random.Random(5)
+    data = [(i, 1000 + i, r.choice([None, *range(60)]), r.choice([None, -3, 1 << 40, 7]), r.choice([None, 0.1, 0.7])) for i in range(300)]
+    asks = [(i, i, r.choice([None, *range(-20, 70)]), r.choice([None, 0, 5, 40, -1])) for i in range(200)]
+    d = spark.createDataFrame(data, "seq long, arrival long, t long, v long, x double").withColumn("ts_ns", F.col("t")).withColumn("lineage", L.rooted("d", "seq"))
+    t = spark.createDataFrame(asks, "seq long, arrival long, a long, more long").withColumn("ts_ns", F.col("a")).withColumn("lineage", L.rooted("t", "seq"))
+    span = (F.col("a"), F.col("a") + F.col("more"))
+    whole = O.span_join(t, d, "o", "d", span, 7, "t")
+    plan = whole._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "_trigger" not in plan
+    want = {}
+    for seq, _, a, more in asks:
+        want[seq] = [x for x in data if None not in (a, more, x[2]) and a <= x[2] <= a + more]
+    got = {x.seq: x for x in whole.withColumn("l", L.describe("lineage")).collect()}
+    assert {k: [(i.seq, i.t, i.v, i.x) for i in x["items"]] for k, x in got.items()} == {k: [(x[0], *x[2:]) for x in v] for k, v in want.items()}
+    assert {(k, x.a, x.more) for k, x in got.items()} == {(x[0], *x[2:]) for x in asks}
+    folds = {"total": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v"), "xs": ("sum", "x"), "x_high": ("max", "x")}
+    made = O.span_join(t, d, "o", "d", span, 7, "t", folds=folds).withColumn("l", L.describe("lineage")).collect()
+    assert len(made) == 200
+    for x in made:
+        own = want[x.seq]
+        v, xs = [i[3] for i in own if i[3] is not None], [i[4] for i in own if i[4] is not None]
+        assert (x.n, x.total, x.low, x.high) == (len(own), sum(v) if v else None, min(v, default=None), max(v, default=None))
+        assert (x.seq_lo, x.seq_hi) == (min([i[0] for i in own], default=None), max([i[0] for i in own], default=None))
+        assert x.x_high == max(xs, default=None) and (x.xs == pytest.approx(sum(xs)) if xs else x.xs is None)
+        assert x.l == got[x.seq].l
+    empty = O.span_join(t, d.limit(0), "o", "d", span, 7, "t", folds={}).select("n").collect()
+    assert [x.n for x in empty] == [0] * 200

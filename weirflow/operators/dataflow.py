@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from weirflow.functions import lineage as L
 from weirflow.shipping import ship
 
+from . import spans
 from .numbering import number, running
 from .queues import zip_with_queues
 
@@ -167,6 +168,38 @@ def _slices(found: DataFrame, trigger: DataFrame, channel: str, data_channel: st
     )
 
 
+def _cut_slices(
+    trigger: DataFrame, data: DataFrame, channel: str, data_channel: str, span: tuple[Column, Column], width: int, time: str, folds: dict[str, tuple[str, str]] | None
+) -> DataFrame:
+    """``span_join`` without a bound: a task sorts the data that a bucket's triggers can see, and cuts their slices out of it."""
+    kept = [c for c in data.columns if c not in ("seq", "lineage", "arrival")] if folds is None else list(dict.fromkeys(c for _, c in folds.values()))
+    lo, hi = span[0].cast("bigint"), span[1].cast("bigint")
+    rest = payload(trigger) if folds is None else []
+    t = trigger.select(F.struct(*META, *rest).alias("_own"), lo.alias("_lo"), hi.alias("_hi"))
+    # a trigger of no span sees nothing and may be anywhere
+    t = t.withColumn("_home", F.coalesce(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width), F.lit(0)))
+    seen = t.filter("_lo <= _hi").groupBy("_home").agg(F.min("_lo").alias("_from"), F.max("_hi").alias("_to"))
+    seen = seen.withColumn("_cell", F.explode(F.sequence("_home", F.floor(F.col("_to") / width))))
+    d = data.select(F.struct("seq", *kept).alias("_item"), F.col("seq").alias("_seq"), F.col(time).cast("bigint").alias("_lo"))
+    d = d.withColumn("_cell", F.floor(F.col("_lo") / width)).join(seen, "_cell").filter("_lo between _from and _to")
+    both = d.select("_home", F.lit(False).alias("_asks"), "_lo", F.lit(None).cast("bigint").alias("_hi"), "_seq", "_item").unionByName(
+        t.select("_home", F.lit(True).alias("_asks"), "_lo", "_hi", F.col("_own"), F.col("_own.seq").alias("_seq")), allowMissingColumns=True
+    )
+    item, own = both.schema["_item"].dataType, both.schema["_own"].dataType
+    if folds is None:
+        made = [StructField("items", ArrayType(item))]
+    else:
+        wide = lambda f, kind: data.agg(getattr(F, f)(kind)).schema[0].dataType
+        made = [StructField("n", LongType()), *[StructField(k, wide(f, c)) for k, (f, c) in folds.items()]]
+    schema = StructType([StructField("_own", own), *made, StructField("seq_lo", LongType()), StructField("seq_hi", LongType())])
+    ship(trigger.sparkSession)
+    cut = spans.cutter(to_arrow_schema(schema), folds)
+    dealt = both.select("_home", "_asks", "_lo", "_hi", "_seq", "_item", "_own").repartition("_home").sortWithinPartitions("_home", "_asks", "_lo", "_seq")
+    found = dealt.mapInArrow(cut, schema).select("_own.*", *[f.name for f in made], "seq_lo", "seq_hi")
+    merged = F.when(F.col("seq_lo").isNotNull(), L.merge("lineage", L.rooted(data_channel, "seq_lo", "seq_hi"))).otherwise(F.col("lineage"))
+    return found.select("seq", "arrival", "ts_ns", *rest, *[f.name for f in made], "seq_lo", "seq_hi", L.add_hop(merged, channel, "seq").alias("lineage"))
+
+
 def span_join(
     trigger: DataFrame,
     data: DataFrame,
@@ -176,21 +209,24 @@ def span_join(
     width: int,
     time: str = "ts_ns",
     history: int | None = None,
+    folds: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """All data messages whose time lies in each trigger's closed ``span``, as a slice.
 
-    The range condition becomes an equality on time buckets of ``width`` (near the usual span length),
-    so no pair outside a trigger's buckets is formed. With ``history`` a trigger sees only the last so
+    Data rows go to the time buckets of ``width`` (near the usual span length) whose triggers can see
+    them, and a slice is cut in the task of its trigger, so pairs are never shuffled. Slices take as much room
+    as they have items in all; with ``folds`` (output: function sum, min or max, and column) only ``n`` and
+    the folds of each slice are kept, null where it has no value, beside the trigger's number and times. With ``history`` a trigger sees only the last so
     many data messages that arrived before it, found by buckets of the data's own numbers, and gets
     ``truncated`` if older ones may be missing. Triggers with an empty slice stay.
     """
+    if history is None:
+        return _cut_slices(trigger, data, channel, data_channel, span, width, time, folds)
+    if folds is not None:
+        raise ValueError("folds are for complete slices")
     t = trigger.select(F.col("seq").alias("_trigger"), F.col("arrival").alias("_at"), span[0].cast("bigint").alias("_lo"), span[1].cast("bigint").alias("_hi"))
     item = F.struct("seq", *[F.col(c) for c in data.columns if c not in ("seq", "lineage", "arrival")]).alias("_item")
     d = data.select(item, F.col("seq").alias("_seq"), F.col("arrival").alias("_came"), F.col(time).cast("bigint").alias("_time"))
-    if history is None:
-        t = t.filter("_lo <= _hi").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-        found = t.join(d.withColumn("_cell", F.floor(F.col("_time") / width)), "_cell").filter("_time between _lo and _hi")
-        return _slices(found, trigger, channel, data_channel)
     came = d.select("_came", F.lit(1).alias("one")).unionByName(t.select(F.col("_at").alias("_came"), F.lit(0).alias("one")))
     seen = running(came, ["_came"], {"before": ("sum", "one")}, "_n").filter("one = 0").select(F.col("_came").alias("_at"), "before")
     t = t.join(seen, "_at").withColumn("_first", F.greatest(F.col("before") - history, F.lit(0)))

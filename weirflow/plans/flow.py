@@ -120,8 +120,11 @@ class FlowBuilder:
         """The n-th messages of two to four channels."""
         return self._add("join", tuple(c.channel for c in chains), self._anonymous(), lambda c, *d: O.zip_many(d, c, fn))
 
-    def span_join(self, trigger: Chain, data: Chain, span: tuple[Column, Column], width: int, time: str = "ts_ns", history: int | None = None) -> Chain:
-        made = lambda c, t, d: O.span_join(t, d, c, data.channel, span, width, time, history)
+    def span_join(
+        self, trigger: Chain, data: Chain, span: tuple[Column, Column], width: int, time: str = "ts_ns", history: int | None = None, folds: dict | None = None
+    ) -> Chain:
+        """The slice of each trigger, or with ``folds`` its ``n`` and folds."""
+        made = lambda c, t, d: O.span_join(t, d, c, data.channel, span, width, time, history, folds)
         return self._add("span", (trigger.channel, data.channel), self._anonymous(), made)
 
     def span_aggregate(self, trigger: Chain, data: Chain, span: tuple[Column, Column], width: int, reduce: dict[str, Column], time: str = "ts_ns") -> Chain:

@@ -218,9 +218,9 @@ def fusion_four(spark, sf_dir):
     return text(f.build().lower(spark, {f"flow/{k}": channel(spark, sf_dir, k, all_arrivals=False) for k in kinds})["flow/~0"], "seq", "cents")
 
 
-def spans(spark, sf_dir, lo, hi, width, history=None):
+def spans(spark, sf_dir, lo, hi, width, history=None, folds=None):
     f = FlowBuilder("flow")
-    f.span_join(f.tap("error"), f.tap("click"), (F.col("ts_ns") + lo, F.col("ts_ns") + hi), width, history=history)
+    f.span_join(f.tap("error"), f.tap("click"), (F.col("ts_ns") + lo, F.col("ts_ns") + hi), width, history=history, folds=folds)
     kinds = ("error", "click")
     found = {k: channel(spark, sf_dir, k, all_arrivals=False) for k in kinds} if history is None else channels(spark, sf_dir, *kinds)
     given = {f"flow/{k}": v for k, v in found.items()}
@@ -244,11 +244,10 @@ def span_join_count(spark, sf_dir):
 
 @query(SPAN.format(-6 * HOUR, 0) + "select seq, n, cast(cents as bigint) as cents, cast(n * 1000 + coalesce(hi - lo, 0) as bigint) as spread from s")
 def span_join_items(spark, sf_dir):
-    """The slices themselves, reduced after they were gathered."""
-    s = spans(spark, sf_dir, -6 * HOUR, 0, 6 * HOUR)
-    total = F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["cents"])
-    n = F.size("items").cast("bigint")
-    return s.select("seq", n.alias("n"), total.alias("cents"), (n * 1000 + F.coalesce(F.col("seq_hi") - F.col("seq_lo"), F.lit(0))).alias("spread"))
+    """The slices themselves, reduced in the tasks that cut them."""
+    s = spans(spark, sf_dir, -6 * HOUR, 0, 6 * HOUR, folds={"cents": ("sum", "cents")})
+    spread = F.col("n") * 1000 + F.coalesce(F.col("seq_hi") - F.col("seq_lo"), F.lit(0))
+    return s.select("seq", "n", F.coalesce("cents", F.lit(0)).alias("cents"), spread.alias("spread"))
 
 
 @query(SPAN.format(-6 * HOUR, 0) + SPAN_TEXT)
