@@ -30,3 +30,9 @@ def test_query(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(want.columns)
     assert rows(got, columns) == rows(want, columns)
+
+
+@pytest.mark.skipif(not DIR.exists(), reason="the driver's tables are not here")
+def test_lineage_of_slices_needs_no_items(spark):
+    plan = QUERIES["span_join_lineage"](spark, str(DIR))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "items" not in plan
