@@ -654,3 +654,28 @@ def test_roles_with_every_control_come_back(spark):
     df = spark.createDataFrame([(i, 0, x, x + "!") for i, x in enumerate(roles)], "conv_id long, turn int, role string, text string")
     got = {x.conv_id: x.turns for x in chat.read_back(chat.format_chat(chat.canonical_turns(df))).collect()}
     assert all(got[i][0].role == x and got[i][0].text == x + "!" for i, x in enumerate(roles))
+
+
+def test_chunks_keep_their_ids(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [*odd_texts()[:300], "H̱ ẖ İ Σας ΣΑΣ", "<|ENDOFTEXT|> <|endoftext|>x a\0b", "\n\t́ x͸y " + "w" * 300, "One two One TWO's"]
+    raw, want = [t.encode() for t in texts], [np.array(x, "<u4").tobytes() for x in reference("word_bpe_49k.json", texts)]
+    enc = encode.Encoder(path)
+    assert enc.encode(raw) == want and enc.encode(raw[::-1]) == want[::-1]
+    short = [b"One two", b"two one", b""]
+    first = enc.encode(short)
+    monkeypatch.setattr(enc, "fast", object())
+    assert enc.encode(short) == first
+    monkeypatch.undo()
+    monkeypatch.setattr(encode, "CACHE_ENTRIES", 3)
+    assert [enc.encode([t])[0] for t in raw] == want
+
+
+def test_coder_stores_the_frequencies_of_a_block():
+    rng = np.random.default_rng(3)
+    skewed = (rng.geometric(0.02, 4000) % 700 * 61).astype(np.uint32)
+    whole = np.arange(1 << 16, dtype=np.uint32)
+    coded = rangecoder.encode_blocks([skewed, whole])
+    # learning the frequencies as coding goes took 4,644 bytes
+    assert len(coded[0]) < 4200
+    assert all(np.array_equal(a, b) for a, b in zip([skewed, whole], rangecoder.decode_blocks(coded), strict=True))

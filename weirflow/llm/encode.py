@@ -8,24 +8,31 @@ run in tiktoken, several times as fast, with tables built from that same file:
   those of a last byte with it.
 
 Both need ids that ascend with the merges, which is checked on loading; pre-tokens are cut
-as the file says. Texts that hold a special token or, with word ends, a zero byte or a code
-point that Unicode has not assigned, and all texts of other kinds of files, go to the library.
+as the file says. With word ends no token crosses ASCII white space, so texts fall into chunks there,
+and a worker keeps the ids of short ones. Texts that hold a special token, chunks that hold one, a zero byte
+or a code point that Unicode has not assigned, and all texts of other kinds of files, go to the library.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 
 import numpy as np
+import regex
 
-from .tokens import WordBpe, byte_symbols, certain
+from .tokens import CACHED_BYTES, WordBpe, byte_symbols, certain
 
 # Fixed value: the pattern of byte-level pre-tokens.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ends a word; texts that hold it go to the library.
 WORD_END = "\0"
+#: Ends a chunk of a text cut at ASCII white space, where chunks are encoded together.
+CHUNK_END = "\n"
+#: Chunks whose ids a worker keeps, some 170 bytes each; all are dropped when there are more.
+CACHE_ENTRIES = 700_000
 
 
 class Encoder:
@@ -47,6 +54,10 @@ class Encoder:
                 self.fast = self._tables(model, rf"[^{WORD_END}]+{WORD_END}")
                 self.words = WordBpe(path)
                 self.special.append(WORD_END.encode())
+                self.pattern = regex.compile(self.words.pattern.pattern + "|" + CHUNK_END)
+                # no chunk holds the character, so its id ends one
+                self.mark = model["vocab"][byte_symbols()[ord(CHUNK_END)] + model["end_of_word_suffix"]]
+                self.cache: dict[bytes, bytes] = {}
         elif pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             self.fast = self._tables(model, BYTE_LEVEL)
 
@@ -70,15 +81,56 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [self._one(t) for t in texts]
+        if self.fast is None or self.words is None:
+            return [self._one(t) for t in texts]
+        # ASCII texts in lower case, where that makes no special token: fewer chunks differ
+        split = [(low if t.isascii() and not self._special(low := t.lower()) else t).split() for t in texts]
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        new = self._learn(set().union(*split))
+        get = self.cache.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in split]
+        for c in new:
+            if len(c) > CACHED_BYTES:
+                del self.cache[c]
+        return out
+
+    def _special(self, text: bytes) -> bool:
+        return any(s in text for s in self.special)
+
+    def _learn(self, chunks: set[bytes]) -> list[bytes]:
+        """Ids of the chunks that the cache does not hold, which are returned; plain ones are encoded together."""
+        new = list(chunks.difference(self.cache))
+        if not new:
+            return new
+        plain, text = new, self._joined(new)
+        if self._special(text.encode()) or not certain(text):
+            plain = [c for c in new if not self._special(c) and certain(c.decode())]
+            for c in set(new).difference(plain):
+                self.cache[c] = self._by_library(c.decode())
+            text = self._joined(plain)
+        if not text.isascii():
+            # one character at a time: a final sigma stays as any other
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if plain:
+            ids = self.fast.encode_to_numpy(WORD_END.join(self.pattern.findall(text.lower())) + WORD_END).astype("<u4", copy=False)
+            ends = np.flatnonzero(ids == self.mark)
+            raw = ids.tobytes()
+            starts = [0, *((ends[:-1] + 1) * 4).tolist()]
+            self.cache.update(zip(plain, [raw[i:j] for i, j in zip(starts, (ends * 4).tolist(), strict=True)], strict=True))
+        return new
+
+    @staticmethod
+    def _joined(chunks: list[bytes]) -> str:
+        return CHUNK_END.encode().join(chunks).decode() + CHUNK_END
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _one(self, text: bytes) -> bytes:
         plain = text.decode()
-        if self.fast is None or any(s in text for s in self.special) or self.words is not None and not certain(plain):
-            return np.array(self.tok.encode(plain, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.words is not None:
-            found = self.words.pre_tokens(plain)[0]
-            plain = WORD_END.join([w.decode() for w in found]) + WORD_END if found else ""
+        if self.fast is None or any(s in text for s in self.special):
+            return self._by_library(plain)
         return self.fast.encode_to_numpy(plain).astype("<u4", copy=False).tobytes()
 
 

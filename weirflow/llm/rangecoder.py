@@ -1,4 +1,4 @@
-"""Adaptive context-mixing range coder for token ids, many blocks at a time.
+"""Context-mixing range coder for token ids, many blocks at a time.
 
 Every block starts from the same fresh model, so blocks decode alone and a set of them
 runs in lockstep as numpy lanes. The model of a block:
@@ -9,12 +9,13 @@ runs in lockstep as numpy lanes. The model of a block:
 * whether it is right is a binary decision, whose probability a logistic mixer blends
   from three adaptive estimates: by both confidences, by the order-1 confidence alone,
   and without context. The weights are learned as coding goes;
-* order 0: an id that was not predicted is coded by adaptive frequencies of its high
-  byte, then of its low byte under a class of the high one.
+* order 0: an id that was not predicted is coded by the frequencies of all ids of the
+  block, which are counted first and stored with it.
 
-The coder holds an interval of 64-bit numbers and shifts 16 bits out when it is shorter than
-``SHORT``. One that still straddles a multiple of 2**48 then is cut at that multiple to its
+The coder holds an interval of 64-bit numbers and shifts 16 bits out, once an id is coded, while it is
+shorter than ``SHORT``. One that still straddles a multiple of 2**48 then is cut at that multiple to its
 longer part, which costs a fraction of a bit and leaves no interval too short to divide.
+All lanes take the same operations, with shifts of 0 where nothing leaves, since picking lanes costs more.
 Bits of ids above the low 16, where there are any, are compressed apart.
 
 All arithmetic is on integers, so encoder and decoder agree on every machine.
@@ -29,21 +30,21 @@ import zlib
 import numpy as np
 
 MAGIC = b"WFID"
-VERSION = 2
-#: Magic, version, ids, CRC-32 of the ids, bytes of code, bytes of high halves, CRC-32 of header and body.
-HEADER = struct.Struct("<4sBxxxIIIII")
-CLASSES = 16
-BITS1, BITS2 = 10, 11
-#: Steps after which the order-0 frequencies are taken into use, and from then on every so many.
-REBUILD = {32, 64, 128, 256, 512, 1024}
-EVERY = 2048
+VERSION = 3
+#: Magic, version, ids, CRC-32 of the ids, bytes of code, of frequencies and of high halves, CRC-32 of header and body.
+HEADER = struct.Struct("<4sBxxxIIIIII")
+BITS1, BITS2 = 10, 10
+#: Bits of the sum of a block's frequencies: at least, and beyond those of its number of distinct ids.
+LEAST_BITS, MORE_BITS = 10, 2
+#: Rows of a matrix that are turned into columns at once, for the cache.
+TURNED = 64
 
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
 SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 ONE, W16, W48 = np.uint64(1), np.uint64(16), np.uint64(48)
 LOW = np.uint64(0xFFFF)
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Length below which an interval is shifted; steps of 2**-16 of it stay whole numbers.
+#: Length below which an interval is shifted; a decision and an id after it leave whole steps of it.
 SHORT = np.uint64(1 << 32)
 #: Bound of a mixing weight.
 LIMIT = 1 << 18
@@ -57,94 +58,116 @@ class Lanes:
         self.t2 = np.zeros(n << BITS2, np.int32)
         self.by = [np.full(n * k, 1 << 14, np.int32) for k in (128, 8, 1)]
         self.weights = [np.full(n, 26000, np.int32) for _ in range(3)]
-        self.hi = np.zeros((n, 256), np.uint16)
-        self.lo = np.zeros((n, CLASSES * 256), np.uint16)
-        even = np.arange(257, dtype=np.uint32) * 256
-        self.cum_hi = np.tile(even, (n, 1))
-        self.cum_lo = np.tile(np.tile(even, CLASSES), (n, 1))
         self.x1 = np.zeros(n, np.uint64)
         self.x2 = np.full(n, ALL, np.uint64)
         lane = np.arange(n)
         self.base1, self.base2 = lane << BITS1, lane << BITS2
-        self.base = [lane * k for k in (128, 8, 1)]
-
-    def rebuild(self, a: int) -> None:
-        for counts, cum, rows in ((self.hi, self.cum_hi, 1), (self.lo, self.cum_lo, CLASSES)):
-            for begin in range(0, a, 64):  # to bound what is held at once
-                c = counts[begin : min(a, begin + 64)].reshape(-1, rows, 256).astype(np.uint32)
-                total = np.maximum(c.sum(axis=2, dtype=np.uint32), 1)[:, :, None]
-                freq = 1 + c * np.uint32(65536 - 256) // total
-                out = cum[begin : begin + len(c)].reshape(-1, rows, 257)
-                np.cumsum(freq, axis=2, out=out[:, :, 1:])
-                out[:, :, 256] = 65536
+        self.base = [lane * k for k in (128, 8)]
 
     def predict(self, a: int, p1: np.ndarray, p2: np.ndarray):
         at1 = self.base1[:a] + ((p1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS1))
         at2 = self.base2[:a] + ((p1 * np.uint32(0x85EBCA6B) + p2 * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS2))
         e1, e2 = self.t1.take(at1), self.t2.take(at2)
         c1, c2 = e1 & 7, e2 & 7
-        entry = np.where(c2 > 0, e2, e1)
-        guess = np.where(entry & 7, entry >> 3, -1)
+        # an empty entry predicts id 0, without confidence
+        guess = np.where(c2 > 0, e2, e1) >> 3
         same = e1 >> 3 == guess
-        places = (self.base[0][:a] + (c2 << 4 | c1 << 1 | same), self.base[1][:a] + c1, self.base[2][:a])
-        found = [t.take(k) for t, k in zip(self.by, places, strict=True)]
+        places = (self.base[0][:a] + (c2 << 4 | c1 << 1 | same), self.base[1][:a] + c1)
+        found = [self.by[0].take(places[0]), self.by[1].take(places[1]), self.by[2][:a].copy()]
         st = [STRETCH.take(f >> 4) for f in found]
-        dot = sum(w[:a] * x for w, x in zip(self.weights, st, strict=True)) >> 16
-        p = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-        return guess, p, (at1, at2, e1, e2, places, found, st)
+        dot = self.weights[0][:a] * st[0]
+        dot += self.weights[1][:a] * st[1]
+        dot += self.weights[2][:a] * st[2]
+        dot >>= 16
+        np.minimum(np.maximum(dot, -2047, out=dot), 2047, out=dot)
+        dot += 2047
+        return guess, SQUASH.take(dot), (at1, at2, e1, e2, c1, c2, places, found, st)
 
     def update(self, state, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
-        at1, at2, e1, e2, places, found, st = state
+        at1, at2, e1, e2, c1, c2, places, found, st = state
         a = len(ids)
-        error = np.where(hit, 4096 - p, -p)
-        target = np.where(hit, 65535, 0)
-        for w, x, t, k, f in zip(self.weights, st, self.by, places, found, strict=True):
-            moved = w[:a] + ((x * error + 512) >> 10)
-            np.minimum(np.maximum(moved, -LIMIT, out=moved), LIMIT, out=w[:a])
-            t[k] = f + ((target - f) >> 5)
+        right = hit.astype(np.int32)
+        error = (right << 12) - p
+        target = right * 65535
+        for k, (w, x, f) in enumerate(zip(self.weights, st, found, strict=True)):
+            x *= error
+            x += 512
+            x >>= 10
+            x += w[:a]
+            np.minimum(np.maximum(x, -LIMIT, out=x), LIMIT, out=w[:a])
+            f += (target - f) >> 5
+            if k < 2:
+                self.by[k][places[k]] = f
+            else:
+                self.by[k][:a] = f
         fresh = ids << 3 | 1
-        for t, k, e in ((self.t1, at1, e1), (self.t2, at2, e2)):
-            conf = e & 7
+        for t, k, e, conf in ((self.t1, at1, e1, c1), (self.t2, at2, e2, c2)):
             # right: more sure, up to 7; wrong: half as sure, and replaced when that is nothing
-            wrong = np.where(conf > 1, e - conf + (conf >> 1), fresh)
-            t[k] = np.where((e ^ fresh) >> 3 == 0, np.maximum(fresh, e + (conf < 7)), wrong)
+            wrong = np.where(conf > 1, e - ((conf + 1) >> 1), fresh)
+            t[k] = np.where(e >> 3 == ids, e + (conf < 7), wrong)
 
     def split(self, a: int, p: np.ndarray) -> np.ndarray:
         return self.x1[:a] + ((self.x2[:a] - self.x1[:a]) >> np.uint64(12)) * p.astype(np.uint64)
 
-    def choose(self, hit: np.ndarray, mid: np.ndarray) -> None:
+    def narrow(self, hit: np.ndarray, mid: np.ndarray, step: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
+        """To the lower part up to ``mid`` where the prediction was right, else to the id's place in the upper one."""
         a = len(hit)
-        np.copyto(self.x2[:a], mid, where=hit)
-        np.copyto(self.x1[:a], mid + ONE, where=~hit)
-
-    def narrow(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        base, top = self.x1[at], self.x2[at]
-        step = (top - base) >> W16
-        self.x1[at] = base + step * low.astype(np.uint64)
-        # the last symbol takes what the division leaves over
-        self.x2[at] = np.where(high == 65536, top, base + step * high.astype(np.uint64) - ONE)
+        first = mid + ONE + step * low
+        np.copyto(self.x2[:a], np.where(hit, mid, first + step * size - ONE))
+        np.copyto(self.x1[:a], first, where=~hit)
+
+    def cut(self, at: np.ndarray) -> None:
+        """Cut intervals that straddle a multiple of 2**48 to their longer part."""
+        x1, x2 = self.x1[at], self.x2[at]
+        seam = x2 >> W48 << W48
+        lower = seam - x1 > x2 - seam
+        self.x2[at[lower]] = seam[lower] - ONE
+        self.x1[at[~lower]] = seam[~lower]
 
     def short(self, a: int) -> np.ndarray:
         """Lanes to be shifted; their ends agree in the top 16 bits."""
-        at = np.flatnonzero(self.x2[:a] - self.x1[:a] < SHORT)
-        if len(at):
-            x1, x2 = self.x1[at], self.x2[at]
-            apart = (x1 ^ x2) >> W48 != 0
-            if apart.any():
-                seam = x2 >> W48 << W48
-                lower = apart & (seam - x1 > x2 - seam)
-                self.x2[at[lower]] = seam[lower] - ONE
-                upper = apart & ~lower
-                self.x1[at[upper]] = seam[upper]
-        return at
+        return np.flatnonzero(self.leaving(a))
+
+    def leaving(self, a: int) -> np.ndarray:
+        x1, x2 = self.x1[:a], self.x2[:a]
+        short = x2 - x1 < SHORT
+        apart = short & ((x1 ^ x2) >> W48 != 0)
+        if apart.any():
+            self.cut(np.flatnonzero(apart))
+        return short
 
     def shift(self, at: np.ndarray) -> None:
         self.x1[at] <<= W16
         self.x2[at] = self.x2[at] << W16 | LOW
 
-    def count(self, at: np.ndarray, hi: np.ndarray, place: np.ndarray) -> None:
-        self.hi[at, hi] += 1
-        self.lo[at, place] += 1
+    def shift_some(self, some: np.ndarray, by: np.ndarray) -> None:
+        """``shift`` of the lanes where ``some`` is 1 and ``by`` 16; the others have 0 in both."""
+        a = len(some)
+        self.x1[:a] <<= by
+        x2 = self.x2[:a]
+        x2 <<= by
+        x2 |= some * LOW
+
+
+def frequencies(counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """Bits of the sum, and frequencies of at least 1 with that sum, for the counts of a block's distinct ids."""
+    bits = max(LEAST_BITS, (len(counts) - 1).bit_length() + MORE_BITS)
+    freq = 1 + counts * ((1 << bits) - len(counts)) // counts.sum()
+    freq[counts.argmax()] += (1 << bits) - freq.sum()
+    return bits, freq
+
+
+def pack_frequencies(symbols: np.ndarray, freq: np.ndarray) -> bytes:
+    """Gaps of the ids and frequencies less 1, as two planes of low bytes and what is above them."""
+    values = np.concatenate([np.diff(symbols, prepend=-1) - 1, freq - 1]).astype("<u4")
+    return zlib.compress((values & 255).astype(np.uint8).tobytes() + (values >> 8).astype("<u2").tobytes(), 1)
+
+
+def unpack_frequencies(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    n = len(raw) // 3
+    values = np.frombuffer(raw[:n], np.uint8) + (np.frombuffer(raw[n:], "<u2").astype(np.int64) << 8)
+    return np.cumsum(values[: n // 2] + 1) - 1, values[n // 2 :] + 1
 
 
 def _steps(sizes: np.ndarray):
@@ -154,56 +177,69 @@ def _steps(sizes: np.ndarray):
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of unsigned 32-bit ids as bytes: header with counts and CRC-32, then code."""
+    """Each block of unsigned 32-bit ids as bytes: header with counts and CRC-32, then code and frequencies."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
     n = len(order)
     longest = int(sizes[0]) if n else 0
-    ids_at = np.zeros((longest, n), np.int32)
+    # id, place and frequency of each position: 16, 20 and 20 bits
+    plan = np.zeros((longest, n), np.uint64)
+    bits, tables = np.zeros(n, np.uint64), []
+    of = np.zeros(1 << 16, np.uint64)
+    some = np.zeros((min(TURNED, n), longest), np.uint64)
     for k, i in enumerate(order):
-        ids_at[: sizes[k], k] = blocks[i] & 0xFFFF
+        if k and k % TURNED == 0:
+            plan[:, k - TURNED : k] = some.T
+        own = (blocks[i] & 0xFFFF).astype(np.int64)
+        counts = np.bincount(own)
+        symbols = np.flatnonzero(counts > 0)
+        if not len(symbols):
+            tables.append(b"")
+            continue
+        bits[k], freq = frequencies(counts[symbols])
+        of[symbols] = symbols.astype(np.uint64) | (np.cumsum(freq) - freq).astype(np.uint64) << W16 | freq.astype(np.uint64) << np.uint64(36)
+        some[k % TURNED, : sizes[k]] = of[own]
+        tables.append(pack_frequencies(symbols, freq))
+    if n:
+        plan[:, (n - 1) // TURNED * TURNED :] = some[: (n - 1) % TURNED + 1].T
     m = Lanes(n)
-    out = np.empty((n, 4 * longest + 8), np.uint16)
-    used = np.zeros(n, np.int64)
-
-    def emit(a: int) -> None:
-        while len(at := m.short(a)):
-            out[at, used[at]] = m.x1[at] >> W48
-            used[at] += 1
-            m.shift(at)
-
+    words: list[np.ndarray] = []
+    left: list[np.ndarray] = []
     p1, p2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    place = np.uint64((1 << 20) - 1)
     for t, a in _steps(sizes):
-        if t in REBUILD or t and t % EVERY == 0:
-            m.rebuild(a)
-        ids = ids_at[t, :a]
+        row = plan[t, :a]
+        ids = (row & LOW).astype(np.int32)
         guess, p, state = m.predict(a, p1[:a], p2[:a])
         hit = guess == ids
         mid = m.split(a, p)
-        m.choose(hit, mid)
-        emit(a)
-        at = np.flatnonzero(~hit)
-        if len(at):
-            hi, lo = ids[at] >> 8, ids[at] & 255
-            m.narrow(at, m.cum_hi[at, hi], m.cum_hi[at, hi + 1])
-            emit(a)
-            row = (hi % CLASSES) * 257 + lo
-            m.narrow(at, m.cum_lo[at, row], m.cum_lo[at, row + 1])
-            emit(a)
-            m.count(at, hi, (hi % CLASSES) * 256 + lo)
+        m.narrow(hit, mid, (m.x2[:a] - mid - ONE) >> bits[:a], row >> W16 & place, row >> np.uint64(36))
+        while (leaving := m.leaving(a)).any():
+            words.append((m.x1[:a] >> W48).astype(np.uint16))
+            left.append(leaving)
+            some = leaving.astype(np.uint64)
+            m.shift_some(some, some << np.uint64(4))
         m.update(state, ids, hit, p)
         p2[:a] = p1[:a]
         p1[:a] = ids
-    for k in range(4):
-        out[np.arange(n), used + k] = (m.x1 >> np.uint64(48 - 16 * k)) & LOW
+    out = np.zeros((n, len(words)), np.uint16)
+    gone = np.zeros((n, len(words)), bool)
+    for k in range(0, len(words), TURNED):
+        for source, target in ((words, out), (left, gone)):
+            part = np.zeros((min(TURNED, len(words) - k), n), target.dtype)
+            for row, own in zip(part, source[k : k + TURNED], strict=True):
+                row[: len(own)] = own
+            target[:, k : k + len(part)] = part.T
+    last = np.stack([(m.x1 >> np.uint64(48 - 16 * k)) & LOW for k in range(4)], axis=1).astype("<u2") if n else None
     done: list[bytes] = [b""] * n
     for k, i in enumerate(order):
-        code = out[k, : used[k] + 4].astype("<u2").tobytes()
+        code = out[k][gone[k]].astype("<u2").tobytes() + last[k].tobytes()
         raw = blocks[i].astype("<u4")
         high = (raw >> 16).astype("<u2")
         high = zlib.compress(high.tobytes()) if high.any() else b""
-        head = HEADER.pack(MAGIC, VERSION, len(raw), zlib.crc32(raw.tobytes()), len(code), len(high), 0)[:-4]
-        done[i] = head + struct.pack("<I", zlib.crc32(code + high, zlib.crc32(head))) + code + high
+        head = HEADER.pack(MAGIC, VERSION, len(raw), zlib.crc32(raw.tobytes()), len(code), len(tables[k]), len(high), 0)[:-4]
+        body = code + tables[k] + high
+        done[i] = head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
     return done
 
 
@@ -213,68 +249,65 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     for d in data:
         if len(d) < HEADER.size:
             raise ValueError("a block is cut short")
-        magic, version, size, crc, length, more, body_crc = HEADER.unpack_from(d)
+        magic, version, size, crc, length, table, more, body_crc = HEADER.unpack_from(d)
         body = d[HEADER.size :]
-        if magic != MAGIC or version != VERSION or len(body) != length + more or zlib.crc32(body, zlib.crc32(d[: HEADER.size - 4])) != body_crc:
+        if magic != MAGIC or version != VERSION or len(body) != length + table + more or zlib.crc32(body, zlib.crc32(d[: HEADER.size - 4])) != body_crc:
             raise ValueError("a block is damaged")
-        heads.append((size, crc, body[:length], body[length:]))
+        heads.append((size, crc, body[:length], body[length : length + table], body[length + table :]))
     order = sorted(range(len(data)), key=lambda i: -heads[i][0])
     sizes = np.array([heads[i][0] for i in order], np.int64)
     n = len(order)
     longest = int(sizes[0]) if n else 0
+    bits, slots, symbols, ends = np.zeros(n, np.uint64), [], [], []
     words = np.zeros((n, max([0, *(len(h[2]) // 2 for h in heads)]) + 4), np.uint16)
     for k, i in enumerate(order):
         words[k, : len(heads[i][2]) // 2] = np.frombuffer(heads[i][2], "<u2")
+        own, freq = unpack_frequencies(heads[i][3]) if sizes[k] else (np.zeros(1, np.int64), np.ones(1, np.int64))
+        upto = np.cumsum(freq)
+        bits[k] = int(upto[-1]).bit_length() - 1
+        slots.append(np.repeat(np.arange(len(own), dtype=np.uint16), freq))
+        symbols.append(own | (upto - freq) << 16 | freq << 36)
+    # of each place, the number of its id in the block; of that, the id, its first place and its frequency
+    sums = np.array([len(x) for x in slots], np.uint64)
+    slot, slot_base = np.concatenate([*slots, np.zeros(0, np.uint16)]), np.cumsum(sums) - sums
+    known = np.concatenate([*symbols, np.zeros(0, np.int64)]).view(np.uint64)
+    known_base = np.cumsum([0, *(len(x) for x in symbols)])[:-1]
     m = Lanes(n)
     code = np.zeros(n, np.uint64)
     for k in range(4):
         code = code << W16 | words[:, k].astype(np.uint64)
-    read = np.full(n, 4, np.int64)
-
-    def fetch(a: int) -> None:
-        while len(at := m.short(a)):
-            code[at] = code[at] << W16 | words[at, read[at]].astype(np.uint64)
-            read[at] += 1
-            m.shift(at)
-
-    def symbol(at: np.ndarray, cum: np.ndarray, base: np.ndarray) -> np.ndarray:
-        step = (m.x2[at] - m.x1[at]) >> W16
-        place = np.minimum((code[at] - m.x1[at]) // step, LOW).astype(np.uint32)
-        flat, row = cum.reshape(-1), at * cum.shape[1] + base
-        s = np.zeros(len(at), np.int64)
-        for half in (128, 64, 32, 16, 8, 4, 2, 1):
-            s += half * (flat[row + s + half] <= place)
-        m.narrow(at, flat[row + s], flat[row + s + 1])
-        return s
-
-    ids_at = np.zeros((longest, n), np.int32)
+    flat, read = words.reshape(-1), np.arange(n) * words.shape[1] + 4
+    ids_at = np.zeros((longest, n), np.uint16)
     p1, p2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    place = np.uint64((1 << 20) - 1)
+    last = sums - ONE
     for t, a in _steps(sizes):
-        if t in REBUILD or t and t % EVERY == 0:
-            m.rebuild(a)
         guess, p, state = m.predict(a, p1[:a], p2[:a])
         mid = m.split(a, p)
         hit = code[:a] <= mid
-        m.choose(hit, mid)
-        fetch(a)
-        ids = ids_at[t, :a]
-        ids[:] = guess
-        at = np.flatnonzero(~hit)
-        if len(at):
-            hi = symbol(at, m.cum_hi, np.zeros(len(at), np.int64))
-            fetch(a)
-            lo = symbol(at, m.cum_lo, (hi % CLASSES) * 257)
-            fetch(a)
-            ids[at] = hi << 8 | lo
-            m.count(at, hi, (hi % CLASSES) * 256 + lo)
+        step = (m.x2[:a] - mid - ONE) >> bits[:a]
+        at = np.minimum((code[:a] - mid - ONE) // step, last[:a])
+        at += slot_base[:a]
+        row = known.take(known_base[:a] + slot.take(at.view(np.int64)))
+        m.narrow(hit, mid, step, row >> W16 & place, row >> np.uint64(36))
+        ids = np.where(hit, guess, (row & LOW).astype(np.int32))
+        while (leaving := m.leaving(a)).any():
+            some = leaving.astype(np.uint64)
+            by = some << np.uint64(4)
+            code[:a] <<= by
+            # a lane that has read all its words has none leaving
+            code[:a] |= flat.take(read[:a], mode="clip") * some
+            read[:a] += leaving
+            m.shift_some(some, by)
         m.update(state, ids, hit, p)
+        ids_at[t, :a] = ids
         p2[:a] = p1[:a]
         p1[:a] = ids
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for k, i in enumerate(order):
         out[i] = ids_at[: sizes[k], k].astype(np.uint32)
-        if heads[i][3]:
-            out[i] |= np.frombuffer(zlib.decompress(heads[i][3]), "<u2").astype(np.uint32) << 16
+        if heads[i][4]:
+            out[i] |= np.frombuffer(zlib.decompress(heads[i][4]), "<u2").astype(np.uint32) << 16
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][1]:
             raise ValueError("a block decodes to other ids")
     return out
