@@ -19,6 +19,7 @@ import json
 import os
 import unicodedata
 import zlib
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import regex
@@ -87,9 +88,14 @@ class Encoder:
         split = [(low if t.isascii() and not self._special(low := t.lower()) else t).split() for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        new = self._learn(set().union(*split))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in split]
+        flat = list(chain.from_iterable(split))
+        parts = list(map(self.cache.get, flat))
+        holes = [i for i, p in enumerate(parts) if p is None]
+        new = self._learn(list({flat[i] for i in holes}))
+        for i in holes:
+            parts[i] = self.cache[flat[i]]
+        ends = [0, *accumulate(map(len, split))]
+        out = [b"".join(parts[i:j]) for i, j in pairwise(ends)]
         for c in new:
             if len(c) > CACHED_BYTES:
                 del self.cache[c]
@@ -98,9 +104,8 @@ class Encoder:
     def _special(self, text: bytes) -> bool:
         return any(s in text for s in self.special)
 
-    def _learn(self, chunks: set[bytes]) -> list[bytes]:
-        """Ids of the chunks that the cache does not hold, which are returned; plain ones are encoded together."""
-        new = list(chunks.difference(self.cache))
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Put the ids of distinct chunks into the cache; plain ones are encoded together."""
         if not new:
             return new
         plain, text = new, self._joined(new)

@@ -67,21 +67,23 @@ class Lanes:
     def predict(self, a: int, p1: np.ndarray, p2: np.ndarray):
         at1 = self.base1[:a] + ((p1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS1))
         at2 = self.base2[:a] + ((p1 * np.uint32(0x85EBCA6B) + p2 * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS2))
-        e1, e2 = self.t1.take(at1), self.t2.take(at2)
+        e1, e2 = self.t1.take(at1, mode="clip"), self.t2.take(at2, mode="clip")
         c1, c2 = e1 & 7, e2 & 7
         # an empty entry predicts id 0, without confidence
-        guess = np.where(c2 > 0, e2, e1) >> 3
+        guess = e2.copy()
+        np.copyto(guess, e1, where=c2 == 0)
+        guess >>= 3
         same = e1 >> 3 == guess
         places = (self.base[0][:a] + (c2 << 4 | c1 << 1 | same), self.base[1][:a] + c1)
-        found = [self.by[0].take(places[0]), self.by[1].take(places[1]), self.by[2][:a].copy()]
-        st = [STRETCH.take(f >> 4) for f in found]
+        found = [self.by[0].take(places[0], mode="clip"), self.by[1].take(places[1], mode="clip"), self.by[2][:a].copy()]
+        st = [STRETCH.take(f >> 4, mode="clip") for f in found]
         dot = self.weights[0][:a] * st[0]
         dot += self.weights[1][:a] * st[1]
         dot += self.weights[2][:a] * st[2]
         dot >>= 16
         np.minimum(np.maximum(dot, -2047, out=dot), 2047, out=dot)
         dot += 2047
-        return guess, SQUASH.take(dot), (at1, at2, e1, e2, c1, c2, places, found, st)
+        return guess, SQUASH.take(dot, mode="clip"), (at1, at2, e1, e2, c1, c2, places, found, st)
 
     def update(self, state, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
         at1, at2, e1, e2, c1, c2, places, found, st = state
@@ -103,8 +105,10 @@ class Lanes:
         fresh = ids << 3 | 1
         for t, k, e, conf in ((self.t1, at1, e1, c1), (self.t2, at2, e2, c2)):
             # right: more sure, up to 7; wrong: half as sure, and replaced when that is nothing
-            wrong = np.where(conf > 1, e - ((conf + 1) >> 1), fresh)
-            t[k] = np.where(e >> 3 == ids, e + (conf < 7), wrong)
+            now = e - ((conf + 1) >> 1)
+            np.copyto(now, fresh, where=conf < 2)
+            np.copyto(now, e + (conf < 7), where=e >> 3 == ids)
+            t[k] = now
 
     def split(self, a: int, p: np.ndarray) -> np.ndarray:
         return self.x1[:a] + ((self.x2[:a] - self.x1[:a]) >> np.uint64(12)) * p.astype(np.uint64)
@@ -113,7 +117,9 @@ class Lanes:
         """To the lower part up to ``mid`` where the prediction was right, else to the id's place in the upper one."""
         a = len(hit)
         first = mid + ONE + step * low
-        np.copyto(self.x2[:a], np.where(hit, mid, first + step * size - ONE))
+        x2 = self.x2[:a]
+        np.add(first, step * size - ONE, out=x2)
+        np.copyto(x2, mid, where=hit)
         np.copyto(self.x1[:a], first, where=~hit)
 
     def cut(self, at: np.ndarray) -> None:
@@ -131,6 +137,8 @@ class Lanes:
     def leaving(self, a: int) -> np.ndarray:
         x1, x2 = self.x1[:a], self.x2[:a]
         short = x2 - x1 < SHORT
+        if not short.any():
+            return short
         apart = short & ((x1 ^ x2) >> W48 != 0)
         if apart.any():
             self.cut(np.flatnonzero(apart))
@@ -159,7 +167,11 @@ def frequencies(counts: np.ndarray) -> tuple[int, np.ndarray]:
 
 def pack_frequencies(symbols: np.ndarray, freq: np.ndarray) -> bytes:
     """Gaps of the ids and frequencies less 1, as two planes of low bytes and what is above them."""
-    values = np.concatenate([np.diff(symbols, prepend=-1) - 1, freq - 1]).astype("<u4")
+    n = len(symbols)
+    values = np.empty(2 * n, np.int64)
+    values[0] = symbols[0]
+    np.subtract(symbols[1:], symbols[:-1] + 1, out=values[1:n])
+    np.subtract(freq, 1, out=values[n:])
     return zlib.compress((values & 255).astype(np.uint8).tobytes() + (values >> 8).astype("<u2").tobytes(), 1)
 
 
@@ -288,9 +300,10 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
         step = (m.x2[:a] - mid - ONE) >> bits[:a]
         at = np.minimum((code[:a] - mid - ONE) // step, last[:a])
         at += slot_base[:a]
-        row = known.take(known_base[:a] + slot.take(at.view(np.int64)))
+        row = known.take(known_base[:a] + slot.take(at.view(np.int64), mode="clip"), mode="clip")
         m.narrow(hit, mid, step, row >> W16 & place, row >> np.uint64(36))
-        ids = np.where(hit, guess, (row & LOW).astype(np.int32))
+        ids = (row & LOW).astype(np.int32)
+        np.copyto(ids, guess, where=hit)
         while (leaving := m.leaving(a)).any():
             some = leaving.astype(np.uint64)
             by = some << np.uint64(4)
