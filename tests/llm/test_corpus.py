@@ -679,3 +679,30 @@ def test_coder_stores_the_frequencies_of_a_block():
     # learning the frequencies as coding goes took 4,644 bytes
     assert len(coded[0]) < 4200
     assert all(np.array_equal(a, b) for a, b in zip([skewed, whole], rangecoder.decode_blocks(coded), strict=True))
+
+
+def test_chunks_are_looked_up_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            self.looked += 1
+            return super().get(key, default)
+
+    class Pattern:
+        def __init__(self, pattern):
+            self.pattern, self.cut = pattern, []
+
+        def findall(self, text):
+            self.cut += text.split("\n")
+            return self.pattern.findall(text)
+
+    texts = ["Word élan two's 1999 word\x1c " * 50, "", " \x0b two word\tword 中文 ", "word"] * 3
+    want = [np.array(x, "<u4").tobytes() for x in reference("word_bpe_49k.json", texts)]
+    enc = encode.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    enc.cache, enc.pattern = Counted(), Pattern(enc.pattern)
+    assert enc.encode([t.encode() for t in texts]) == want
+    distinct = {c for t in texts for c in t.encode().split()}
+    # each chunk occurs many times; one of letters alone is not cut
+    assert enc.cache.looked <= 3 * len(distinct) + 1
+    assert enc.pattern.cut and not any(map(str.isalpha, enc.pattern.cut))

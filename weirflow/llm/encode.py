@@ -19,9 +19,12 @@ import json
 import os
 import unicodedata
 import zlib
-from itertools import accumulate, chain, pairwise
+from itertools import compress, pairwise
+from operator import not_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .tokens import CACHED_BYTES, WordBpe, byte_symbols, certain
@@ -85,17 +88,27 @@ class Encoder:
         if self.fast is None or self.words is None:
             return [self._one(t) for t in texts]
         # ASCII texts in lower case, where that makes no special token: fewer chunks differ
-        split = [(low if t.isascii() and not self._special(low := t.lower()) else t).split() for t in texts]
+        low = [low if t.isascii() and not self._special(low := t.lower()) else t for t in texts]
+        split = pc.ascii_split_whitespace(pa.array(low, pa.binary()).view(pa.string()))
+        flat = split.flatten().dictionary_encode()
+        chunks = flat.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        flat = list(chain.from_iterable(split))
-        parts = list(map(self.cache.get, flat))
+        parts = list(map(self.cache.get, chunks))
         holes = [i for i, p in enumerate(parts) if p is None]
-        new = self._learn(list({flat[i] for i in holes}))
+        new = self._learn([chunks[i] for i in holes])
         for i in holes:
-            parts[i] = self.cache[flat[i]]
-        ends = [0, *accumulate(map(len, split))]
-        out = [b"".join(parts[i:j]) for i, j in pairwise(ends)]
+            parts[i] = self.cache[chunks[i]]
+        # the ids of distinct chunks lie in one array, from which those of all chunks are taken at once
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts, at = np.cumsum(sizes) - sizes, flat.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        places = np.repeat(starts[at] - ends + n, n)
+        places += np.arange(len(places))
+        ids = np.frombuffer(b"".join(parts), "<u4")[places].tobytes()
+        bounds = 4 * np.r_[0, ends][split.offsets.to_numpy()]
+        out = [ids[i:j] for i, j in pairwise(bounds.tolist())]
         for c in new:
             if len(c) > CACHED_BYTES:
                 del self.cache[c]
@@ -118,7 +131,17 @@ class Encoder:
             # one character at a time: a final sigma stays as any other
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         if plain:
-            ids = self.fast.encode_to_numpy(WORD_END.join(self.pattern.findall(text.lower())) + WORD_END).astype("<u4", copy=False)
+            chunks = text.lower().split(CHUNK_END)[:-1]
+            # a chunk of letters alone is one pre-token; the others are cut
+            lone = list(map(str.isalpha, chunks))
+            rest = list(map(not_, lone))
+            plain = [*compress(plain, lone), *compress(plain, rest)]
+            words = list(compress(chunks, lone))
+            gap = WORD_END + CHUNK_END + WORD_END
+            text = gap.join([*words, ""])
+            if len(words) < len(chunks):
+                text += WORD_END.join(self.pattern.findall(CHUNK_END.join([*compress(chunks, rest), ""]))) + WORD_END
+            ids = self.fast.encode_to_numpy(text).astype("<u4", copy=False)
             ends = np.flatnonzero(ids == self.mark)
             raw = ids.tobytes()
             starts = [0, *((ends[:-1] + 1) * 4).tolist()]

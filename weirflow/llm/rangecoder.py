@@ -202,13 +202,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for k, i in enumerate(order):
         if k and k % TURNED == 0:
             plan[:, k - TURNED : k] = some.T
-        own = (blocks[i] & 0xFFFF).astype(np.int64)
-        counts = np.bincount(own)
-        symbols = np.flatnonzero(counts > 0)
-        if not len(symbols):
+        own = blocks[i].astype(np.uint16)
+        if not len(own):
             tables.append(b"")
             continue
-        bits[k], freq = frequencies(counts[symbols])
+        ascending = np.sort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1]])
+        symbols = ascending[first].astype(np.int64)
+        bits[k], freq = frequencies(np.diff(np.r_[first, len(own)]))
         of[symbols] = symbols.astype(np.uint64) | (np.cumsum(freq) - freq).astype(np.uint64) << W16 | freq.astype(np.uint64) << np.uint64(36)
         some[k % TURNED, : sizes[k]] = of[own]
         tables.append(pack_frequencies(symbols, freq))
@@ -318,7 +319,9 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
         p1[:a] = ids
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for k, i in enumerate(order):
-        out[i] = ids_at[: sizes[k], k].astype(np.uint32)
+        if k % TURNED == 0:
+            turned = ids_at[:, k : k + TURNED].T.astype(np.uint32, order="C")
+        out[i] = turned[k % TURNED, : sizes[k]].copy()
         if heads[i][4]:
             out[i] |= np.frombuffer(zlib.decompress(heads[i][4]), "<u2").astype(np.uint32) << 16
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][1]:

@@ -105,7 +105,7 @@ def write_tokens(
                 ["part", "block", "n_ids", "data"],
             )
 
-        for b in slices(batches, 256):
+        for b in slices(batches, 4096):
             ids = b.column(0).to_pylist()
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             for doc_id, own in zip(ids, enc.encode(texts), strict=True):
