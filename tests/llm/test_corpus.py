@@ -706,3 +706,37 @@ def test_chunks_are_looked_up_once():
     # each chunk occurs many times; one of letters alone is not cut
     assert enc.cache.looked <= 3 * len(distinct) + 1
     assert enc.pattern.cut and not any(map(str.isalpha, enc.pattern.cut))
+
+
+def test_coder_numbers_the_ids_of_a_block():
+    cycle = np.tile(np.random.default_rng(5).permutation(60000)[:1000].astype(np.uint32), 8)
+    # a symbol has a context of its own, and entries are narrow unless a block has many symbols
+    lanes = rangecoder.Lanes(2)
+    for n, size in ((4096, 2), (4097, 4)):
+        lanes.hold(n)
+        assert lanes.table.itemsize == size
+    symbols = np.arange(2, dtype=np.int64)
+    at = {int(lanes.predict(2, symbols + 2 * i, symbols)[2][0][0, 0]) for i in range(500)}
+    assert len(at) == 500
+    # entries of 16 bits and of 32, by the block with most distinct ids
+    for n in (1, 4096, 4097):
+        blocks = [np.tile(np.arange(n, dtype=np.uint32) * 11, 3), cycle[:50]]
+        coded = rangecoder.encode_blocks(blocks)
+        assert all(np.array_equal(a, b) for a, b in zip(blocks, rangecoder.decode_blocks(coded), strict=True))
+        # the same block alone has narrower entries, but the same code
+        assert rangecoder.encode_blocks(blocks[1:]) == coded[1:]
+
+
+def test_ids_of_chunks_lie_in_one_array(monkeypatch):
+    texts = ["one two two's <|endoftext|> three", "", "three élan ͸ two " + "w" * 300, "H̱ two"]
+    want = [np.array(x, "<u4").tobytes() for x in reference("word_bpe_49k.json", texts)]
+    enc = encode.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert enc.encode([t.encode() for t in texts]) == want and enc.encode([]) == [] and enc.encode([b" ", b""]) == [b"", b""]
+    for chunk, number in enc.cache.items():
+        start, end = enc.ends[number : number + 2].tolist()
+        assert enc.ids[start // 4 : end // 4].tolist() == reference("word_bpe_49k.json", [chunk.decode()])[0]
+    # neither chunks nor ids are kept without bound
+    monkeypatch.setattr(encode, "CACHE_IDS", 5)
+    for _ in range(3):
+        assert [enc.encode([t.encode()])[0] for t in texts] == want
+    assert enc.ends[enc.count] < 4 * 400

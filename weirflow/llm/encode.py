@@ -19,8 +19,7 @@ import json
 import os
 import unicodedata
 import zlib
-from itertools import compress, pairwise
-from operator import not_
+from itertools import compress, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,8 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_END = "\0"
 #: Ends a chunk of a text cut at ASCII white space, where chunks are encoded together.
 CHUNK_END = "\n"
-#: Chunks whose ids a worker keeps, some 170 bytes each; all are dropped when there are more.
-CACHE_ENTRIES = 700_000
+#: Chunks whose ids a worker keeps, some 150 bytes each, and their ids, 4 bytes each; all are dropped when there are more of either.
+CACHE_ENTRIES, CACHE_IDS = 1_200_000, 8_000_000
 
 
 class Encoder:
@@ -61,7 +60,9 @@ class Encoder:
                 self.pattern = regex.compile(self.words.pattern.pattern + "|" + CHUNK_END)
                 # no chunk holds the character, so its id ends one
                 self.mark = model["vocab"][byte_symbols()[ord(CHUNK_END)] + model["end_of_word_suffix"]]
-                self.cache: dict[bytes, bytes] = {}
+                # number of each chunk; its ids lie in one array with those of all others
+                self.cache: dict[bytes, int] = {}
+                self._forget()
         elif pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             self.fast = self._tables(model, BYTE_LEVEL)
 
@@ -91,24 +92,22 @@ class Encoder:
         low = [low if t.isascii() and not self._special(low := t.lower()) else t for t in texts]
         split = pc.ascii_split_whitespace(pa.array(low, pa.binary()).view(pa.string()))
         flat = split.flatten().dictionary_encode()
+        if not len(flat):
+            return [b""] * len(texts)
         chunks = flat.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        if len(self.cache) > CACHE_ENTRIES:
+        if len(self.cache) > CACHE_ENTRIES or self.ends[self.count] > 4 * CACHE_IDS:
             self.cache.clear()
-        parts = list(map(self.cache.get, chunks))
-        holes = [i for i, p in enumerate(parts) if p is None]
-        new = self._learn([chunks[i] for i in holes])
-        for i in holes:
-            parts[i] = self.cache[chunks[i]]
-        # the ids of distinct chunks lie in one array, from which those of all chunks are taken at once
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts, at = np.cumsum(sizes) - sizes, flat.indices.to_numpy()
-        n = sizes[at]
-        ends = np.cumsum(n)
-        places = np.repeat(starts[at] - ends + n, n)
-        places += np.arange(len(places))
-        ids = np.frombuffer(b"".join(parts), "<u4")[places].tobytes()
-        bounds = 4 * np.r_[0, ends][split.offsets.to_numpy()]
-        out = [ids[i:j] for i, j in pairwise(bounds.tolist())]
+            self._forget()
+        numbers = np.fromiter(map(self.cache.get, chunks, repeat(-1)), np.int64, len(chunks))
+        holes = np.flatnonzero(numbers < 0)
+        new = [chunks[i] for i in holes.tolist()]
+        numbers[holes] = self._learn(new)
+        # the ids of all chunks are taken at once
+        held = pa.Array.from_buffers(pa.large_binary(), self.count, [None, pa.py_buffer(self.ends), pa.py_buffer(self.ids)])
+        _, ends, ids = held.take(pa.array(numbers[flat.indices.to_numpy()])).buffers()
+        bounds = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()]
+        ids = memoryview(ids) if ids else b""
+        out = [bytes(ids[i:j]) for i, j in pairwise(bounds.tolist())]
         for c in new:
             if len(c) > CACHED_BYTES:
                 del self.cache[c]
@@ -117,15 +116,36 @@ class Encoder:
     def _special(self, text: bytes) -> bool:
         return any(s in text for s in self.special)
 
-    def _learn(self, new: list[bytes]) -> list[bytes]:
-        """Put the ids of distinct chunks into the cache; plain ones are encoded together."""
+    def _forget(self) -> None:
+        self.ids, self.ends, self.count = np.zeros(1 << 12, "<u4"), np.zeros(1 << 10, np.int64), 0
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Append the ids of chunks of these sizes; their numbers. Ends are those in bytes."""
+        first, at = self.count, int(self.ends[self.count]) // 4
+        self.count += len(sizes)
+        for name, need in (("ids", at + len(ids)), ("ends", self.count + 1)):
+            held = getattr(self, name)
+            if need > len(held):
+                grown = np.zeros(max(need, 2 * len(held)), held.dtype)
+                grown[: len(held)] = held
+                setattr(self, name, grown)
+        self.ids[at : at + len(ids)] = ids
+        self.ends[first + 1 : self.count + 1] = 4 * (at + np.cumsum(sizes))
+        return np.arange(first, self.count)
+
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Put distinct chunks into the cache; plain ones are encoded together. Their numbers."""
+        numbers = np.zeros(len(new), np.int64)
         if not new:
-            return new
-        plain, text = new, self._joined(new)
+            return numbers
+        plain, text, where = new, self._joined(new), np.arange(len(new))
         if self._special(text.encode()) or not certain(text):
-            plain = [c for c in new if not self._special(c) and certain(c.decode())]
-            for c in set(new).difference(plain):
-                self.cache[c] = self._by_library(c.decode())
+            odd = np.array([self._special(c) or not certain(c.decode()) for c in new])
+            for i in np.flatnonzero(odd).tolist():
+                own = np.frombuffer(self._by_library(new[i].decode()), "<u4")
+                numbers[i] = self._keep(own, np.array([len(own)]))[0]
+            where = np.flatnonzero(~odd)
+            plain = [new[i] for i in where.tolist()]
             text = self._joined(plain)
         if not text.isascii():
             # one character at a time: a final sigma stays as any other
@@ -133,20 +153,18 @@ class Encoder:
         if plain:
             chunks = text.lower().split(CHUNK_END)[:-1]
             # a chunk of letters alone is one pre-token; the others are cut
-            lone = list(map(str.isalpha, chunks))
-            rest = list(map(not_, lone))
-            plain = [*compress(plain, lone), *compress(plain, rest)]
-            words = list(compress(chunks, lone))
+            lone = np.fromiter(map(str.isalpha, chunks), bool, len(chunks))
+            words = list(compress(chunks, lone.tolist()))
             gap = WORD_END + CHUNK_END + WORD_END
             text = gap.join([*words, ""])
             if len(words) < len(chunks):
-                text += WORD_END.join(self.pattern.findall(CHUNK_END.join([*compress(chunks, rest), ""]))) + WORD_END
+                text += WORD_END.join(self.pattern.findall(CHUNK_END.join([*compress(chunks, (~lone).tolist()), ""]))) + WORD_END
             ids = self.fast.encode_to_numpy(text).astype("<u4", copy=False)
             ends = np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            starts = [0, *((ends[:-1] + 1) * 4).tolist()]
-            self.cache.update(zip(plain, [raw[i:j] for i, j in zip(starts, (ends * 4).tolist(), strict=True)], strict=True))
-        return new
+            sizes = np.diff(ends, prepend=-1) - 1
+            numbers[np.concatenate([where[lone], where[~lone]])] = self._keep(ids[ids != self.mark], sizes)
+        self.cache.update(zip(new, numbers.tolist(), strict=True))
+        return numbers
 
     @staticmethod
     def _joined(chunks: list[bytes]) -> str:

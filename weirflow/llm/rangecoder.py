@@ -3,9 +3,10 @@
 Every block starts from the same fresh model, so blocks decode alone and a set of them
 runs in lockstep as numpy lanes. The model of a block:
 
-* order 2 and order 1: hashed contexts of the last two ids and of the last id each
-  remember the id that followed and a confidence. The order-2 id, or without one the
-  order-1 id, is the prediction;
+* ids are numbered within their block, in ascending order, and the model sees these symbols;
+* order 2 and order 1: contexts of the last two symbols (hashed) and of the last one (up to 1024 distinct
+  ids each has its own) remember the symbol that followed and a confidence. The order-2 symbol, or without
+  one the order-1 symbol, is the prediction;
 * whether it is right is a binary decision, whose probability a logistic mixer blends
   from three adaptive estimates: by both confidences, by the order-1 confidence alone,
   and without context. The weights are learned as coding goes;
@@ -28,12 +29,17 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 MAGIC = b"WFID"
-VERSION = 3
+VERSION = 4
 #: Magic, version, ids, CRC-32 of the ids, bytes of code, of frequencies and of high halves, CRC-32 of header and body.
 HEADER = struct.Struct("<4sBxxxIIIIII")
-BITS1, BITS2 = 10, 10
+#: Bits of a context's slot.
+BITS = 10
+SLOTS = (1 << BITS) - 1
+#: Packs frequencies; with zlib most of the time goes into its start.
+TABLES = pa.Codec("zstd", compression_level=1)
 #: Bits of the sum of a block's frequencies: at least, and beyond those of its number of distinct ids.
 LEAST_BITS, MORE_BITS = 10, 2
 #: Rows of a matrix that are turned into columns at once, for the cache.
@@ -41,86 +47,124 @@ TURNED = 64
 
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
 SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
-ONE, W16, W48 = np.uint64(1), np.uint64(16), np.uint64(48)
+ONE, W16, W32, W36, W48 = (np.uint64(x) for x in (1, 16, 32, 36, 48))
 LOW = np.uint64(0xFFFF)
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Length below which an interval is shifted; a decision and an id after it leave whole steps of it.
 SHORT = np.uint64(1 << 32)
-#: Bound of a mixing weight.
-LIMIT = 1 << 18
+#: Length below which an interval is still short after a shift, and the most by which ends differ that agree in the top 16 bits.
+STILL_SHORT, AGREE = np.uint64(1 << 16), np.uint64((1 << 48) - 1)
+#: Bound of a mixing weight after every eighth step; each of those between adds at most 2**13, so sums of products stay below 2**31.
+LIMIT = 3 << 16
+#: Change of an entry by its confidence, where its symbol was wrong (then below 2 it is replaced) and where it was right.
+CHANGE = np.array([*(-((c + 1) >> 1) for c in range(8)), *(int(c < 7) for c in range(8))], np.int32)
 
 
 class Lanes:
     """Models and coder states of the blocks, longest first. Tables are flat, a stretch for each lane."""
 
     def __init__(self, n: int):
-        self.t1 = np.zeros(n << BITS1, np.int32)
-        self.t2 = np.zeros(n << BITS2, np.int32)
-        self.by = [np.full(n * k, 1 << 14, np.int32) for k in (128, 8, 1)]
-        self.weights = [np.full(n, 26000, np.int32) for _ in range(3)]
+        lane = np.arange(n)
+        # rows of two: order 1 and order 2; of three: by both confidences, by that of order 1, without context
+        self.lanes = n
+        self.base = np.stack([lane << BITS, (n + lane) << BITS])
+        self.by = np.full(136 * n, 1 << 14, np.int32)
+        self.by_base = np.stack([128 * lane, 128 * n + 8 * lane])
+        self.free = np.full(n, 1 << 14, np.int32)
+        self.weights = np.full((3, n), 26000, np.int32)
+        self.steps = 0
         self.x1 = np.zeros(n, np.uint64)
         self.x2 = np.full(n, ALL, np.uint64)
-        lane = np.arange(n)
-        self.base1, self.base2 = lane << BITS1, lane << BITS2
-        self.base = [lane * k for k in (128, 8)]
+
+    def hold(self, distinct: int) -> None:
+        """Open the contexts, for blocks of at most that many distinct ids; narrow entries leave more of them in the cache."""
+        self.type = np.uint16 if distinct <= 1 << 12 else np.uint32
+        self.table = np.zeros(2 * self.lanes << BITS, self.type)
+        # an entry is a symbol and a confidence, marked where it is one of order 2, so that the greater of both is the prediction
+        self.mark = self.type(1 << 15 if self.type is np.uint16 else 1 << 19)
+        self.marks = np.array([[0], [self.mark]], self.type)
+        self.change = CHANGE.astype(self.type)
 
     def predict(self, a: int, p1: np.ndarray, p2: np.ndarray):
-        at1 = self.base1[:a] + ((p1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS1))
-        at2 = self.base2[:a] + ((p1 * np.uint32(0x85EBCA6B) + p2 * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS2))
-        e1, e2 = self.t1.take(at1, mode="clip"), self.t2.take(at2, mode="clip")
-        c1, c2 = e1 & 7, e2 & 7
-        # an empty entry predicts id 0, without confidence
-        guess = e2.copy()
-        np.copyto(guess, e1, where=c2 == 0)
+        """Guesses and their probabilities after the symbols ``p1`` and, before them, ``p2`` (64 bits)."""
+        at = np.empty((2, a), np.int64)
+        np.bitwise_and(p1, SLOTS, out=at[0])
+        order2 = at[1]
+        # symbols are small and dense, so a sum spreads them
+        np.multiply(p2, 421, out=order2)
+        order2 += p1
+        order2 &= SLOTS
+        at += self.base[:, :a]
+        e = self.table.take(at, mode="clip")
+        c = e & 7
+        # an empty entry is 0: it predicts symbol 0, without confidence
+        guess = np.maximum(e[0], e[1])
+        guess &= ~self.mark
+        context = c[1] << 4
+        context |= c[0] << 1
+        context |= (e[0] ^ guess) < 8
         guess >>= 3
-        same = e1 >> 3 == guess
-        places = (self.base[0][:a] + (c2 << 4 | c1 << 1 | same), self.base[1][:a] + c1)
-        found = [self.by[0].take(places[0], mode="clip"), self.by[1].take(places[1], mode="clip"), self.by[2][:a].copy()]
-        st = [STRETCH.take(f >> 4, mode="clip") for f in found]
-        dot = self.weights[0][:a] * st[0]
-        dot += self.weights[1][:a] * st[1]
-        dot += self.weights[2][:a] * st[2]
+        places = np.empty((2, a), np.int64)
+        np.add(self.by_base[0, :a], context, out=places[0])
+        np.add(self.by_base[1, :a], c[0], out=places[1])
+        found = np.empty((3, a), np.int32)
+        self.by.take(places, mode="clip", out=found[:2])
+        found[2] = self.free[:a]
+        st = STRETCH.take(found >> 4, mode="clip")
+        parts = self.weights[:, :a] * st
+        dot = parts[0]
+        dot += parts[1]
+        dot += parts[2]
         dot >>= 16
-        np.minimum(np.maximum(dot, -2047, out=dot), 2047, out=dot)
         dot += 2047
-        return guess, SQUASH.take(dot, mode="clip"), (at1, at2, e1, e2, c1, c2, places, found, st)
+        # beyond the ends of the table the mode takes its ends
+        return guess, SQUASH.take(dot, mode="clip"), (at, e, c, places, found, st)
 
-    def update(self, state, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
-        at1, at2, e1, e2, c1, c2, places, found, st = state
-        a = len(ids)
+    def update(self, state, symbols: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
+        at, e, c, places, found, st = state
+        a = len(symbols)
         right = hit.astype(np.int32)
-        error = (right << 12) - p
-        target = right * 65535
-        for k, (w, x, f) in enumerate(zip(self.weights, st, found, strict=True)):
-            x *= error
-            x += 512
-            x >>= 10
-            x += w[:a]
-            np.minimum(np.maximum(x, -LIMIT, out=x), LIMIT, out=w[:a])
-            f += (target - f) >> 5
-            if k < 2:
-                self.by[k][places[k]] = f
-            else:
-                self.by[k][:a] = f
-        fresh = ids << 3 | 1
-        for t, k, e, conf in ((self.t1, at1, e1, c1), (self.t2, at2, e2, c2)):
-            # right: more sure, up to 7; wrong: half as sure, and replaced when that is nothing
-            now = e - ((conf + 1) >> 1)
-            np.copyto(now, fresh, where=conf < 2)
-            np.copyto(now, e + (conf < 7), where=e >> 3 == ids)
-            t[k] = now
+        st *= (right << 12) - p
+        st += 512
+        st >>= 10
+        w = self.weights[:, :a]
+        w += st
+        self.steps += 1
+        if not self.steps & 7:
+            np.minimum(np.maximum(w, -LIMIT, out=w), LIMIT, out=w)
+        right *= 65535
+        change = right - found
+        change >>= 5
+        change += found
+        self.by[places] = change[:2]
+        self.free[:a] = change[2]
+        # right: more sure, up to 7; wrong: half as sure, and replaced when that is nothing
+        fresh = self.marks + (symbols << 3)
+        key = ((e ^ fresh) < 8).astype(self.type)
+        key <<= 3
+        key |= c
+        now = self.change.take(key, mode="clip")
+        now += e
+        fresh |= 1
+        self.table[at] = np.where(key < 2, fresh, now)
 
     def split(self, a: int, p: np.ndarray) -> np.ndarray:
-        return self.x1[:a] + ((self.x2[:a] - self.x1[:a]) >> np.uint64(12)) * p.astype(np.uint64)
-
-    def narrow(self, hit: np.ndarray, mid: np.ndarray, step: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
-        """To the lower part up to ``mid`` where the prediction was right, else to the id's place in the upper one."""
+        mid = self.x2[:a] - self.x1[:a]
+        mid >>= np.uint64(12)
+        mid *= p.astype(np.uint64)
+        mid += self.x1[:a]
+        return mid
+
+    def narrow(self, hit: np.ndarray, mid: np.ndarray, step: np.ndarray, low: np.ndarray, upto: np.ndarray) -> None:
+        """To the lower part up to ``mid`` where the prediction was right, else to the symbol's places in the upper one."""
         a = len(hit)
-        first = mid + ONE + step * low
-        x2 = self.x2[:a]
-        np.add(first, step * size - ONE, out=x2)
-        np.copyto(x2, mid, where=hit)
-        np.copyto(self.x1[:a], first, where=~hit)
+        upto *= step
+        upto += mid
+        self.x2[:a] = np.where(hit, mid, upto)
+        low *= step
+        low += mid
+        low += ONE
+        self.x1[:a] = np.where(hit, self.x1[:a], low)
 
     def cut(self, at: np.ndarray) -> None:
         """Cut intervals that straddle a multiple of 2**48 to their longer part."""
@@ -132,17 +176,19 @@ class Lanes:
 
     def short(self, a: int) -> np.ndarray:
         """Lanes to be shifted; their ends agree in the top 16 bits."""
-        return np.flatnonzero(self.leaving(a))
+        return np.flatnonzero(self.leaving(a)[0])
 
-    def leaving(self, a: int) -> np.ndarray:
+    def leaving(self, a: int) -> tuple[np.ndarray, bool]:
+        """Whether each lane is to be shifted, and whether one may still be short after that."""
         x1, x2 = self.x1[:a], self.x2[:a]
-        short = x2 - x1 < SHORT
-        if not short.any():
-            return short
-        apart = short & ((x1 ^ x2) >> W48 != 0)
+        length = x2 - x1
+        short = length < SHORT
+        apart = (x1 ^ x2) > AGREE
+        apart &= short
         if apart.any():
             self.cut(np.flatnonzero(apart))
-        return short
+            return short, True
+        return short, bool(length.min(initial=ALL) < STILL_SHORT)
 
     def shift(self, at: np.ndarray) -> None:
         self.x1[at] <<= W16
@@ -166,18 +212,18 @@ def frequencies(counts: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def pack_frequencies(symbols: np.ndarray, freq: np.ndarray) -> bytes:
-    """Gaps of the ids and frequencies less 1, as two planes of low bytes and what is above them."""
+    """Number of ids; their gaps and frequencies less 1, as two planes of low bytes and what is above them."""
     n = len(symbols)
     values = np.empty(2 * n, np.int64)
     values[0] = symbols[0]
     np.subtract(symbols[1:], symbols[:-1] + 1, out=values[1:n])
     np.subtract(freq, 1, out=values[n:])
-    return zlib.compress((values & 255).astype(np.uint8).tobytes() + (values >> 8).astype("<u2").tobytes(), 1)
+    return struct.pack("<I", n) + TABLES.compress(values.astype(np.uint8).tobytes() + (values >> 8).astype("<u2").tobytes(), asbytes=True)
 
 
 def unpack_frequencies(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(data)
-    n = len(raw) // 3
+    n = 2 * struct.unpack_from("<I", data)[0]
+    raw = TABLES.decompress(data[4:], 3 * n, asbytes=True)
     values = np.frombuffer(raw[:n], np.uint8) + (np.frombuffer(raw[n:], "<u2").astype(np.int64) << 8)
     return np.cumsum(values[: n // 2] + 1) - 1, values[n // 2 :] + 1
 
@@ -194,9 +240,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
     n = len(order)
     longest = int(sizes[0]) if n else 0
-    # id, place and frequency of each position: 16, 20 and 20 bits
+    # symbol, first place and end of its places at each position: 16, 20 and 20 bits
     plan = np.zeros((longest, n), np.uint64)
-    bits, tables = np.zeros(n, np.uint64), []
+    bits, tables, distinct = np.zeros(n, np.uint64), [], 0
     of = np.zeros(1 << 16, np.uint64)
     some = np.zeros((min(TURNED, n), longest), np.uint64)
     for k, i in enumerate(order):
@@ -206,35 +252,47 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if not len(own):
             tables.append(b"")
             continue
-        ascending = np.sort(own, kind="stable")
-        first = np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1]])
-        symbols = ascending[first].astype(np.int64)
-        bits[k], freq = frequencies(np.diff(np.r_[first, len(own)]))
-        of[symbols] = symbols.astype(np.uint64) | (np.cumsum(freq) - freq).astype(np.uint64) << W16 | freq.astype(np.uint64) << np.uint64(36)
+        ascending = np.sort(own)
+        edges = np.flatnonzero(ascending[1:] != ascending[:-1])
+        first = np.zeros(len(edges) + 2, np.int64)
+        np.add(edges, 1, out=first[1:-1])
+        first[-1] = len(own)
+        symbols = ascending[first[:-1]]
+        distinct = max(distinct, len(symbols))
+        bits[k], freq = frequencies(first[1:] - first[:-1])
+        upto = np.cumsum(freq)
+        of[symbols] = (np.arange(len(symbols)) | (upto - freq) << 16 | upto << 36).view(np.uint64)
         some[k % TURNED, : sizes[k]] = of[own]
-        tables.append(pack_frequencies(symbols, freq))
+        tables.append(pack_frequencies(symbols.astype(np.int64), freq))
     if n:
         plan[:, (n - 1) // TURNED * TURNED :] = some[: (n - 1) % TURNED + 1].T
     m = Lanes(n)
+    m.hold(distinct)
     words: list[np.ndarray] = []
     left: list[np.ndarray] = []
-    p1, p2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    p1, p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
     place = np.uint64((1 << 20) - 1)
     for t, a in _steps(sizes):
         row = plan[t, :a]
-        ids = (row & LOW).astype(np.int32)
+        symbols = (row & LOW).view(np.int64)
+        narrow = symbols.astype(m.type)
         guess, p, state = m.predict(a, p1[:a], p2[:a])
-        hit = guess == ids
+        hit = guess == narrow
         mid = m.split(a, p)
-        m.narrow(hit, mid, (m.x2[:a] - mid - ONE) >> bits[:a], row >> W16 & place, row >> np.uint64(36))
-        while (leaving := m.leaving(a)).any():
+        step = m.x2[:a] - mid
+        step >>= bits[:a]
+        low = row >> W16
+        low &= place
+        m.narrow(hit, mid, step, low, row >> W36)
+        more = True
+        while more:
+            leaving, more = m.leaving(a)
             words.append((m.x1[:a] >> W48).astype(np.uint16))
             left.append(leaving)
             some = leaving.astype(np.uint64)
             m.shift_some(some, some << np.uint64(4))
-        m.update(state, ids, hit, p)
-        p2[:a] = p1[:a]
-        p1[:a] = ids
+        m.update(state, narrow, hit, p)
+        p2, p1 = p1, symbols
     out = np.zeros((n, len(words)), np.uint16)
     gone = np.zeros((n, len(words)), bool)
     for k in range(0, len(words), TURNED):
@@ -244,9 +302,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 row[: len(own)] = own
             target[:, k : k + len(part)] = part.T
     last = np.stack([(m.x1 >> np.uint64(48 - 16 * k)) & LOW for k in range(4)], axis=1).astype("<u2") if n else None
+    stream = out[gone].astype("<u2", copy=False)
+    bounds = np.cumsum([0, *np.count_nonzero(gone, axis=1)]).tolist()
     done: list[bytes] = [b""] * n
     for k, i in enumerate(order):
-        code = out[k][gone[k]].astype("<u2").tobytes() + last[k].tobytes()
+        code = stream[bounds[k] : bounds[k + 1]].tobytes() + last[k].tobytes()
         raw = blocks[i].astype("<u4")
         high = (raw >> 16).astype("<u2")
         high = zlib.compress(high.tobytes()) if high.any() else b""
@@ -271,7 +331,7 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([heads[i][0] for i in order], np.int64)
     n = len(order)
     longest = int(sizes[0]) if n else 0
-    bits, slots, symbols, ends = np.zeros(n, np.uint64), [], [], []
+    bits, slots, symbols, places = np.zeros(n, np.uint64), [], [], []
     words = np.zeros((n, max([0, *(len(h[2]) // 2 for h in heads)]) + 4), np.uint16)
     for k, i in enumerate(order):
         words[k, : len(heads[i][2]) // 2] = np.frombuffer(heads[i][2], "<u2")
@@ -279,49 +339,57 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
         upto = np.cumsum(freq)
         bits[k] = int(upto[-1]).bit_length() - 1
         slots.append(np.repeat(np.arange(len(own), dtype=np.uint16), freq))
-        symbols.append(own | (upto - freq) << 16 | freq << 36)
-    # of each place, the number of its id in the block; of that, the id, its first place and its frequency
+        symbols.append(own.astype(np.uint16))
+        places.append(upto - freq | upto << 32)
+    # of each place, its symbol; of that, its first place and the end of its places
     sums = np.array([len(x) for x in slots], np.uint64)
     slot, slot_base = np.concatenate([*slots, np.zeros(0, np.uint16)]), np.cumsum(sums) - sums
-    known = np.concatenate([*symbols, np.zeros(0, np.int64)]).view(np.uint64)
+    known = np.concatenate([*places, np.zeros(0, np.int64)]).view(np.uint64)
     known_base = np.cumsum([0, *(len(x) for x in symbols)])[:-1]
     m = Lanes(n)
+    m.hold(max(map(len, symbols), default=0))
     code = np.zeros(n, np.uint64)
     for k in range(4):
         code = code << W16 | words[:, k].astype(np.uint64)
     flat, read = words.reshape(-1), np.arange(n) * words.shape[1] + 4
-    ids_at = np.zeros((longest, n), np.uint16)
-    p1, p2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    place = np.uint64((1 << 20) - 1)
-    last = sums - ONE
+    # four steps' symbols in a number, which makes them faster to turn
+    symbols_at = np.zeros((-(-longest // 4), n), np.uint64)
+    p1, p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    half, last = np.uint64((1 << 32) - 1), sums - ONE
     for t, a in _steps(sizes):
         guess, p, state = m.predict(a, p1[:a], p2[:a])
         mid = m.split(a, p)
         hit = code[:a] <= mid
-        step = (m.x2[:a] - mid - ONE) >> bits[:a]
-        at = np.minimum((code[:a] - mid - ONE) // step, last[:a])
+        step = m.x2[:a] - mid
+        step >>= bits[:a]
+        at = code[:a] - mid
+        at -= ONE
+        at //= step
+        np.minimum(at, last[:a], out=at)
         at += slot_base[:a]
-        row = known.take(known_base[:a] + slot.take(at.view(np.int64), mode="clip"), mode="clip")
-        m.narrow(hit, mid, step, row >> W16 & place, row >> np.uint64(36))
-        ids = (row & LOW).astype(np.int32)
-        np.copyto(ids, guess, where=hit)
-        while (leaving := m.leaving(a)).any():
+        narrow = slot.take(at.view(np.int64), mode="clip").astype(m.type)
+        row = known.take(known_base[:a] + narrow, mode="clip")
+        m.narrow(hit, mid, step, row & half, row >> W32)
+        narrow = np.where(hit, guess, narrow)
+        more = True
+        while more:
+            leaving, more = m.leaving(a)
             some = leaving.astype(np.uint64)
             by = some << np.uint64(4)
             code[:a] <<= by
             # a lane that has read all its words has none leaving
-            code[:a] |= flat.take(read[:a], mode="clip") * some
+            some_words = flat.take(read[:a], mode="clip") * some
+            code[:a] |= some_words
             read[:a] += leaving
             m.shift_some(some, by)
-        m.update(state, ids, hit, p)
-        ids_at[t, :a] = ids
-        p2[:a] = p1[:a]
-        p1[:a] = ids
+        m.update(state, narrow, hit, p)
+        p2, p1 = p1, narrow.astype(np.int64)
+        symbols_at[t >> 2, :a] |= p1.view(np.uint64) << np.uint64(16 * (t & 3))
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for k, i in enumerate(order):
         if k % TURNED == 0:
-            turned = ids_at[:, k : k + TURNED].T.astype(np.uint32, order="C")
-        out[i] = turned[k % TURNED, : sizes[k]].copy()
+            turned = np.ascontiguousarray(symbols_at[:, k : k + TURNED].T).astype("<u8", copy=False).view("<u2")
+        out[i] = symbols[k].take(turned[k % TURNED, : sizes[k]]).astype(np.uint32)
         if heads[i][4]:
             out[i] |= np.frombuffer(zlib.decompress(heads[i][4]), "<u2").astype(np.uint32) << 16
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][1]:

@@ -28,6 +28,8 @@ from .rangecoder import decode_blocks, encode_blocks
 
 #: Ids of a block at most and at least, ids held before blocks are coded together, blocks aimed at.
 BLOCK_IDS, LEAST_IDS, HELD_IDS, LANES = 16384, 256, 6 << 20, 2048
+#: Text encoded at once at most, unless one alone is longer: in more text fewer chunks are distinct.
+BATCH_BYTES = 8 << 20
 TABLE = struct.Struct("<III")
 BLOCKS = "part int, block int, n_ids long, data binary"
 
@@ -105,7 +107,7 @@ def write_tokens(
                 ["part", "block", "n_ids", "data"],
             )
 
-        for b in slices(batches, 4096):
+        for b in slices(batches, 4096, BATCH_BYTES):
             ids = b.column(0).to_pylist()
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             for doc_id, own in zip(ids, enc.encode(texts), strict=True):
