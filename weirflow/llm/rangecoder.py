@@ -203,29 +203,67 @@ class Lanes:
         x2 |= some * LOW
 
 
-def frequencies(counts: np.ndarray) -> tuple[int, np.ndarray]:
-    """Bits of the sum, and frequencies of at least 1 with that sum, for the counts of a block's distinct ids."""
-    bits = max(LEAST_BITS, (len(counts) - 1).bit_length() + MORE_BITS)
-    freq = 1 + counts * ((1 << bits) - len(counts)) // counts.sum()
-    freq[counts.argmax()] += (1 << bits) - freq.sum()
-    return bits, freq
-
-
-def pack_frequencies(symbols: np.ndarray, freq: np.ndarray) -> bytes:
-    """Number of ids; their gaps and frequencies less 1, as two planes of low bytes and what is above them."""
-    n = len(symbols)
-    values = np.empty(2 * n, np.int64)
-    values[0] = symbols[0]
-    np.subtract(symbols[1:], symbols[:-1] + 1, out=values[1:n])
-    np.subtract(freq, 1, out=values[n:])
-    return struct.pack("<I", n) + TABLES.compress(values.astype(np.uint8).tobytes() + (values >> 8).astype("<u2").tobytes(), asbytes=True)
-
-
-def unpack_frequencies(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = 2 * struct.unpack_from("<I", data)[0]
-    raw = TABLES.decompress(data[4:], 3 * n, asbytes=True)
-    values = np.frombuffer(raw[:n], np.uint8) + (np.frombuffer(raw[n:], "<u2").astype(np.int64) << 8)
-    return np.cumsum(values[: n // 2] + 1) - 1, values[n // 2 :] + 1
+def frequencies(group: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, bytes]]]:
+    """For blocks of 16-bit ids, bits of the sum of each one's frequencies; and its distinct ids, their plan and their table.
+
+    Frequencies are at least 1. The plan has an id's symbol, its first place and the end of its places.
+    The table is the number of ids; their gaps and frequencies less 1, as two planes of low bytes and what is above them.
+    """
+    lens = np.array(list(map(len, group)), np.int64)
+    keys = np.concatenate(group).astype(np.uint32)
+    keys |= np.repeat(np.arange(len(group), dtype=np.uint32) << 16, lens)
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))
+    counts = np.diff(first, append=len(keys))
+    keys = keys[first]
+    lane, ids = keys >> 16, (keys & 0xFFFF).astype(np.int64)
+    starts = np.searchsorted(lane, np.arange(len(group) + 1, dtype=np.uint32))
+    distinct = np.diff(starts)
+    some = np.flatnonzero(distinct)
+    begin = starts[some]
+    # the exponent is the bit length
+    bits = np.where(distinct > 0, np.maximum(LEAST_BITS, np.frexp(distinct - 1.0)[1] + MORE_BITS), 0).astype(np.int64)
+    room = (1 << bits) - distinct
+    freq = 1 + counts * room[lane] // lens[lane]
+    if len(some):
+        most = np.zeros(len(group), np.int64)
+        most[some] = np.maximum.reduceat(counts, begin)
+        top = np.flatnonzero(counts == most[lane])
+        top = top[np.unique(lane[top], return_index=True)[1]]
+        freq[top] += (1 << bits[some]) - np.add.reduceat(freq, begin)
+    upto = np.cumsum(freq)
+    upto -= (upto - freq)[starts[lane]]
+    plan = (np.arange(len(ids)) - starts[lane] | (upto - freq) << 16 | upto << 36).view(np.uint64)
+    gaps = np.diff(ids, prepend=0) - 1
+    gaps[begin] = ids[begin]
+    freq -= 1
+    planes = [x.astype(t) for t, shift in ((np.uint8, 0), ("<u2", 8)) for x in (gaps >> shift, freq >> shift)]
+    out = []
+    for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        table = struct.pack("<I", j - i) + TABLES.compress(b"".join([x[i:j].tobytes() for x in planes]), asbytes=True) if i < j else b""
+        out.append((ids[i:j], plan[i:j], table))
+    return bits, out
+
+
+def unpack_frequencies(tables: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of distinct ids of blocks, all their ids and all their frequencies; a block without ids has id 0 alone."""
+    counts = [struct.unpack_from("<I", t)[0] if t else 1 for t in tables]
+    raw = [TABLES.decompress(t[4:], 6 * n, asbytes=True) if t else bytes(6) for t, n in zip(tables, counts, strict=True)]
+    gaps, freq = (
+        np.frombuffer(b"".join([r[k * n : (k + 1) * n] for r, n in zip(raw, counts, strict=True)]), np.uint8)
+        + (np.frombuffer(b"".join([r[2 * (k + 1) * n : 2 * (k + 2) * n] for r, n in zip(raw, counts, strict=True)]), "<u2").astype(np.int64) << 8)
+        + 1
+        for k in (0, 1)
+    )
+    sizes = np.array(counts, np.int64)
+    return sizes, _running(gaps, sizes) - 1, freq
+
+
+def _running(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running totals of each block's values."""
+    total = np.cumsum(values)
+    before = np.r_[0, total][np.cumsum(sizes) - sizes]
+    return total - np.repeat(before, sizes)
 
 
 def _steps(sizes: np.ndarray):
@@ -244,28 +282,16 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     plan = np.zeros((longest, n), np.uint64)
     bits, tables, distinct = np.zeros(n, np.uint64), [], 0
     of = np.zeros(1 << 16, np.uint64)
-    some = np.zeros((min(TURNED, n), longest), np.uint64)
-    for k, i in enumerate(order):
-        if k and k % TURNED == 0:
-            plan[:, k - TURNED : k] = some.T
-        own = blocks[i].astype(np.uint16)
-        if not len(own):
-            tables.append(b"")
-            continue
-        ascending = np.sort(own)
-        edges = np.flatnonzero(ascending[1:] != ascending[:-1])
-        first = np.zeros(len(edges) + 2, np.int64)
-        np.add(edges, 1, out=first[1:-1])
-        first[-1] = len(own)
-        symbols = ascending[first[:-1]]
-        distinct = max(distinct, len(symbols))
-        bits[k], freq = frequencies(first[1:] - first[:-1])
-        upto = np.cumsum(freq)
-        of[symbols] = (np.arange(len(symbols)) | (upto - freq) << 16 | upto << 36).view(np.uint64)
-        some[k % TURNED, : sizes[k]] = of[own]
-        tables.append(pack_frequencies(symbols.astype(np.int64), freq))
-    if n:
-        plan[:, (n - 1) // TURNED * TURNED :] = some[: (n - 1) % TURNED + 1].T
+    for k in range(0, n, TURNED):
+        group = [blocks[i].astype(np.uint16) for i in order[k : k + TURNED]]
+        bits[k : k + TURNED], counted = frequencies(group)
+        some = np.zeros((len(group), longest), np.uint64)
+        for row, own, (ids, own_plan, table) in zip(some, group, counted, strict=True):
+            of[ids] = own_plan
+            row[: len(own)] = of[own]
+            tables.append(table)
+            distinct = max(distinct, len(ids))
+        plan[:, k : k + TURNED] = some.T
     m = Lanes(n)
     m.hold(distinct)
     words: list[np.ndarray] = []
@@ -331,23 +357,22 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([heads[i][0] for i in order], np.int64)
     n = len(order)
     longest = int(sizes[0]) if n else 0
-    bits, slots, symbols, places = np.zeros(n, np.uint64), [], [], []
     words = np.zeros((n, max([0, *(len(h[2]) // 2 for h in heads)]) + 4), np.uint16)
     for k, i in enumerate(order):
         words[k, : len(heads[i][2]) // 2] = np.frombuffer(heads[i][2], "<u2")
-        own, freq = unpack_frequencies(heads[i][3]) if sizes[k] else (np.zeros(1, np.int64), np.ones(1, np.int64))
-        upto = np.cumsum(freq)
-        bits[k] = int(upto[-1]).bit_length() - 1
-        slots.append(np.repeat(np.arange(len(own), dtype=np.uint16), freq))
-        symbols.append(own.astype(np.uint16))
-        places.append(upto - freq | upto << 32)
+    distinct, symbols, freq = unpack_frequencies([heads[i][3] for i in order])
+    known_base = np.cumsum(distinct) - distinct
+    upto = _running(freq, distinct)
     # of each place, its symbol; of that, its first place and the end of its places
-    sums = np.array([len(x) for x in slots], np.uint64)
-    slot, slot_base = np.concatenate([*slots, np.zeros(0, np.uint16)]), np.cumsum(sums) - sums
-    known = np.concatenate([*places, np.zeros(0, np.int64)]).view(np.uint64)
-    known_base = np.cumsum([0, *(len(x) for x in symbols)])[:-1]
+    slot = np.repeat((np.arange(len(symbols)) - np.repeat(known_base, distinct)).astype(np.uint16), freq)
+    known = (upto - freq | upto << 32).view(np.uint64)
+    sums = upto[known_base + distinct - 1].astype(np.uint64)
+    slot_base = np.cumsum(sums) - sums
+    # sums are powers of 2
+    bits = (np.frexp(sums.astype(np.float64))[1] - 1).astype(np.uint64)
+    symbols = symbols.astype(np.uint16)
     m = Lanes(n)
-    m.hold(max(map(len, symbols), default=0))
+    m.hold(int(distinct.max(initial=0)))
     code = np.zeros(n, np.uint64)
     for k in range(4):
         code = code << W16 | words[:, k].astype(np.uint64)
@@ -389,7 +414,7 @@ def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     for k, i in enumerate(order):
         if k % TURNED == 0:
             turned = np.ascontiguousarray(symbols_at[:, k : k + TURNED].T).astype("<u8", copy=False).view("<u2")
-        out[i] = symbols[k].take(turned[k % TURNED, : sizes[k]]).astype(np.uint32)
+        out[i] = symbols[known_base[k] : known_base[k] + distinct[k]].take(turned[k % TURNED, : sizes[k]]).astype(np.uint32)
         if heads[i][4]:
             out[i] |= np.frombuffer(zlib.decompress(heads[i][4]), "<u2").astype(np.uint32) << 16
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][1]:
