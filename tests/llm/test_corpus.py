@@ -740,3 +740,17 @@ def test_ids_of_chunks_lie_in_one_array(monkeypatch):
     for _ in range(3):
         assert [enc.encode([t.encode()])[0] for t in texts] == want
     assert enc.ends[enc.count] < 4 * 400
+
+
+def test_short_document_tables_are_plain():
+    for ids in ([], [None], [-5, 7, None], list(range(-300, 300))):
+        sizes = [abs(i or 3) % 9 for i in ids]
+        packed = tokenfile.pack_table(ids, sizes)
+        assert tokenfile.unpack_table(packed + b"rest") == (ids, sizes, b"rest")
+        # short ones plain, long ones compressed
+        assert (len(packed) == tokenfile.TABLE.size + 17 * len(ids)) == (len(ids) < 9)
+        if ids:
+            broken = bytearray(packed)
+            broken[-1] ^= 1
+            with pytest.raises(ValueError):
+                tokenfile.unpack_table(bytes(broken))

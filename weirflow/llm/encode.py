@@ -60,6 +60,9 @@ class Encoder:
                 self.pattern = regex.compile(self.words.pattern.pattern + "|" + CHUNK_END)
                 # no chunk holds the character, so its id ends one
                 self.mark = model["vocab"][byte_symbols()[ord(CHUNK_END)] + model["end_of_word_suffix"]]
+                # ids that end a pre-token
+                self.closing = np.zeros(max(model["vocab"].values()) + 1, bool)
+                self.closing[[i for v, i in model["vocab"].items() if v.endswith(model["end_of_word_suffix"])]] = True
                 # number of each chunk; its ids lie in one array with those of all others
                 self.cache: dict[bytes, int] = {}
                 self._forget()
@@ -154,15 +157,13 @@ class Encoder:
             chunks = text.lower().split(CHUNK_END)[:-1]
             # a chunk of letters alone is one pre-token; the others are cut
             lone = np.fromiter(map(str.isalpha, chunks), bool, len(chunks))
-            words = list(compress(chunks, lone.tolist()))
-            gap = WORD_END + CHUNK_END + WORD_END
-            text = gap.join([*words, ""])
-            if len(words) < len(chunks):
-                text += WORD_END.join(self.pattern.findall(CHUNK_END.join([*compress(chunks, (~lone).tolist()), ""]))) + WORD_END
-            ids = self.fast.encode_to_numpy(text).astype("<u4", copy=False)
-            ends = np.flatnonzero(ids == self.mark)
-            sizes = np.diff(ends, prepend=-1) - 1
-            numbers[np.concatenate([where[lone], where[~lone]])] = self._keep(ids[ids != self.mark], sizes)
+            ids = self.fast.encode_to_numpy(WORD_END.join([*compress(chunks, lone.tolist()), ""]))
+            numbers[where[lone]] = self._keep(ids, np.diff(np.flatnonzero(self.closing[ids]), prepend=-1))
+            if not lone.all():
+                cut = self.pattern.findall(CHUNK_END.join([*compress(chunks, (~lone).tolist()), ""]))
+                ids = self.fast.encode_to_numpy(WORD_END.join(cut) + WORD_END)
+                sizes = np.diff(np.flatnonzero(ids == self.mark), prepend=-1) - 1
+                numbers[where[~lone]] = self._keep(ids[ids != self.mark], sizes)
         self.cache.update(zip(new, numbers.tolist(), strict=True))
         return numbers
 

@@ -31,12 +31,17 @@ BLOCK_IDS, LEAST_IDS, HELD_IDS, LANES = 16384, 256, 6 << 20, 2048
 #: Text encoded at once at most, unless one alone is longer: in more text fewer chunks are distinct.
 BATCH_BYTES = 8 << 20
 TABLE = struct.Struct("<III")
+#: Rows of a document table that are written without compression.
+PLAIN_ROWS = 8
 BLOCKS = "part int, block int, n_ids long, data binary"
 
 
 def pack_table(ids: list[int | None], sizes: list[int]) -> bytes:
     body = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array(sizes, "<i8").tobytes()
-    body = zlib.compress(body + bytes(i is None for i in ids), 1)
+    body += bytes(i is None for i in ids)
+    # a short table would not get shorter; one as long as its columns is plain
+    if len(ids) > PLAIN_ROWS and len(packed := zlib.compress(body, 1)) < len(body):
+        body = packed
     return TABLE.pack(len(ids), len(body), zlib.crc32(body)) + body
 
 
@@ -45,7 +50,7 @@ def unpack_table(data: bytes) -> tuple[list[int | None], list[int], bytes]:
     body = data[TABLE.size : TABLE.size + size]
     if zlib.crc32(body) != crc:
         raise ValueError("a document table is damaged")
-    raw = zlib.decompress(body)
+    raw = body if size == 17 * n else zlib.decompress(body)
     null = raw[16 * n :]
     ids = [None if z else i for i, z in zip(np.frombuffer(raw[: 8 * n], "<i8").tolist(), null, strict=True)]
     return ids, np.frombuffer(raw[8 * n : 16 * n], "<i8").tolist(), data[TABLE.size + size :]
